@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import packing, quality_rules, secret_scan, sharding
 
 QUERIES = {
+    "op2_sharding": sharding.op2_sharding,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLES = {
