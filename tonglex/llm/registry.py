@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, secret_scan, sharding
+from . import chat_format, license_scan, packing, quality_rules, secret_scan, sharding, simhash, url_filter
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_packing": packing.op8_packing,
+    "op9_chat_format": chat_format.op9_chat_format,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLES = {
     "op7_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_chat_format": chat_format.ORACLE_SQL,
 }
