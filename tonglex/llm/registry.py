@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, packing, quality_rules, secret_scan, sharding, simhash, url_filter
+from . import chat_format, license_scan, packing, quality_rules, secret_scan, sharding, simhash, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": substring_dedup.op1_suffix_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_url_filter": url_filter.op4_url_filter,
