@@ -58,6 +58,17 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
-def balanced(df: DataFrame, bytes_each: int = 8 << 20) -> DataFrame:
-    """Leave the partitioning to the scan; only a frame of a single split is dealt out, so that all cores share it."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() < 2 else df
+NO_ID = -(1 << 63)  # stands for a null doc_id, before all others
+
+
+def row_key(docs: DataFrame) -> list:
+    """Columns that tell documents apart: the id, and a hash of the text should ids repeat. Never null."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key_mark")]
+
+
+def with_rows(docs: DataFrame, keys: DataFrame, how: str, single: bool = False) -> DataFrame:
+    """The rows of docs whose row_key is (left_semi) or isn't (left_anti) in keys; single: equal rows only once."""
+    d = docs.select(F.struct("*").alias("row"), *row_key(docs)).join(keys, ["key_id", "key_mark"], how)
+    if single:
+        d = d.groupBy("key_id", "key_mark").agg(F.first("row").alias("row"))
+    return d.select("row.*")

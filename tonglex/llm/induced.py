@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
+BATCH = 1 << 18  # tuples taken from a queue at once
 Batch = tuple[np.ndarray, np.ndarray]  # positions (uint32), common prefixes (uint8)
 
 
@@ -37,6 +38,15 @@ class Spool:
         self.file.write(np.ascontiguousarray(lcp).tobytes())
         return at, len(pos)
 
+    @staticmethod
+    def upto(chunks: list, at: int) -> int:
+        """End of a run of chunks from `at` on with at most BATCH tuples, or of one chunk."""
+        size, end = 0, at
+        while end < len(chunks) and (end == at or size < BATCH):
+            size += len(chunks[end][0]) if isinstance(chunks[end][0], np.ndarray) else chunks[end][1]
+            end += 1
+        return end
+
     def get(self, chunk, last: bool = False) -> Batch:
         """The chunk's tuples; last: they are not needed again."""
         if isinstance(chunk[0], np.ndarray):
@@ -47,6 +57,10 @@ class Spool:
         self.file.seek(at)
         return np.frombuffer(self.file.read(4 * n), dtype=np.uint32), np.frombuffer(self.file.read(n), dtype=np.uint8)
 
+    def joined(self, chunks: list) -> Batch:
+        got = [self.get(c, last=True) for c in chunks]
+        return got[0] if len(got) == 1 else (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
@@ -180,7 +194,10 @@ def falling_suffixes(t: np.ndarray, depth: int, memory: int = 64 << 20) -> Itera
         for c in range(256):
             i, q = 0, rising.queues[c]
             while i < len(q):  # grows while it is read
-                rising.take(*spool.get(q[i]))
+                end = spool.upto(q, i)
+                whole = spool.joined(q[i:end])
+                q[i:end] = [spool.put(*whole)]
+                rising.take(*whole)
                 i += 1
             a, b = bounds[c], bounds[c + 1]
             if a < b:
@@ -191,12 +208,13 @@ def falling_suffixes(t: np.ndarray, depth: int, memory: int = 64 << 20) -> Itera
         for c in range(255, -1, -1):
             i, q, prev = 0, falling.queues[c], -1
             while i < len(q):
-                batch = spool.get(q[i], last=True)
-                q[i] = None
+                end = spool.upto(q, i)
+                batch = spool.joined(q[i:end])
+                q[i:end] = [None] * (end - i)
                 yield batch
                 falling.take(*batch)
                 prev = int(batch[0][-1])
-                i += 1
+                i = end
             if c == 0:
                 yield np.array([len(t) - 1], dtype=np.uint32), np.zeros(1, dtype=np.uint8)
             carried = 0 if prev < 0 else None

@@ -3,8 +3,8 @@
 1. Every document is cut into cells of windows around content-defined anchors. Equal windows have
    equal anchors, and cells that are equal as wholes are settled by their hashes: all but the
    first are repeats.
-2. Windows of an anchor that occurs in one cell only cannot repeat. The distinct cells of all other
-   anchors are dealt into shards, so that equal windows meet.
+2. Of the distinct cells that are left, only windows whose core of bytes another cell of the same
+   anchor has too can repeat. These are dealt into shards by anchor, so that equal windows meet.
 3. Each shard's cells are suffix-sorted by external induction (see induced.py); where neighbours
    share a whole window, all but the first are repeats.
 4. Repeats go back to their documents, whose covered bytes are taken out.
@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import cells
-from .common import docs_of, stage_table, table
+from .anchors import cell_type, cells, ranges
+from .common import NO_ID, docs_of, stage_table, table
 from .induced import falling_suffixes
 
 LENGTH = 100
-NO_ID = -(1 << 63)  # stands for a null doc_id, before all others
 BUCKET_BYTES = 8 << 20  # of input for each shard
-CELL = np.dtype([("anchor", "<u8"), ("cell", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("start", "<u4"), ("n", "<u2")])
 PLACE = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("start", "<u4"), ("n", "<u2")])
 PACKED = "bucket int, blob binary, text binary, doc long, tag int, start long, n long, repeat boolean"
 
@@ -60,10 +58,9 @@ def _cells_of(length: int, buckets: int):
             parts = []
             docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             for i, t in enumerate(batch.column("text").cast(pa.binary())):
-                first, n, anchor, cell = cells(t.as_py(), length)
-                if len(first):
-                    c = np.empty(len(first), dtype=CELL)
-                    c["anchor"], c["cell"], c["doc"], c["tag"], c["start"], c["n"] = anchor, cell, docs[i], tags[i], first, n
+                c = cells(t.as_py(), length)
+                if len(c):
+                    c["doc"], c["tag"] = docs[i], tags[i]
                     parts.append(c)
             if not parts:
                 continue
@@ -75,7 +72,7 @@ def _cells_of(length: int, buckets: int):
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             yield _packed(bucket=bucket[cut], blob=[kept[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(kept)), strict=True)])
             if len(repeats):
-                spread = (repeats["cell"] % np.uint64(buckets)).astype(np.int32)
+                spread = ((repeats["doc"] + repeats["start"]) % buckets).astype(np.int32)  # nothing is to meet here
                 yield _packed(bucket=spread, doc=repeats["doc"], tag=repeats["tag"], start=repeats["start"].astype(np.int64), n=repeats["n"].astype(np.int64), repeat=np.ones(len(repeats), bool))
 
     return run
@@ -103,23 +100,49 @@ def _grouped(batches: Iterator[pa.RecordBatch], passed: list | None = None) -> I
         yield at, held
 
 
-def _repeated_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells by bucket -> repeats, and the first places of cells that share their anchor with other cells."""
-    passed: list[pa.RecordBatch] = []
-    for bucket, rows in _grouped(batches, passed):
+def _in_common(c: np.ndarray, length: int) -> np.ndarray:
+    """PLACE rows for those windows of distinct cells (sorted by anchor) whose core another cell of the anchor has too."""
+    parts = []
+    offset, n = c["offset"].astype(np.int64), c["n"].astype(np.int64)
+    for r, (low, high) in enumerate(ranges(length)):
+        core = c["cores"][:, r]
+        order = np.lexsort((core, c["anchor"]))
+        x, a = core[order], c["anchor"][order]
+        same = (x[1:] == x[:-1]) & (a[1:] == a[:-1]) & (x[1:] != 0)
+        shared = np.zeros(len(c), dtype=bool)
+        shared[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        at = np.flatnonzero(shared)
+        # windows start where the anchor is `high` to `low` bytes on
+        first, last = np.maximum(offset[at] - high, 0), np.minimum(offset[at] - low, n[at] - 1)
+        parts.append(np.stack([at, first, last + 1]))
+    at, first, end = np.concatenate(parts, axis=1)
+    order = np.lexsort((first, at))
+    at, first, end = at[order], first[order], end[order]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (first[1:] != end[:-1])]) if len(at) else np.zeros(0, dtype=bool)
+    heads = np.flatnonzero(new)
+    ends = end[np.append(heads[1:], len(at)) - 1] if len(at) else end
+    out = np.empty(len(heads), dtype=PLACE)
+    rows = c[at[heads]]
+    out["doc"], out["tag"], out["start"], out["n"] = rows["doc"], rows["tag"], rows["start"] + first[heads], ends - first[heads]
+    return out
+
+
+def _repeated_cells(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells by bucket -> repeats, and what the distinct cells of an anchor may have in common."""
+        passed: list[pa.RecordBatch] = []
+        for bucket, rows in _grouped(batches, passed):
+            yield from passed
+            passed.clear()
+            if not rows:
+                continue
+            kept, repeats = _settled(np.concatenate([np.frombuffer(b, dtype=cell_type(length)) for b, _ in rows]))
+            for c, repeat in ((repeats, True), (_in_common(kept, length), False)):
+                if len(c):
+                    yield _packed(bucket=np.full(len(c), bucket, dtype=np.int32), doc=c["doc"], tag=c["tag"], start=c["start"].astype(np.int64), n=c["n"].astype(np.int64), repeat=np.full(len(c), repeat))
         yield from passed
-        passed.clear()
-        if not rows:
-            continue
-        kept, repeats = _settled(np.concatenate([np.frombuffer(b, dtype=CELL) for b, _ in rows]))
-        a = kept["anchor"]
-        other = (a[1:] == a[:-1]) & (kept["cell"][1:] != kept["cell"][:-1])
-        # an anchor's cells stand together: it has several if any neighbours differ
-        mixed = np.isin(a, a[1:][other])
-        for c, repeat in ((repeats, True), (kept[mixed], False)):
-            if len(c):
-                yield _packed(bucket=np.full(len(c), bucket, dtype=np.int32), doc=c["doc"], tag=c["tag"], start=c["start"].astype(np.int64), n=c["n"].astype(np.int64), repeat=np.full(len(c), repeat))
-    yield from passed
+
+    return run
 
 
 def _cut_cells(length: int):
@@ -233,9 +256,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, buckets: int | None
     d = docs_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("tag"), "text")
     if buckets is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        buckets = min(1 << 30, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
+        buckets = min(1 << 30, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
     c = d.mapInArrow(_cells_of(length, buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    c = stage_table(c.mapInArrow(_repeated_cells, PACKED).select("bucket", "doc", "tag", "start", "n", "repeat"), "cells")
+    c = stage_table(c.mapInArrow(_repeated_cells(length), PACKED).select("bucket", "doc", "tag", "start", "n", "repeat"), "cells")
     shared = c.where("not repeat").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n", "bucket")).alias("cells"))  # of one document
     s = d.join(shared, ["doc", "tag"]).select("doc", "tag", "text", "cells").mapInArrow(_cut_cells(length), PACKED)
     s = s.select("bucket", "blob", "text").repartition("bucket").sortWithinPartitions("bucket")
