@@ -61,31 +61,31 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*broken))
 
 
-def with_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, prefix: str = "") -> DataFrame:
-    """docs(doc_id, text) -> one row per input row: doc_id, the measures, base_failed, kept, broken_rules.
+def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs(doc_id, text) -> one row per input row: row (the input row), doc_id, the measures, base_failed, kept, broken_rules.
 
     Defined results: a null or empty text has no words, so base_failed is true and kept false;
-    null doc_ids and repeated rows stay as they are; other columns are ignored.
+    null doc_ids and repeated rows stay as they are; other columns are only carried along, inside row.
     n_repeat_words compares five-word windows by a 64-bit hash of five 64-bit word hashes.
     """
     spaces = "\t\n\x0b\f\r"
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     d = d.select(
-        "doc_id",
+        "row", "doc_id",
         F.array_remove(F.split(F.translate("t", spaces, " " * len(spaces)), " "), "").alias("words"),
         F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0).alias("lines"),
         F.length(F.translate("t", " " + spaces, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
     )
     d = d.select(
-        "doc_id", "word_chars", "n_symbols",
+        "row", "doc_id", "word_chars", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
-    kept = ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop"]
+    kept = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop"]
     window = lambda x, i: F.xxhash64(x, *(F.get("h", i + k) for k in range(1, WINDOW)))
     d = d.select(*kept, F.when(F.size("h") >= WINDOW, F.transform(F.slice("h", 1, F.size("h") - (WINDOW - 1)), window)).alias("g"))
     d = d.select(*kept, F.when(F.size(F.array_distinct("g")) < F.size("g"), F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"))
@@ -106,6 +106,11 @@ def with_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     return d.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 
 
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that pass every rule, with all their columns."""
+    return with_quality(docs, rules).where("kept").select("row.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = with_quality(table(spark, sf_dir, "documents"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken_rules", ",").alias("broken_rules"))

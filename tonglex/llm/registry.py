@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, packing, quality_rules, secret_scan, sharding, simhash, substring_dedup, url_filter
+from . import chat_format, decontamination, license_scan, packing, quality_rules, secret_scan, sharding, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": substring_dedup.op1_suffix_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_simhash": simhash.op6_simhash,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_packing": packing.op8_packing,

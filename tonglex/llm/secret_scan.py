@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import docs_of, table
 
@@ -246,5 +247,38 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return docs_of(docs).mapInArrow(_scan, SCHEMA)
 
 
+def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
+    """The text with every maximal run of spans replaced by a mark."""
+    out, at, end = [], 0, -1
+    for _, a, b in spans:  # by start
+        if a > end:
+            out += [text[at:a], mark]
+        at = end = max(end, b)
+    return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame) -> DataFrame:
+    """docs with all secrets in `text` replaced, and n_chars, if there is one, counted anew; other columns stay, nulls too."""
+    d = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for x in batch.column("text"):
+                t = x.as_py()
+                spans = all_spans(t, base_spans(t)) if t else []
+                texts.append(redacted(t, spans) if spans else t)
+            at = batch.schema.get_field_index("text")
+            cols = list(batch.columns)
+            cols[at] = pa.array(texts, batch.schema.field("text").type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    out = docs.mapInArrow(run, d)
+    if "n_chars" in docs.columns:
+        counted = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(d["n_chars"].dataType)
+        out = out.withColumn("n_chars", counted)
+    return out
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
