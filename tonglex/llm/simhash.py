@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, stage_table, table
+from .common import docs_of, row_key, stage_table, table, with_rows
 from .components import connected_components, forest
+from .similar_texts import similar_links
 
 MAX_DISTANCE = 3
 SEGMENTS = 8
@@ -48,9 +49,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but text, and the text's fingerprint."""
     for batch in batches:
         fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text").cast(pa.binary())), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        rest = batch.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(fp.view(np.int64))], names=[*rest.schema.names, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -253,5 +256,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return f.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, of which one is left for each group of near copies.
+
+    A group hangs together by fingerprints at MAX_DISTANCE or less and by texts of resemblance 0.8 or more on five-word
+    shingles. The smallest doc_id stays, a null one before all others; of rows with equal doc_ids that with the
+    smallest hash of its text, and equal rows stay once.
+    """
+    key_id, key_mark = row_key(docs)
+    rows = docs.select(key_id, key_mark, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    f = stage_table(rows.mapInArrow(_fingerprints, "key_id long, key_mark long, fp long"), "simhash")
+    least = F.min(F.struct("key_id", "key_mark")).alias("least")
+    per = stage_table(f.groupBy("fp").agg(least), "classes")
+    first = f.groupBy("key_mark").agg(F.min("key_id").alias("key_id"), F.first("fp").alias("node"))  # of each different text
+    texts = rows.join(first, ["key_id", "key_mark"]).select(F.col("key_mark").alias("mark"), "node", "text")
+    roots = connected_components(near_links(per.select("fp")).union(similar_links(texts)))
+    member = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    kept = member.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    return with_rows(docs, kept, "left_semi", single=True)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
