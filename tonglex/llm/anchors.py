@@ -11,22 +11,13 @@ from __future__ import annotations
 
 import numpy as np
 
-from .words import mix
+from .words import mix, powers
 
 K = 24
 RANGES = 4  # of anchor offsets, each with a core
 PIECE = 1 << 20  # bytes of a text taken at a time, to bound memory
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_tables = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """_P ** i and its inverse modulo 2 ** 64."""
-    if len(_tables[0]) < n:
-        for k, p in enumerate((_P, pow(_P, -1, 1 << 64))):
-            _tables[k] = np.append(np.uint64(1), np.cumprod(np.full(max(n, 1 << 16), p, dtype=np.uint64)))
-    return _tables
 
 
 def grams(b: np.ndarray, k: int) -> np.ndarray:
@@ -101,7 +92,7 @@ def _cells(text: bytes, at_byte: int, length: int, k: int) -> np.ndarray:
     out = np.zeros(len(first), dtype=cell_type(length))
     count = np.diff(np.append(first, n))
     anchor = chosen[at[first]]
-    power, inverse = _powers(len(b) + 1)
+    power, inverse = powers(len(b) + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])])
     string = lambda a, size: (sums[a + size] - sums[a]) * inverse[a]
     # the cell's hash: its bytes (covered by its first and last window), its length and where the anchor lies in it

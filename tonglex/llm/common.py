@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,32 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+def _released() -> None:
+    """Give freed memory back to the system: a worker that is kept for later tasks would hold on to its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def map_arrow(df: DataFrame, run, schema, rows: int | None = 1024) -> DataFrame:
+    """df.mapInArrow(run, schema) on slices of at most `rows` rows (None: batches as they come), giving memory back at the end."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows or batch.num_rows):
+                yield batch.slice(at, rows)
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(sliced(batches) if rows else batches)
+        finally:
+            _released()
+
+    return df.mapInArrow(frugal, schema)
+
+
 NO_ID = -(1 << 63)  # stands for a null doc_id, before all others
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import map_arrow, stage_table
 
 CHUNK = 1 << 19
 
@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     minima are aggregated before they are shuffled. An empty edge list gives an empty result.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    e = stage_table(e.mapInArrow(_local, "a long, b long").distinct(), "edges")
+    e = stage_table(map_arrow(e, _local, "a long, b long", rows=None).distinct(), "edges")
     labels = None
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
@@ -81,5 +81,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             labels = stage_table(labels.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
         pa_, pb = parent.select(F.col("node").alias("a"), F.col("root").alias("ra")), parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         e = e.join(pa_, "a").join(pb, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b")
-        e = stage_table(e.mapInArrow(_local, "a long, b long").distinct(), "edges")
+        e = stage_table(map_arrow(e, _local, "a long, b long", rows=None).distinct(), "edges")
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, stage_table, table
-from .license_scan import normal_words
+from .common import docs_of, map_arrow, stage_table, table
+from .license_scan import DELETE, normal_words
+from .words import column_words
 
 BLOCK_BYTES = 256 << 10
 HALF = 32  # words; a passage is two halves
@@ -81,26 +82,42 @@ class Benchmark:
 
 
 def _numbering(bench: Benchmark):
-    bits = np.uint64((1 << 22) - 1)
+    bits = np.uint64((1 << 18) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts -> numbers of words and of terms, as little-endian 32-bit integers; texts without a term are left out."""
-        likely = np.zeros(1 << 22, dtype=bool)
-        likely[bench.vocabulary & bits] = True
+        # a direct table by the hash's low bits; the few words that share them go by search
+        slot = np.full(1 << 18, -1, dtype=np.int32)
+        slot[bench.vocabulary & bits] = np.arange(len(bench.vocabulary))
+        crowded = len(np.unique(bench.vocabulary & bits)) < len(bench.vocabulary)
+        square = len(bench.vocabulary) < 2000
+        if square:
+            table2 = np.zeros((len(bench.vocabulary) + 1) ** 2, dtype=np.int32)
+            table2[bench.pairs] = np.arange(1, len(bench.pairs) + 1)
+            table2[0] = 0
         for batch in batches:
-            words, terms = [], []
-            for t in batch.column("text").cast(pa.binary()):
-                w = normal_words(t.as_py())
-                some = np.flatnonzero(likely[w & bits])
+            w, counts = column_words(batch.column("text").cast(pa.binary()), DELETE)
+            at = slot[w & bits]
+            if crowded:
                 ids = np.zeros(len(w), dtype="<u4")
+                some = np.flatnonzero(at >= 0)
                 ids[some] = _numbers(bench.vocabulary, w[some])
-                key = _pairs(ids, len(bench.vocabulary)) if len(ids) else np.zeros(0, dtype=np.int64)
+            else:
+                ids = np.where((at >= 0) & (bench.vocabulary[at] == w), at + 1, 0).astype("<u4")
+            ends = np.cumsum(counts)
+            key = np.append(_pairs(ids, len(bench.vocabulary)), 0) if len(ids) else np.zeros(0, dtype=np.int64)
+            key[ends[counts > 0] - 1] = 0  # pairs stay within a text
+            if square:
+                term = table2[key].astype("<u4")
+            else:
                 both = np.flatnonzero(key)
                 term = np.zeros(len(key), dtype="<u4")
                 term[both] = _numbers(bench.pairs, key[both])
-                found = term.any()
-                words.append(ids.tobytes() if found else None)
-                terms.append(term.tobytes() if found else None)
+            found = np.diff(np.append(0, np.append(0, np.cumsum(term > 0))[ends])) > 0
+            words, terms = [], []
+            for a, b, yes in zip((ends - counts).tolist(), ends.tolist(), found.tolist(), strict=True):
+                words.append(ids[a:b].tobytes() if yes else None)
+                terms.append(term[a : b - 1].tobytes() if yes else None)
             words, terms = pa.array(words, pa.binary()), pa.array(terms, pa.binary())
             keep = words.is_valid()
             cols = [batch.column("doc_id"), batch.column("mark"), words, terms]
@@ -247,7 +264,7 @@ def latent_space(numbers: DataFrame, bench: Benchmark, weight: np.ndarray, rank:
     width = min(rank + oversample, size)
     own = passages([i.terms for i in bench.items], weight)
     start = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
-    total = tree_sum(numbers.mapInArrow(_over_passages(weight, (size, width), lambda r, out: gram_times(r, start, out)), "m binary"), (size, width))
+    total = tree_sum(map_arrow(numbers, _over_passages(weight, (size, width), lambda r, out: gram_times(r, start, out)), "m binary"), (size, width))
     gram_times(own, start, total)
     q = np.linalg.qr(total)[0].astype(np.float32)
 
@@ -255,7 +272,7 @@ def latent_space(numbers: DataFrame, bench: Benchmark, weight: np.ndarray, rank:
         for _, _, y in projected(r, q):
             out += y.T @ y
 
-    small = tree_sum(numbers.mapInArrow(_over_passages(weight, (width, width), squares), "m binary"), (width, width))
+    small = tree_sum(map_arrow(numbers, _over_passages(weight, (width, width), squares), "m binary"), (width, width))
     squares(own, small)
     value, vector = np.linalg.eigh((small + small.T) / 2)
     lead = np.argsort(value)[::-1][:rank]
@@ -333,7 +350,7 @@ def weights(numbers: DataFrame, bench: Benchmark, stop_share: float = STOP_SHARE
     Terms of an item that would keep fewer than three weighted terms stay weighted.
     """
     size = len(bench.pairs)
-    counts = numbers.mapInArrow(_document_counts(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = map_arrow(numbers, _document_counts(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(size + 1)
     for r in counts.toLocalIterator():  # a row for each word of the block at most
         df[r["term"]] = r["n"]
@@ -366,10 +383,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
         bench = Benchmark.of([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
         if not bench.items:
             continue
-        numbers = stage_table(d.mapInArrow(_numbering(bench), "doc_id long, mark long, words binary, terms binary"), "numbers")
+        numbers = stage_table(map_arrow(d, _numbering(bench), "doc_id long, mark long, words binary, terms binary"), "numbers")
         weight = weights(numbers, bench)
         space = latent_space(numbers, bench, weight)
-        out = out.union(numbers.mapInArrow(_search(bench, weight, space, cosine), MATCHES))
+        out = out.union(map_arrow(numbers, _search(bench, weight, space, cosine), MATCHES))
     return out
 
 

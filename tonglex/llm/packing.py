@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, stage_table, table
+from .common import docs_of, map_arrow, stage_table, table
 
 MAX_TOKENS = 2048
 SALTS = 256
@@ -134,7 +134,7 @@ def _cutter(path: str | None, end_id: int, max_tokens: int):
 
 def cut_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Token pieces of every document; only documents longer than max_tokens are cut, and only their first piece may be shorter."""
-    return docs_of(docs).mapInArrow(_cutter(tokenizer, end_id, max_tokens), PIECES)
+    return map_arrow(docs_of(docs), _cutter(tokenizer, end_id, max_tokens), PIECES)
 
 
 def pack(docs: DataFrame, capacity: Capacity = Capacity(), tokenizer: str | None = None, end_id: int = 0) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, table
+from .common import docs_of, map_arrow, table
 
 KINDS = ("assign", "access", "hex")
 _FLAGS = re.IGNORECASE | re.ASCII
@@ -244,7 +244,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     Defined results: null and empty texts have no spans; null doc_ids and repeated rows stay;
     other columns are ignored; an empty table gives an empty result. Nothing is shuffled.
     """
-    return docs_of(docs).mapInArrow(_scan, SCHEMA)
+    return map_arrow(docs_of(docs), _scan, SCHEMA)
 
 
 def redacted(text: str, spans: list[Span], mark: str = "[REDACTED]") -> str:
@@ -273,7 +273,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(texts, batch.schema.field("text").type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    out = docs.mapInArrow(run, d)
+    out = map_arrow(docs, run, d)
     if "n_chars" in docs.columns:
         counted = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(d["n_chars"].dataType)
         out = out.withColumn("n_chars", counted)

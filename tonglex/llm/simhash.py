@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, row_key, stage_table, table, with_rows
+from .common import docs_of, map_arrow, row_key, stage_table, table, with_rows
 from .components import connected_components, forest
 from .similar_texts import similar_links
 
@@ -58,7 +58,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp): the fingerprint as a signed long."""
-    return docs_of(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return map_arrow(docs_of(docs), _fingerprints, "doc_id long, fp long")
 
 
 def ring_keys(fp: Column) -> Column:
@@ -231,7 +231,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (a, b) that connect all pairs at MAX_DISTANCE or less."""
     keyed = fps.select(F.explode(ring_keys(F.col("fp"))).alias("key"), F.lit(0).cast("long").alias("sub"), "fp")
     schema = "key long, a long, b long"
-    first = stage_table(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_by_key, schema), "links")
+    first = stage_table(map_arrow(keyed.repartition("key").sortWithinPartitions("key"), _by_key, schema, rows=None), "links")
     hot = first.where("key >= 0")
     edges = first.where("key < 0").select("a", "b")
     if not hot.isEmpty():
@@ -265,7 +265,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     key_id, key_mark = row_key(docs)
     rows = docs.select(key_id, key_mark, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    f = stage_table(rows.mapInArrow(_fingerprints, "key_id long, key_mark long, fp long"), "simhash")
+    f = stage_table(map_arrow(rows, _fingerprints, "key_id long, key_mark long, fp long"), "simhash")
     least = F.min(F.struct("key_id", "key_mark")).alias("least")
     per = stage_table(f.groupBy("fp").agg(least), "classes")
     first = f.groupBy("key_mark").agg(F.min("key_id").alias("key_id"), F.first("fp").alias("node"))  # of each different text

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import map_arrow, stage_table
 from .words import mix, shingle_hashes, word_hashes
 
 WIDTH = 5
@@ -151,10 +151,10 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_links(texts: DataFrame) -> DataFrame:
     """texts(mark, node, text), one row per different text -> edges (a, b) between the nodes of similar texts."""
-    rows = texts.mapInArrow(_keyed, "key long, mark long, node long, fp long, n long")
-    pairs = rows.repartition("key").sortWithinPartitions("key", "mark").mapInArrow(_paired, PAIRS)
+    rows = map_arrow(texts, _keyed, "key long, mark long, node long, fp long, n long")
+    pairs = map_arrow(rows.repartition("key").sortWithinPartitions("key", "mark"), _paired, PAIRS, rows=None)
     pairs = stage_table(pairs.where("node_a <> node_b").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    sets = stage_table(texts.join(wanted, "mark", "left_semi").select("mark", "text").mapInArrow(_sets, "mark long, s binary"), "sets")
+    sets = stage_table(map_arrow(texts.join(wanted, "mark", "left_semi").select("mark", "text"), _sets, "mark long, s binary"), "sets")
     a, b = sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), sets.select(F.col("mark").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("node_a", "node_b", "sa", "sb").mapInArrow(_exact, "a long, b long")
+    return map_arrow(pairs.join(a, "a").join(b, "b").select("node_a", "node_b", "sa", "sb"), _exact, "a long, b long")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import cell_type, cells, ranges
-from .common import NO_ID, docs_of, stage_table, table
+from .common import NO_ID, docs_of, map_arrow, stage_table, table
 from .induced import falling_suffixes
 
 LENGTH = 100
@@ -257,14 +257,14 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, buckets: int | None
     if buckets is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         buckets = min(1 << 30, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
-    c = d.mapInArrow(_cells_of(length, buckets), PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    c = stage_table(c.mapInArrow(_repeated_cells(length), PACKED).select("bucket", "doc", "tag", "start", "n", "repeat"), "cells")
+    c = map_arrow(d, _cells_of(length, buckets), PACKED, rows=None).repartition("bucket").sortWithinPartitions("bucket")
+    c = stage_table(map_arrow(c, _repeated_cells(length), PACKED, rows=None).select("bucket", "doc", "tag", "start", "n", "repeat"), "cells")
     shared = c.where("not repeat").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n", "bucket")).alias("cells"))  # of one document
-    s = d.join(shared, ["doc", "tag"]).select("doc", "tag", "text", "cells").mapInArrow(_cut_cells(length), PACKED)
+    s = map_arrow(d.join(shared, ["doc", "tag"]).select("doc", "tag", "text", "cells"), _cut_cells(length), PACKED, rows=None)
     s = s.select("bucket", "blob", "text").repartition("bucket").sortWithinPartitions("bucket")
-    s = stage_table(s.mapInArrow(_sorted_shards(length), PACKED).select("doc", "tag", "start", "n"), "windows")
+    s = stage_table(map_arrow(s, _sorted_shards(length), PACKED, rows=None).select("doc", "tag", "start", "n"), "windows")
     spans = c.where("repeat").select("doc", "tag", "start", "n").union(s).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    out = d.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_taken_out(length, texts), RESULT + ", kept binary" * texts)
+    out = map_arrow(d.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans"), _taken_out(length, texts), RESULT + ", kept binary" * texts)
     return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), *out.columns[1:])
 
 
