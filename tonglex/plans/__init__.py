@@ -1,4 +1,10 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with a DuckDB counterpart."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .lexicon_queries import LEXICON
+from .text_queries import TEXT
+
+_ALL = TEXT | LEXICON
+QUERIES = {k: v[0] for k, v in _ALL.items()}
+ORACLES = {k: v[1] for k, v in _ALL.items()}

@@ -1,0 +1,20 @@
+"""Stateless text functions on streams, with a static lexicon."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tonglex.functions.text import classify_normal, normalize
+from tonglex.operators.lookup import english_hits
+from tonglex.sources.lexicon import Lexicon
+
+
+def classified(stream: DataFrame, text: str) -> DataFrame:
+    """The stream with the columns norm and label."""
+    return stream.withColumn("norm", normalize(F.col(text))).withColumn("label", classify_normal(F.col("norm")))
+
+
+def english_lookup(stream: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
+    """The stream with a column hits; no state is kept."""
+    return stream.withColumn("hits", english_hits(normalize(F.col(text)), lexicon.ids("english")))
