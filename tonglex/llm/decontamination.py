@@ -26,7 +26,8 @@ from .words import column_words
 
 BLOCK_BYTES = 256 << 10
 HALF = 32  # words; a passage is two halves
-RANK, OVERSAMPLE = 96, 32
+RANK, OVERSAMPLE = 224, 32
+OWN = 10.0  # weight of the benchmark's own rows in the decomposition, so that no item falls out of the space
 STOP_SHARE = 0.05  # terms in more of the documents have no weight in vectors
 COSINE = 0.4
 SIMILAR, PARAPHRASE, ANSWER = 0.8, 0.7, 0.8
@@ -176,7 +177,7 @@ def passages(documents: list[np.ndarray], weight: np.ndarray) -> Rows:
     return Rows(row, word, value.astype(np.float32), d, names - first[d])
 
 
-CHUNK = 1 << 15
+CHUNK = 1 << 12
 
 
 def segment_sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -265,6 +266,7 @@ def latent_space(numbers: DataFrame, bench: Benchmark, weight: np.ndarray, rank:
     own = passages([i.terms for i in bench.items], weight)
     start = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
     total = tree_sum(map_arrow(numbers, _over_passages(weight, (size, width), lambda r, out: gram_times(r, start, out)), "m binary"), (size, width))
+    own.value = own.value * np.float32(OWN)
     gram_times(own, start, total)
     q = np.linalg.qr(total)[0].astype(np.float32)
 
@@ -373,9 +375,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
     equal items are all returned; empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where("length(text) > 0")
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    d = docs_of(docs).withColumn("mark", F.xxhash64("text"))
+    d = docs_of(docs).select("doc_id", F.xxhash64("text").alias("mark"), F.lower("text").alias("text"))
     out = spark.createDataFrame([], MATCHES)
     blocks = -(-size // BLOCK_BYTES)
     for k in range(blocks):
