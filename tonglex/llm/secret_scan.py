@@ -195,7 +195,8 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(run + "=" * (-len(run) % 4))
         except (binascii.Error, ValueError):
             continue
-        a, b = layer.source(m.start(), m.end())
+        padding = len(t[m.end() : m.end() + 2]) - len(t[m.end() : m.end() + 2].lstrip("="))
+        a, b = layer.source(m.start(), m.end() + padding)
         for text in _texts(raw):
             yield Layer(text, a, b)
 
