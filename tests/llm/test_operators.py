@@ -338,6 +338,24 @@ def test_one_of_each(documents):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(rows[k][0] for k in best.values())
 
 
+def test_large_groups_of_near_copies_hang_together(documents):
+    rng = random.Random(3)
+    rows = []
+    for g, (n, m, edits) in enumerate([(250, 150, 3), (150, 60, 1)]):
+        base = prose(m, rng).split()
+        for k in range(n):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(m)] = rng.choice(WORDS)
+            rows.append((1000 * g + k, " ".join(w)))
+    sets = [set(similar_texts.shingle_set(t.encode()).tolist()) for _, t in rows]
+    fps = [simhash.fingerprint(t.encode()) for _, t in rows]
+    n = range(len(rows))
+    alike = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    comp = brute_components(n, [(a, b) for a in n for b in n if a < b and rows[a][0] // 1000 == rows[b][0] // 1000 and alike(a, b)])
+    assert {r["doc_id"] for r in simhash.one_of_each(documents(rows)).collect()} == {rows[c][0] for c in set(comp.values())}
+
+
 # 7 -----------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ two to eight, and two such sets that differ little agree exactly in some parts.
 candidates, fingerprints and sizes prune them, and exact resemblance decides. With up to 32 parts on
 each of two levels, a pair at 0.8 shares none with a probability under 0.001.
 
-Within a key each text is compared with all others by fingerprint, and its two nearest go on to the
+Within a key each text is compared with all others by fingerprint, and its four nearest go on to the
 exact check. A text has up to 64 keys, so groups hang together by many links, not by all pairs.
 """
 
@@ -26,7 +26,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 PARTS = 32
 MOST_BITS = 22  # at resemblance 0.8 fingerprints differ in 9.7 bits on average, with a deviation of 2.9
-NEAREST = 2
+NEAREST = 4
 BLOCK = 2048  # texts of one key compared with one another at a time
 
 
