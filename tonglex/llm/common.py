@@ -40,20 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, outlives lost executors.
 
-    The files are removed when the driver's Python ends.
+    The files are removed by drop_stage, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete the files of a stage table that nothing reads any more."""
+    path = df._stage_path
+    _WRITTEN.remove((df.sparkSession, path))
+    _delete(df.sparkSession, path)
 
 
 def _forget() -> None:
     for spark, path in _WRITTEN:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage_table
+from .common import drop_stage, map_arrow, stage_table
 
 CHUNK = 1 << 19
 
@@ -53,6 +53,13 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _jumped(labels: DataFrame, parent: DataFrame, mark: bool = False) -> DataFrame:
+    """labels with every root replaced by that root's own root; mark: and whether it had another one."""
+    up = parent.select(F.col("node").alias("root"), F.col("root").alias("top")).where("root <> top")
+    moved = [F.col("top").isNotNull().alias("moved")] if mark else []
+    return labels.select("node", "root").join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"), *moved)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, root) for every node of an edge; root is the smallest node reachable.
 
@@ -65,21 +72,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = None
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
-        parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+        parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"), F.lit(True).alias("moved"))
         parent = stage_table(parent, "parent")
-        while True:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("top")).where("root <> top")
-            parent = stage_table(parent.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "parent")
-            if parent.where("moved").isEmpty():
-                parent = parent.drop("moved")
-                break
-            parent = parent.drop("moved")
+        while not parent.where("moved").isEmpty():
+            parent, old = stage_table(_jumped(parent, parent, mark=True), "parent"), parent
+            drop_stage(old)
         if labels is None:
-            labels = parent
+            labels = stage_table(parent.select("node", "root"), "labels")
         else:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            labels = stage_table(labels.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
-        pa_, pb = parent.select(F.col("node").alias("a"), F.col("root").alias("ra")), parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        e = e.join(pa_, "a").join(pb, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b")
-        e = stage_table(map_arrow(e, _local, "a long, b long", rows=None).distinct(), "edges")
+            labels, old = stage_table(_jumped(labels, parent), "labels"), labels
+            drop_stage(old)
+        ends = [parent.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+        next_e = e.join(ends[0], "a").join(ends[1], "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b")
+        e, old = stage_table(map_arrow(next_e, _local, "a long, b long", rows=None).distinct(), "edges"), e
+        drop_stage(old)
+        drop_stage(parent)
     return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
