@@ -257,10 +257,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, buckets: int | None
     if buckets is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         buckets = min(1 << 30, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
-    c = map_arrow(d, _cells_of(length, buckets), PACKED, rows=None).repartition("bucket").sortWithinPartitions("bucket")
+    c = map_arrow(d, _cells_of(length, buckets), PACKED, rows=2048).repartition("bucket").sortWithinPartitions("bucket")
     c = stage_table(map_arrow(c, _repeated_cells(length), PACKED, rows=None).select("bucket", "doc", "tag", "start", "n", "repeat"), "cells")
     shared = c.where("not repeat").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n", "bucket")).alias("cells"))  # of one document
-    s = map_arrow(d.join(shared, ["doc", "tag"]).select("doc", "tag", "text", "cells"), _cut_cells(length), PACKED, rows=None)
+    s = map_arrow(d.join(shared, ["doc", "tag"]).select("doc", "tag", "text", "cells"), _cut_cells(length), PACKED)
     s = s.select("bucket", "blob", "text").repartition("bucket").sortWithinPartitions("bucket")
     s = stage_table(map_arrow(s, _sorted_shards(length), PACKED, rows=None).select("doc", "tag", "start", "n"), "windows")
     spans = c.where("repeat").select("doc", "tag", "start", "n").union(s).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
