@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import docs_of, map_arrow, row_key, stage_table, table, with_rows
 from .components import connected_components, forest
-from .similar_texts import similar_links
+from .similar_texts import FEATURES, features, similar_links
 
 MAX_DISTANCE = 3
 SEGMENTS = 8
@@ -56,6 +56,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(fp.view(np.int64))], names=[*rest.schema.names, "fp"])
 
 
+def _all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All columns but text, the text's fingerprint, and the features of its shingle set."""
+    for batch in batches:
+        texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
+        fp = np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts))
+        keys, set_fp, n = zip(*map(features, texts), strict=True)
+        rest = batch.drop_columns(["text"])
+        cols = [*rest.columns, pa.array(fp.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(set_fp, pa.int64()), pa.array(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*rest.schema.names, "fp", "keys", "set_fp", "n"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp): the fingerprint as a signed long."""
     return map_arrow(docs_of(docs), _fingerprints, "doc_id long, fp long")
@@ -265,12 +276,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     key_id, key_mark = row_key(docs)
     rows = docs.select(key_id, key_mark, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    f = stage_table(map_arrow(rows, _fingerprints, "key_id long, key_mark long, fp long"), "simhash")
+    f = stage_table(map_arrow(rows, _all_features, "key_id long, key_mark long, fp long, " + FEATURES), "simhash")
     least = F.min(F.struct("key_id", "key_mark")).alias("least")
     per = stage_table(f.groupBy("fp").agg(least), "classes")
-    first = f.groupBy("key_mark").agg(F.min("key_id").alias("key_id"), F.first("fp").alias("node"))  # of each different text
-    texts = rows.join(first, ["key_id", "key_mark"]).select(F.col("key_mark").alias("mark"), "node", "text")
-    roots = connected_components(near_links(per.select("fp")).union(similar_links(texts)))
+    # of each different text, the first row; all its other columns follow from the text
+    first = f.groupBy("key_mark").agg(F.min("key_id").alias("key_id"), F.first(F.struct(F.col("fp").alias("node"), "keys", "set_fp", "n")).alias("x"))
+    first = stage_table(first.select("key_id", "key_mark", "x.*"), "texts")
+    roots = connected_components(near_links(per.select("fp")).union(similar_links(first, rows)))
     member = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
     kept = member.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     return with_rows(docs, kept, "left_semi", single=True)

@@ -59,18 +59,13 @@ def part_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> (key, mark, node, fp, n) for each of their keys."""
-    for batch in batches:
-        marks, nodes = batch.column("mark").to_numpy(), batch.column("node").to_numpy()
-        parts = []
-        for i, t in enumerate(batch.column("text").cast(pa.binary())):
-            s = shingle_set(t.as_py())
-            key = part_keys(s).view(np.int64)
-            one = np.ones(len(key), dtype=np.int64)
-            parts.append(np.stack([key, one * marks[i], one * nodes[i], one * set_fingerprint(s), one * len(s)]))
-        rows = np.concatenate([np.zeros((5, 0), dtype=np.int64), *parts], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["key", "mark", "node", "fp", "n"])
+FEATURES = "keys array<long>, set_fp long, n long"
+
+
+def features(text: bytes) -> tuple[np.ndarray, int, int]:
+    """(keys, fingerprint, size) of a text's shingle set."""
+    s = shingle_set(text)
+    return part_keys(s).view(np.int64), set_fingerprint(s), len(s)
 
 
 PAIRS = "a long, b long, node_a long, node_b long"
@@ -149,12 +144,15 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node_a").filter(keep), batch.column("node_b").filter(keep)], names=["a", "b"])
 
 
-def similar_links(texts: DataFrame) -> DataFrame:
-    """texts(mark, node, text), one row per different text -> edges (a, b) between the nodes of similar texts."""
-    rows = map_arrow(texts, _keyed, "key long, mark long, node long, fp long, n long")
-    pairs = map_arrow(rows.repartition("key").sortWithinPartitions("key", "mark"), _paired, PAIRS, rows=None)
+def similar_links(first: DataFrame, rows: DataFrame) -> DataFrame:
+    """first(key_id, key_mark, node, keys, set_fp, n), one row per different text, and rows(key_id, key_mark, text) with those
+    texts -> edges (a, b) between the nodes of similar texts."""
+    keyed = first.select(F.explode("keys").alias("key"), F.col("key_mark").alias("mark"), "node", F.col("set_fp").alias("fp"), "n")
+    pairs = map_arrow(keyed.repartition("key").sortWithinPartitions("key", "mark"), _paired, PAIRS, rows=None)
     pairs = stage_table(pairs.where("node_a <> node_b").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    sets = stage_table(map_arrow(texts.join(wanted, "mark", "left_semi").select("mark", "text"), _sets, "mark long, s binary"), "sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key_mark")).distinct()
+    wanted = first.select("key_id", "key_mark").join(wanted, "key_mark", "left_semi")
+    texts = rows.join(wanted, ["key_id", "key_mark"], "left_semi").select(F.col("key_mark").alias("mark"), "text")
+    sets = stage_table(map_arrow(texts, _sets, "mark long, s binary"), "sets")
     a, b = sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), sets.select(F.col("mark").alias("b"), F.col("s").alias("sb"))
     return map_arrow(pairs.join(a, "a").join(b, "b").select("node_a", "node_b", "sa", "sb"), _exact, "a long, b long")
