@@ -83,7 +83,10 @@ class Lexicon:
                 raise ValueError(f"lexicon: {what}: {bad}")
 
     def small(self) -> bool:
+        """Whether the index has BROADCAST_ROWS rows at most; counted once, and kept for what follows."""
         if self._rows is None:
+            if not self.index.is_cached:
+                self.index = self.index.cache()
             self._rows = self.index.limit(BROADCAST_ROWS + 1).count()
         return self._rows <= BROADCAST_ROWS
 
@@ -93,7 +96,7 @@ class Lexicon:
             raise ValueError(f"the index has over {BROADCAST_ROWS} rows")
         if kind not in self._maps:
             out: dict[str, list[tuple[int, int]]] = {}
-            for r in self.index.where(F.col("kind") == kind).toLocalIterator():
+            for r in self.index.where(F.col("kind") == kind).collect():
                 out.setdefault(r["key"], []).append((r["pos"], r["word_id"]))
             self._maps[kind] = {k: [i for _, i in sorted(v)] for k, v in out.items()}
         return self._maps[kind]
