@@ -57,20 +57,25 @@ def fold_tones(text: Column) -> Column:
 
 def is_pinyin(normal: Column) -> Column:
     """Every word is a run of syllables, each with an optional tone number; later words may be a tone number alone."""
-    fits = lambda w, i: (F.length(w) <= LONGEST_PINYIN_WORD) & w.rlike(PINYIN_WORD) | (i > 0) & w.rlike("^[1-5]$")
-    return ~F.exists(F.transform(words(fold_tones(normal)), lambda w, i: fits(w, i)), lambda ok: ~ok)
+    fits = lambda w: (F.length(w) <= LONGEST_PINYIN_WORD) & w.rlike(PINYIN_WORD) | w.rlike("^[1-5]$")
+    # exists() stops at the first word that does not fit
+    return ~normal.rlike("^[1-5](?: |$)") & ~F.exists(words(fold_tones(normal)), lambda w: ~fits(w))
 
 
 def classify_normal(normal: Column) -> Column:
     """EN, PY, ZH or UN for normalised text; NULL for NULL."""
-    return (
-        F.when(normal.isNull(), F.lit(None).cast("string"))
-        .when(normal == "", "UN")
-        .when(normal.rlike(r"\p{IsHan}"), "ZH")
-        .when(is_pinyin(normal), "PY")
-        .when(normal.rlike(r"\p{IsAlphabetic}"), "EN")
-        .otherwise("UN")
-    )
+
+    def label(n: Column) -> Column:
+        return (
+            F.when(n.isNull(), F.lit(None).cast("string"))
+            .when(n == "", "UN")
+            .when(n.rlike(r"\p{IsHan}"), "ZH")
+            .when(is_pinyin(n), "PY")
+            .when(n.rlike(r"\p{IsAlphabetic}"), "EN")
+            .otherwise("UN")
+        )
+
+    return F.get(F.transform(F.array(normal), label), F.lit(0))  # the text is normalised once, not once a branch
 
 
 def classify(text: Column) -> Column:

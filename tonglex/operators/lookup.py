@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonglex.functions.text import classify_normal, normalize, words
 from tonglex.sources.lexicon import Lexicon
@@ -22,10 +24,6 @@ LONGEST = 4  # words of an English key
 HITS = "array<struct<tok_pos:int,idx_pos:int,word_id:bigint>>"
 
 
-def _exploded(df: DataFrame, doc: str, hits: Column) -> DataFrame:
-    return df.select(doc, F.explode(hits).alias("h")).select(doc, "h.tok_pos", "h.idx_pos", "h.word_id")
-
-
 def _by_token(tokens: DataFrame, doc: str, index: DataFrame) -> DataFrame:
     """tokens(doc, tok_pos, token) joined to an index part (key, pos, word_id)."""
     return tokens.join(index, tokens["token"] == index["key"]).select(doc, F.col("tok_pos").cast("int").alias("tok_pos"), F.col("pos").alias("idx_pos"), "word_id")
@@ -124,6 +122,29 @@ def english_tokens_join(df: DataFrame, doc: str, normal: Column, keys: DataFrame
     return got.select(F.col("_d").alias(doc), F.inline(F.aggregate("hits", start, step)["kept"]).alias("tok_pos", "n", "token"))
 
 
+def english_rows(df: DataFrame, doc: str, normal: Column, ids: dict[str, list[int]]) -> DataFrame:
+    """english_hits as rows (doc, tok_pos, idx_pos, word_id), built column by column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at_word, at_id, word_ids = [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                last = None
+                for at, _, key in english_matches([w for w in text.split(" ") if w] if text else [], ids):
+                    for k, word in enumerate(ids[key]):
+                        if word != last:
+                            row.append(i)
+                            at_word.append(at)
+                            at_id.append(k)
+                            word_ids.append(word)
+                        last = word
+            cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(at_word, pa.int32()), pa.array(at_id, pa.int32()), pa.array(word_ids, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[doc, "tok_pos", "idx_pos", "word_id"])
+
+    out = T.StructType([df.schema[doc], T.StructField("tok_pos", T.IntegerType()), T.StructField("idx_pos", T.IntegerType()), T.StructField("word_id", T.LongType())])
+    return df.select(doc, F.lower(normal).alias("_n")).mapInArrow(run, out)
+
+
 def adjacent_dedup(hits: DataFrame, doc: str) -> DataFrame:
     """Leave out hits whose word_id is that of the hit before."""
     order = Window.partitionBy(doc).orderBy("tok_pos", "idx_pos")
@@ -133,7 +154,7 @@ def adjacent_dedup(hits: DataFrame, doc: str) -> DataFrame:
 def query_by_english(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
     normal = normalize(F.col(text))
     if lexicon.small():
-        return _exploded(df, doc, english_hits(normal, lexicon.ids("english")))
+        return english_rows(df, doc, normal, lexicon.ids("english"))
     index = _index(lexicon, "english")
     return adjacent_dedup(_by_token(english_tokens_join(df, doc, normal, index), doc, index), doc)
 
