@@ -19,7 +19,9 @@ from tonglex.operators.lookup import (
     query_by_pinyin,
     query_by_simplified,
     query_by_traditional,
+    trie_matches,
     with_entries,
+    word_trie,
 )
 from tonglex.operators.segment import Segmenter, regex_tokens, tokenize_join
 from tonglex.sources.lexicon import INDEX, Lexicon, seed
@@ -140,6 +142,12 @@ def test_english_tiers_and_adjacent_dedup(spark, lexicon):
     assert list(english_matches("a b c d e".split(), {"a%20b%20c%20d", "b", "e"})) == [(0, 4, "a%20b%20c%20d"), (4, 1, "e")]
 
 
+@settings(max_examples=300, deadline=None)
+@given(keys=st.sets(st.lists(st.sampled_from("abc"), min_size=1, max_size=4).map("%20".join), max_size=8), words=st.lists(st.sampled_from("abcd"), max_size=12))
+def test_english_walk_equals_probes(keys, words):
+    assert list(trie_matches(words, word_trie(keys))) == list(english_matches(words, keys))
+
+
 def test_conversion(spark, lexicon):
     s = Scripts(lexicon.pairs())
     assert col(spark, s.simplified_to_traditional, "繁体字", None) == ["繁體字", None]

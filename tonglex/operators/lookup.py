@@ -82,6 +82,35 @@ def english_matches(normal_words: list[str], keys) -> Iterator[tuple[int, int, s
             at += 1
 
 
+def word_trie(keys) -> dict:
+    """Keys as nested maps of their words; None holds a whole key."""
+    root: dict = {}
+    for key in keys:
+        node = root
+        for w in key.split("%20"):
+            node = node.setdefault(w, {})
+        node[None] = key
+    return root
+
+
+def trie_matches(normal_words: list[str], root: dict) -> Iterator[tuple[int, int, str]]:
+    """english_matches by one walk a place; for words without %20 in themselves and keys of up to LONGEST words."""
+    at, n = 0, len(normal_words)
+    while at < n:
+        node, take, key = root, 0, None
+        for k in range(at, min(at + LONGEST, n)):
+            node = node.get(normal_words[k])
+            if node is None:
+                break
+            if None in node:
+                take, key = k + 1 - at, node[None]
+        if key is None:
+            at += 1
+        else:
+            yield at, take, key
+            at += take
+
+
 def english_hits(normal: Column, ids: dict[str, list[int]]) -> Column:
     """Hits of normalised text by a map in every task; adjacent equal ids are one."""
 
@@ -126,11 +155,12 @@ def english_rows(df: DataFrame, doc: str, normal: Column, ids: dict[str, list[in
     """english_hits as rows (doc, tok_pos, idx_pos, word_id), built column by column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = word_trie(ids)
         for batch in batches:
             row, at_word, at_id, word_ids = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                last = None
-                for at, _, key in english_matches([w for w in text.split(" ") if w] if text else [], ids):
+                last, found = None, [w for w in text.split(" ") if w] if text else []
+                for at, _, key in english_matches(found, ids) if text and "%20" in text else trie_matches(found, root):
                     for k, word in enumerate(ids[key]):
                         if word != last:
                             row.append(i)
