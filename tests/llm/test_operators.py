@@ -356,6 +356,44 @@ def test_large_groups_of_near_copies_hang_together(documents):
     assert {r["doc_id"] for r in simhash.one_of_each(documents(rows)).collect()} == {rows[c][0] for c in set(comp.values())}
 
 
+def test_families_in_one_key_meet(documents):
+    """Two groups of five variants and more, nearer to themselves than to one another."""
+    rng = random.Random(21)
+    words = prose(200, rng).split()
+    for attempt in range(400):
+        other = list(words)
+        for k in rng.sample(range(200), 4):
+            other[k] = rng.choice(WORDS)
+        families = []
+        for g, base in enumerate((words, other)):
+            family = []
+            for k in range(8):
+                w = list(base)
+                w[-1] = f"end{g}{k}"
+                family.append(" ".join(w))
+            families.append(family)
+        fps = [[simhash.fingerprint(t.encode()) for t in f] for f in families]
+        if min((a ^ b).bit_count() for a in fps[0] for b in fps[1]) > 3:
+            break
+    s = [similar_texts.shingle_set(f[0].encode()) for f in families]
+    assert 5 * len(np.intersect1d(*s)) >= 4 * len(np.union1d(*s))
+    rows = [(10 * g + k, t) for g, f in enumerate(families) for k, t in enumerate(f)]
+    assert [r["doc_id"] for r in simhash.one_of_each(documents(rows)).collect()] == [0]
+
+
+def test_pairs_across_groups_of_a_long_key(monkeypatch):
+    monkeypatch.setattr(similar_texts, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    n = 60
+    rows = np.stack([np.sort(rng.integers(0, 9, n)), rng.permutation(n), np.arange(n), rng.integers(0, 1 << 24, n), rng.integers(70, 100, n)])
+    root, mark, _, fp, size = rows.tolist()
+    want = {(min(mark[i], mark[j]), max(mark[i], mark[j])) for i in range(n) for j in range(n) if root[i] != root[j] and (fp[i] ^ fp[j]).bit_count() <= similar_texts.MOST_BITS and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])}
+    got = [tuple(p) for x in similar_texts.across(rows, True) for p in x[:2].T.tolist()]
+    assert len(got) == len(set(got)) and set(got) == want
+    some = {tuple(p) for x in similar_texts.across(rows, False) for p in x[:2].T.tolist()}
+    assert some < want
+
+
 # 7 -----------------------------------------------------------------------------------------
 
 

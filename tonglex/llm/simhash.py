@@ -282,7 +282,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     # of each different text, the first row; all its other columns follow from the text
     first = f.groupBy("key_mark").agg(F.min("key_id").alias("key_id"), F.first(F.struct(F.col("fp").alias("node"), "keys", "set_fp", "n")).alias("x"))
     first = stage_table(first.select("key_id", "key_mark", "x.*"), "texts")
-    roots = connected_components(near_links(per.select("fp")).union(similar_links(first, rows)))
+    roots = connected_components(similar_links(first, rows, stage_table(near_links(per.select("fp")), "near")))
     member = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
     kept = member.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
     return with_rows(docs, kept, "left_semi", single=True)

@@ -7,7 +7,9 @@ candidates, fingerprints and sizes prune them, and exact resemblance decides. Wi
 each of two levels, a pair at 0.8 shares none with a probability under 0.001.
 
 Within a key each text is compared with all others by fingerprint, and its four nearest go on to the
-exact check. A text has up to 64 keys, so groups hang together by many links, not by all pairs.
+exact check, which joins most groups. Keys that hold more pairs stay open: of them, first each text's
+nearest in every other group, then every pair across groups is checked, so that no unchecked pair
+within the bounds of size and bits can join two groups. Pairs inside a group change nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage_table
+from .common import drop_stage, map_arrow, stage_table
+from .components import connected_components
 from .words import mix, shingle_hashes, word_hashes
 
 WIDTH = 5
@@ -69,33 +72,49 @@ def features(text: bytes) -> tuple[np.ndarray, int, int]:
 
 
 PAIRS = "a long, b long, node_a long, node_b long"
+FOUND = "key long, " + PAIRS  # key null: a pair; else a row (key, mark, node, fp, n) of an open key
+ROWS = "key long, root long, mark long, node long, fp long, n long"
 
 
-def nearest_pairs(rows: np.ndarray) -> np.ndarray:
-    """(mark a, mark b, node a, node b) of each text's nearest others of one key (rows mark, node, fp, n)."""
-    out = []
+def _bounded(fp_a: np.ndarray, n_a: np.ndarray, fp_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits that differ, whether a pair lies within the bounds of bits and size)."""
+    d = np.bitwise_count(fp_a ^ fp_b).astype(np.int16)
+    return d, (d <= MOST_BITS) & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
+
+
+def _ordered(mark_a: np.ndarray, mark_b: np.ndarray, node_a: np.ndarray, node_b: np.ndarray) -> np.ndarray:
+    """Rows mark a, mark b, node a, node b with the smaller mark first."""
+    turn = mark_a > mark_b
+    return np.stack([np.where(turn, mark_b, mark_a), np.where(turn, mark_a, mark_b), np.where(turn, node_b, node_a), np.where(turn, node_a, node_b)])
+
+
+def nearest_pairs(rows: np.ndarray) -> tuple[np.ndarray, bool]:
+    """(mark a, mark b, node a, node b) of each text's nearest others of one key (rows mark, node, fp, n), and whether more are within the bounds."""
+    out, more = [], rows.shape[1] > BLOCK
     mark, node, fp, n = rows
     f = fp.view(np.uint64)
     for at in range(0, len(mark), BLOCK):  # sorted by mark, so that blocks are the same in every run
         m, nodes, x, size = mark[at : at + BLOCK], node[at : at + BLOCK], f[at : at + BLOCK], n[at : at + BLOCK]
         if at and len(m) < 2:
             m, nodes, x, size = mark[at - 1 :], node[at - 1 :], f[at - 1 :], n[at - 1 :]
-        d = np.bitwise_count(x[:, None] ^ x[None, :]).astype(np.int16)
-        d[np.minimum(size[:, None], size[None, :]) < SIMILARITY * np.maximum(size[:, None], size[None, :])] = 99
-        np.fill_diagonal(d, 99)
+        d, left = _bounded(x[:, None], size[:, None], x[None, :], size[None, :])
+        left &= nodes[:, None] != nodes[None, :]
+        d[~left] = 99
         for _ in range(min(NEAREST, len(m) - 1)):
             j = d.argmin(axis=1)
             i = np.arange(len(m))
-            near = d[i, j] <= MOST_BITS
+            near = d[i, j] < 99
             a, b = i[near], j[near]
-            a, b = np.where(m[a] < m[b], a, b), np.where(m[a] < m[b], b, a)
-            out.append(np.stack([m[a], m[b], nodes[a], nodes[b]]))
+            out.append(_ordered(m[a], m[b], nodes[a], nodes[b]))
             d[i, j] = 99
-    return np.unique(np.concatenate([np.zeros((4, 0), dtype=np.int64), *out], axis=1), axis=1)
+            left[a, b] = left[b, a] = False
+        more = more or bool(left.any())
+    return np.unique(np.concatenate([np.zeros((4, 0), dtype=np.int64), *out], axis=1), axis=1), more
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, mark -> candidate pairs."""
+    """Rows sorted by key, mark -> candidate pairs, and the rows of open keys."""
+    parted = None  # the long key that goes on in blocks
 
     def found(rows: np.ndarray):
         key = rows[0]
@@ -103,13 +122,19 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
         size = ends - starts
         two = starts[size == 2]
-        ok = np.bitwise_count(rows[3, two].view(np.uint64) ^ rows[3, two + 1].view(np.uint64)) <= MOST_BITS
-        ok &= np.minimum(rows[4, two], rows[4, two + 1]) >= SIMILARITY * np.maximum(rows[4, two], rows[4, two + 1])
+        ok = _bounded(rows[3, two].view(np.uint64), rows[4, two], rows[3, two + 1].view(np.uint64), rows[4, two + 1])[1]
         two = two[ok]
         pairs = [np.stack([rows[1, two], rows[1, two + 1], rows[2, two], rows[2, two + 1]])]
-        pairs += [nearest_pairs(rows[1:, s:e]) for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True)]
+        stay = [rows[:, key == parted]] if parted is not None else []
+        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+            some, more = nearest_pairs(rows[1:, s:e])
+            pairs.append(some)
+            if more and key[s] != parted:
+                stay.append(rows[:, s:e])
         p = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in p], names=["a", "b", "node_a", "node_b"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(p.shape[1], pa.int64()), *(pa.array(c) for c in p)], names=["key", "a", "b", "node_a", "node_b"])
+        if stay:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(stay, axis=1)], names=["key", "a", "b", "node_a", "node_b"])
 
     held = np.zeros((5, 0), dtype=np.int64)
     for batch in batches:
@@ -118,13 +143,71 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         last = rows[0] == rows[0, -1]
         if not last.all():
-            yield found(rows[:, ~last])
+            yield from found(rows[:, ~last])
         held = rows[:, last]
         while held.shape[1] >= 2 * BLOCK:  # a long key goes on in blocks that share a text
-            yield found(held[:, :BLOCK])
+            parted = held[0, 0]
+            yield from found(held[:, :BLOCK])
             held = held[:, BLOCK - 1 :]
     if held.shape[1]:
-        yield found(held)
+        yield from found(held)
+
+
+def across(rows: np.ndarray, every: bool) -> Iterator[np.ndarray]:
+    """Pairs within the bounds across the roots of one key (rows root, mark, node, fp, n, sorted by root): all of them, or each text's nearest in every other root."""
+    root, mark, node, fp, n = rows
+    f = fp.view(np.uint64)
+    blocks = [slice(at, min(at + BLOCK, len(root))) for at in range(0, len(root), BLOCK)]
+    for k, a in enumerate(blocks):
+        for b in blocks[k:]:
+            if root[a.start] == root[b.stop - 1]:
+                continue
+            d, ok = _bounded(f[a, None], n[a, None], f[None, b], n[None, b])
+            ok &= root[a, None] < root[None, b]
+            if not every and ok.any():
+                d[~ok] = 99
+                best = np.zeros_like(ok)
+                for x, r, turned in ((d, root[b], False), (d.T, root[a], True)):
+                    starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                    for s, e in zip(starts.tolist(), np.append(starts[1:], len(r)).tolist(), strict=True):
+                        j = s + x[:, s:e].argmin(axis=1)
+                        i = np.arange(len(x))
+                        best[(j, i) if turned else (i, j)] = True
+                ok &= best
+            i, j = np.nonzero(ok)
+            if len(i):
+                i, j = i + a.start, j + b.start
+                yield _ordered(mark[i], mark[j], node[i], node[j])
+
+
+def _across(every: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key, root, mark -> pairs across roots."""
+
+        def found(rows: np.ndarray):
+            cut = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), rows.shape[1]], strict=True):
+                if rows[1, s] != rows[1, e - 1]:
+                    for p in across(rows[1:, s:e], every):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in p], names=["a", "b", "node_a", "node_b"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)])
+            if not rows.shape[1]:
+                continue
+            if rows[0, 0] == rows[0, -1] and held and held[0][0, 0] == rows[0, 0]:
+                held.append(rows)
+                continue
+            rows = np.concatenate([*held, rows], axis=1)
+            last = rows[0] == rows[0, -1]
+            if not last.all():
+                yield from found(rows[:, ~last])
+            held = [rows[:, last]]
+        if held:
+            yield from found(np.concatenate(held, axis=1))
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,15 +227,37 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node_a").filter(keep), batch.column("node_b").filter(keep)], names=["a", "b"])
 
 
-def similar_links(first: DataFrame, rows: DataFrame) -> DataFrame:
-    """first(key_id, key_mark, node, keys, set_fp, n), one row per different text, and rows(key_id, key_mark, text) with those
-    texts -> edges (a, b) between the nodes of similar texts."""
-    keyed = first.select(F.explode("keys").alias("key"), F.col("key_mark").alias("mark"), "node", F.col("set_fp").alias("fp"), "n")
-    pairs = map_arrow(keyed.repartition("key").sortWithinPartitions("key", "mark"), _paired, PAIRS, rows=None)
-    pairs = stage_table(pairs.where("node_a <> node_b").distinct(), "pairs")
+def _checked(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between the nodes of those pairs whose texts are similar."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key_mark")).distinct()
     wanted = first.select("key_id", "key_mark").join(wanted, "key_mark", "left_semi")
     texts = rows.join(wanted, ["key_id", "key_mark"], "left_semi").select(F.col("key_mark").alias("mark"), "text")
     sets = stage_table(map_arrow(texts, _sets, "mark long, s binary"), "sets")
     a, b = sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), sets.select(F.col("mark").alias("b"), F.col("s").alias("sb"))
-    return map_arrow(pairs.join(a, "a").join(b, "b").select("node_a", "node_b", "sa", "sb"), _exact, "a long, b long")
+    links = stage_table(map_arrow(pairs.join(a, "a").join(b, "b").select("node_a", "node_b", "sa", "sb"), _exact, "a long, b long"), "links")
+    drop_stage(sets)
+    return links
+
+
+def similar_links(first: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
+    """first(key_id, key_mark, node, keys, set_fp, n), one row per different text, rows(key_id, key_mark, text) with those
+    texts, and edges near(a, b) known before -> edges (a, b) that connect those and the nodes of similar texts."""
+    keyed = first.select(F.explode("keys").alias("key"), F.col("key_mark").alias("mark"), "node", F.col("set_fp").alias("fp"), "n")
+    raw = stage_table(map_arrow(keyed.repartition("key").sortWithinPartitions("key", "mark"), _paired, FOUND, rows=None), "found")
+    checked = stage_table(raw.where("key is null and node_a <> node_b").drop("key").distinct(), "pairs")
+    edges = near.union(_checked(checked, first, rows))
+    still = raw.where("key is not null").select("key", F.col("a").alias("mark"), F.col("b").alias("node"), F.col("node_a").alias("fp"), F.col("node_b").alias("n"))
+    if still.isEmpty():
+        return edges
+    roots = None
+    for every in (False, True):
+        if roots is None:
+            roots = connected_components(edges)
+        placed = still.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "mark", "node", "fp", "n")
+        pairs = map_arrow(placed.repartition("key").sortWithinPartitions("key", "root", "mark"), _across(every), PAIRS, rows=None)
+        pairs = stage_table(pairs.distinct().join(checked, ["a", "b"], "left_anti").select("a", "b", "node_a", "node_b"), "pairs")
+        if pairs.isEmpty():
+            continue
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_checked(pairs, first, rows))
+        checked, roots = checked.select("a", "b").union(pairs.select("a", "b")), None
+    return edges
