@@ -381,6 +381,21 @@ def test_families_in_one_key_meet(documents):
     assert [r["doc_id"] for r in simhash.one_of_each(documents(rows)).collect()] == [0]
 
 
+def test_similar_sets_of_every_size_share_a_key():
+    """A text and itself with words appended, at the lowest size ratio, meet and stay within the bounds."""
+    rng = np.random.default_rng(12)
+    for n in range(1, 200):
+        for _ in range(20):
+            y = np.unique(rng.integers(0, 1 << 64, 5 * n // 4, dtype=np.uint64))
+            x = np.sort(rng.permutation(y)[:n])
+            common = np.intersect1d(similar_texts.all_keys(x), similar_texts.all_keys(y))
+            assert len(common), n
+            f = [(similar_texts.set_fingerprint(s), similar_texts.parity_bits(s)) for s in (x, y)]
+            for odd in set((common & np.uint64(1)).tolist()):
+                a, b = (np.array([v[1 - odd]], dtype=np.int64).view(np.uint64) for v in f)
+                assert similar_texts._bounded(odd, a, np.array([len(x)]), b, np.array([len(y)]))[1].all() or odd, n
+
+
 def test_pairs_across_groups_of_a_long_key(monkeypatch):
     monkeypatch.setattr(similar_texts, "BLOCK", 7)
     rng = np.random.default_rng(4)

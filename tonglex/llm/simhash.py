@@ -61,10 +61,10 @@ def _all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
         fp = np.fromiter(map(fingerprint, texts), dtype=np.uint64, count=len(texts))
-        keys, set_fp, n = zip(*map(features, texts), strict=True)
+        keys, set_fp, parity, n = zip(*map(features, texts), strict=True)
         rest = batch.drop_columns(["text"])
-        cols = [*rest.columns, pa.array(fp.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(set_fp, pa.int64()), pa.array(n, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=[*rest.schema.names, "fp", "keys", "set_fp", "n"])
+        cols = [*rest.columns, pa.array(fp.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(set_fp, pa.int64()), pa.array(parity, pa.int64()), pa.array(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=[*rest.schema.names, "fp", "keys", "set_fp", "parity", "n"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     least = F.min(F.struct("key_id", "key_mark")).alias("least")
     per = stage_table(f.groupBy("fp").agg(least), "classes")
     # of each different text, the first row; all its other columns follow from the text
-    first = f.groupBy("key_mark").agg(F.min("key_id").alias("key_id"), F.first(F.struct(F.col("fp").alias("node"), "keys", "set_fp", "n")).alias("x"))
+    first = f.groupBy("key_mark").agg(F.min("key_id").alias("key_id"), F.first(F.struct(F.col("fp").alias("node"), "keys", "set_fp", "parity", "n")).alias("x"))
     first = stage_table(first.select("key_id", "key_mark", "x.*"), "texts")
     roots = connected_components(similar_links(first, rows, stage_table(near_links(per.select("fp")), "near")))
     member = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")

@@ -1,10 +1,13 @@
 """Texts of resemblance 0.8 or more on five-word shingles, for the near-duplicate stage.
 
 At that resemblance 64-bit fingerprints differ in up to some 20 bits, where exact keys over the bits
-no longer select. The ring is therefore laid over the shingles: they are dealt by hash into parts of
-two to eight, and two such sets that differ little agree exactly in some parts. Equal parts make
-candidates, fingerprints and sizes prune them, and exact resemblance decides. With up to 32 parts on
-each of two levels, a pair at 0.8 shares none with a probability under 0.001.
+no longer select. Sets of at most SMALL shingles are found exactly: in order of their hashes, two sets
+at 0.8 share one of their first n - ceil(0.8 n) + 1 shingles. Parities of 64 classes of shingles, whose
+differences never exceed those of the sets, prune the pairs. For larger sets the ring is laid over
+the shingles: they are dealt by hash into parts of two to eight, and two such sets that differ little
+agree exactly in some parts. Equal parts make candidates, fingerprints and sizes prune them, and exact
+resemblance decides. With 32 parts on a level that both sets have, a pair at 0.8 shares none with a
+probability under 0.001.
 
 Within a key each text is compared with all others by fingerprint, and its four nearest go on to the
 exact check, which joins most groups. Keys that hold more pairs stay open: of them, first each text's
@@ -30,6 +33,7 @@ SIMILARITY = 0.8
 PARTS = 32
 MOST_BITS = 22  # at resemblance 0.8 fingerprints differ in 9.7 bits on average, with a deviation of 2.9
 NEAREST = 4
+SMALL = 64  # shingles; a set of up to 5/4 as many can be similar to such a one
 BLOCK = 2048  # texts of one key compared with one another at a time
 
 
@@ -44,8 +48,18 @@ def set_fingerprint(s: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0]) if len(s) else 0
 
 
+def parity_bits(s: np.ndarray) -> int:
+    """Parity of the number of shingles in each of 64 classes: two sets differ in as many shingles as these in bits, or more."""
+    return int(np.bitwise_xor.reduce(np.uint64(1) << (mix(s) & np.uint64(63)), initial=np.uint64(0)).view(np.int64))
+
+
+def prefix_keys(s: np.ndarray) -> np.ndarray:
+    """Even keys of the first shingles of a sorted set, of which two sets at 0.8 share one."""
+    return mix(s[: len(s) + 4 * len(s) // -5 + 1]) & ~np.uint64(1) if len(s) else s
+
+
 def part_keys(s: np.ndarray) -> np.ndarray:
-    """Keys of the parts of a shingle set on two levels; parts of one shingle only count in sets of fewer than 16."""
+    """Odd keys of the parts of a shingle set on two levels; parts of one shingle don't count."""
     level = max(0, int(np.ceil(np.log2(max(len(s), 1) / 8))))
     out = []
     for k in (level, level + 1):
@@ -57,18 +71,25 @@ def part_keys(s: np.ndarray) -> np.ndarray:
             continue
         starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
         size = np.diff(np.append(starts, len(p)))
-        key = mix(np.add.reduceat(mix(h), starts) + p[starts] * np.uint64(97) + np.uint64(k))
-        out.append(key[(size > 1) | (len(s) < 16)])
+        key = mix(np.add.reduceat(mix(h), starts) + p[starts] * np.uint64(97) + np.uint64(k)) | np.uint64(1)
+        out.append(key[size > 1])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-FEATURES = "keys array<long>, set_fp long, n long"
+def all_keys(s: np.ndarray) -> np.ndarray:
+    """Prefix keys for pairs with a set of at most SMALL shingles, part keys for all others; sets between have both."""
+    small = [prefix_keys(s)] if 4 * len(s) <= 5 * SMALL else []
+    large = [part_keys(s)] if len(s) > SMALL else []
+    return np.concatenate(small + large)
+
+
+FEATURES = "keys array<long>, set_fp long, parity long, n long"
 
 
-def features(text: bytes) -> tuple[np.ndarray, int, int]:
-    """(keys, fingerprint, size) of a text's shingle set."""
+def features(text: bytes) -> tuple[np.ndarray, int, int, int]:
+    """(keys, fingerprint, parities, size) of a text's shingle set."""
     s = shingle_set(text)
-    return part_keys(s).view(np.int64), set_fingerprint(s), len(s)
+    return all_keys(s).view(np.int64), set_fingerprint(s), parity_bits(s), len(s)
 
 
 PAIRS = "a long, b long, node_a long, node_b long"
@@ -76,10 +97,10 @@ FOUND = "key long, " + PAIRS  # key null: a pair; else a row (key, mark, node, f
 ROWS = "key long, root long, mark long, node long, fp long, n long"
 
 
-def _bounded(fp_a: np.ndarray, n_a: np.ndarray, fp_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits that differ, whether a pair lies within the bounds of bits and size)."""
+def _bounded(odd: np.ndarray, fp_a: np.ndarray, n_a: np.ndarray, fp_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits that differ, whether a pair lies within the bounds of bits and size); odd keys come with fingerprints, even ones with parities."""
     d = np.bitwise_count(fp_a ^ fp_b).astype(np.int16)
-    return d, (d <= MOST_BITS) & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
+    return d, np.where(odd, d <= MOST_BITS, 9 * d <= n_a + n_b) & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
 
 
 def _ordered(mark_a: np.ndarray, mark_b: np.ndarray, node_a: np.ndarray, node_b: np.ndarray) -> np.ndarray:
@@ -88,7 +109,7 @@ def _ordered(mark_a: np.ndarray, mark_b: np.ndarray, node_a: np.ndarray, node_b:
     return np.stack([np.where(turn, mark_b, mark_a), np.where(turn, mark_a, mark_b), np.where(turn, node_b, node_a), np.where(turn, node_a, node_b)])
 
 
-def nearest_pairs(rows: np.ndarray) -> tuple[np.ndarray, bool]:
+def nearest_pairs(rows: np.ndarray, odd: int = 1) -> tuple[np.ndarray, bool]:
     """(mark a, mark b, node a, node b) of each text's nearest others of one key (rows mark, node, fp, n), and whether more are within the bounds."""
     out, more = [], rows.shape[1] > BLOCK
     mark, node, fp, n = rows
@@ -97,7 +118,7 @@ def nearest_pairs(rows: np.ndarray) -> tuple[np.ndarray, bool]:
         m, nodes, x, size = mark[at : at + BLOCK], node[at : at + BLOCK], f[at : at + BLOCK], n[at : at + BLOCK]
         if at and len(m) < 2:
             m, nodes, x, size = mark[at - 1 :], node[at - 1 :], f[at - 1 :], n[at - 1 :]
-        d, left = _bounded(x[:, None], size[:, None], x[None, :], size[None, :])
+        d, left = _bounded(odd, x[:, None], size[:, None], x[None, :], size[None, :])
         left &= nodes[:, None] != nodes[None, :]
         d[~left] = 99
         for _ in range(min(NEAREST, len(m) - 1)):
@@ -122,12 +143,12 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
         size = ends - starts
         two = starts[size == 2]
-        ok = _bounded(rows[3, two].view(np.uint64), rows[4, two], rows[3, two + 1].view(np.uint64), rows[4, two + 1])[1]
+        ok = _bounded(key[two] & 1, rows[3, two].view(np.uint64), rows[4, two], rows[3, two + 1].view(np.uint64), rows[4, two + 1])[1]
         two = two[ok]
         pairs = [np.stack([rows[1, two], rows[1, two + 1], rows[2, two], rows[2, two + 1]])]
         stay = [rows[:, key == parted]] if parted is not None else []
         for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            some, more = nearest_pairs(rows[1:, s:e])
+            some, more = nearest_pairs(rows[1:, s:e], key[s] & 1)
             pairs.append(some)
             if more and key[s] != parted:
                 stay.append(rows[:, s:e])
@@ -153,7 +174,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(held)
 
 
-def across(rows: np.ndarray, every: bool) -> Iterator[np.ndarray]:
+def across(rows: np.ndarray, every: bool, odd: int = 1) -> Iterator[np.ndarray]:
     """Pairs within the bounds across the roots of one key (rows root, mark, node, fp, n, sorted by root): all of them, or each text's nearest in every other root."""
     root, mark, node, fp, n = rows
     f = fp.view(np.uint64)
@@ -162,7 +183,7 @@ def across(rows: np.ndarray, every: bool) -> Iterator[np.ndarray]:
         for b in blocks[k:]:
             if root[a.start] == root[b.stop - 1]:
                 continue
-            d, ok = _bounded(f[a, None], n[a, None], f[None, b], n[None, b])
+            d, ok = _bounded(odd, f[a, None], n[a, None], f[None, b], n[None, b])
             ok &= root[a, None] < root[None, b]
             if not every and ok.any():
                 d[~ok] = 99
@@ -188,7 +209,7 @@ def _across(every: bool):
             cut = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), rows.shape[1]], strict=True):
                 if rows[1, s] != rows[1, e - 1]:
-                    for p in across(rows[1:, s:e], every):
+                    for p in across(rows[1:, s:e], every, rows[0, s] & 1):
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in p], names=["a", "b", "node_a", "node_b"])
 
         held: list[np.ndarray] = []
@@ -240,9 +261,10 @@ def _checked(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def similar_links(first: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
-    """first(key_id, key_mark, node, keys, set_fp, n), one row per different text, rows(key_id, key_mark, text) with those
+    """first(key_id, key_mark, node, keys, set_fp, parity, n), one row per different text, rows(key_id, key_mark, text) with those
     texts, and edges near(a, b) known before -> edges (a, b) that connect those and the nodes of similar texts."""
-    keyed = first.select(F.explode("keys").alias("key"), F.col("key_mark").alias("mark"), "node", F.col("set_fp").alias("fp"), "n")
+    keyed = first.select(F.explode("keys").alias("key"), F.col("key_mark").alias("mark"), "node", "set_fp", "parity", "n")
+    keyed = keyed.select("key", "mark", "node", F.when(F.col("key").bitwiseAND(1) == 1, F.col("set_fp")).otherwise(F.col("parity")).alias("fp"), "n")
     raw = stage_table(map_arrow(keyed.repartition("key").sortWithinPartitions("key", "mark"), _paired, FOUND, rows=None), "found")
     checked = stage_table(raw.where("key is null and node_a <> node_b").drop("key").distinct(), "pairs")
     edges = near.union(_checked(checked, first, rows))
