@@ -228,6 +228,24 @@ def test_decontamination(spark, documents):
     assert decontamination.contaminated(documents(rows), bench.limit(0)).count() == 0
 
 
+def test_paraphrase_in_a_hot_group(spark, documents):
+    """What a paraphrase in a quarter of the documents shares with its item is frequent, and still finds it."""
+    rng = random.Random(18)
+    item = prose(51, rng)
+    part = item.split()
+    for k in range(3, 48, 6):
+        part[k] = f"changed{k}"
+    rows = []
+    for d in range(480):
+        words = prose(rng.randint(40, 120), rng).split()
+        if d % 4 == 0:
+            words[20:20] = part
+        rows.append((d, " ".join(words)))
+    bench = spark.createDataFrame([(1, item), (2, prose(45, rng))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(rows), bench).collect()}
+    assert got == {(d, 1) for d in range(0, 480, 4)}
+
+
 def test_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):

@@ -28,7 +28,7 @@ BLOCK_BYTES = 256 << 10
 HALF = 32  # words; a passage is two halves
 RANK, OVERSAMPLE = 224, 32
 OWN = 10.0  # weight of the benchmark's own rows in the decomposition, so that no item falls out of the space
-STOP_SHARE = 0.05  # terms in more of the documents have no weight in vectors
+LEAST_WEIGHT = 0.6  # of a term no document has; what many copies of a paraphrase share of an item must outweigh what they changed
 COSINE = 0.4
 SIMILAR, PARAPHRASE, ANSWER = 0.8, 0.7, 0.8
 SPREAD = 1.5  # a match lies within so many times the item's length
@@ -346,23 +346,16 @@ def _search(bench: Benchmark, weight: np.ndarray, space: np.ndarray, cosine: flo
     return run
 
 
-def weights(numbers: DataFrame, bench: Benchmark, stop_share: float = STOP_SHARE) -> np.ndarray:
-    """Inverse document frequencies by term number; 0 for 0 and for terms in too many documents.
-
-    Terms of an item that would keep fewer than three weighted terms stay weighted.
-    """
+def weights(numbers: DataFrame, bench: Benchmark) -> np.ndarray:
+    """Inverse document frequencies by term number, none under LEAST_WEIGHT of the greatest possible; 0 for 0."""
     size = len(bench.pairs)
     counts = map_arrow(numbers, _document_counts(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = np.zeros(size + 1)
     for r in counts.toLocalIterator():  # a row for each word of the block at most
         df[r["term"]] = r["n"]
     total = max(numbers.count(), 1)
-    idf = np.log((total + 1) / (df + 0.5))
-    out = np.where(df <= max(stop_share * total, 20), np.maximum(idf, 0.1), 0.0)
+    out = np.maximum(np.log((total + 1) / (df + 0.5)), LEAST_WEIGHT * np.log(2 * (total + 1)))
     out[0] = 0
-    for i in bench.items:
-        if (out[np.unique(i.terms)] > 0).sum() < 3:
-            out[i.terms] = np.maximum(idf[i.terms], 0.1)
     return out
 
 
