@@ -156,6 +156,27 @@ def test_secret_layers(documents):
     assert secret_scan.scan_secrets(documents([])).count() == 0
 
 
+def spans_of(text):
+    return secret_scan.all_spans(text, secret_scan.base_spans(text))
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\n  "])
+def test_secret_in_wrapped_base64(width, line):
+    rng = random.Random(width)
+    noise = "".join(rng.choice("abc xyz") for _ in range(width * 3 // 4 - 8))
+    for raw in ((noise + SECRET).encode(), gzip.compress((prose(60, rng) + SECRET).encode())):
+        code = base64.b64encode(raw).decode()
+        code = line.join(code[i : i + width] for i in range(0, len(code), width))
+        assert (0, 4, 4 + len(code)) in spans_of(f"see {code} end")
+
+
+@pytest.mark.parametrize("before", ["x/", "data_", "key-", "a/bc/d_", "x", "xy", "xyz"])
+def test_secret_in_base64_behind_characters_of_its_class(before):
+    code = base64.b64encode(f"{SECRET} and more".encode()).decode()
+    assert (0, 4 + len(before), 4 + len(before) + len(code)) in spans_of(f"see {before}{code} end")
+
+
 def test_redaction(documents):
     out = {r["doc_id"]: r for r in secret_scan.redact_secrets(documents([(1, f"a {SECRET} b"), (2, None), (3, "clean")])).collect()}
     assert out[1]["text"] == "a [REDACTED] b" and out[1]["n_chars"] == len(out[1]["text"])

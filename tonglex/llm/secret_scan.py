@@ -2,14 +2,14 @@
 
 A layer is a text plus, for each of its characters, the range of the document it came from.
 Percent and Unicode escapes are undone over a whole layer; base64 runs, and what they
-compress, open layers of their own. Every new layer is scanned and searched for further
+compress, open layers of their own; lines that base64 was wrapped into are one run more, and a run that does not
+decode from its start is tried from its next three characters and behind each / _ and -. Every new layer is scanned and searched for further
 layers until none is new; layers already seen end cycles.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -28,6 +28,8 @@ _FLAGS = re.IGNORECASE | re.ASCII
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS)
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -182,23 +184,77 @@ def _texts(raw: bytes) -> Iterator[str]:
             yield t
 
 
+def _wrapped(t: str) -> Iterator[list[tuple[int, int]]]:
+    """Lines (start, end) of base64 that was wrapped: lines of one width, the first one perhaps longer, and a last one of that or less."""
+    for m in _LINES.finditer(t):
+        lines = [x.span() for x in _LINE.finditer(t, m.start(), m.end())]
+        width = [b - a for a, b in lines]
+        i = 0
+        while i + 1 < len(lines):
+            end = i + 1
+            for w in {width[i], width[i + 1]}:
+                j = i + 1
+                while j < len(lines) and width[j] == w:
+                    j += 1
+                j += j < len(lines) and width[j] < w
+                if 16 <= w <= width[i] and j - i > 1:
+                    yield lines[i:j]
+                    end = max(end, j)
+            i = end
+
+
+def _may_open(head: bytes) -> bool:
+    """Whether bytes that begin so can be text or compressed."""
+    if _inflate(head) is not None:
+        return True
+    try:
+        head.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return e.start > len(head) - 4 and len(head) == 64  # a character that goes on behind the head
+    return True
+
+
+def _decoded(run: str) -> Iterator[tuple[int, str]]:
+    """(characters skipped, text) of what base64 decodes to, from the run's start or else, by alignment, the first other place that gives a text."""
+    plain = run.replace("-", "+").replace("_", "/")
+    raws: dict[int, bytes] = {}
+    done: set[int] = set()
+    for at in [0, *(i + 1 for i, c in enumerate(run) if c in "/_-"), 1, 2, 3]:
+        k = at % 4
+        if k in done or (at and len(run) - at < 16):
+            continue
+        if k not in raws:
+            part = plain[k : len(plain) - ((len(plain) - k) % 4 == 1)]
+            raws[k] = base64.b64decode(part + "=" * (-len(part) % 4))
+        skip = (at - k) // 4 * 3
+        if at and not _may_open(raws[k][skip : skip + 64]):
+            continue
+        some = False
+        for text in _texts(raws[k][skip:]):
+            some = True
+            yield at, text
+        if some and not at:
+            return
+        if some:
+            done.add(k)
+
+
 def _unwrapped(layer: Layer) -> Iterator[Layer]:
     t = layer.text
     if "%" in t and (x := _rewritten(layer, _PERCENT, _percent)):
         yield x
     if ("\\" in t or "&#" in t) and (x := _rewritten(layer, _ESCAPE, _unescape)):
         yield x
-    for m in _RUN.finditer(t):
-        run = m[0].replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        padding = len(t[m.end() : m.end() + 2]) - len(t[m.end() : m.end() + 2].lstrip("="))
-        a, b = layer.source(m.start(), m.end() + padding)
-        for text in _texts(raw):
-            yield Layer(text, a, b)
+    runs = [[m.span()] for m in _RUN.finditer(t)]
+    for lines in [*runs, *(_wrapped(t) if "\n" in t else ())]:
+        end = lines[-1][1]
+        padding = len(t[end : end + 2]) - len(t[end : end + 2].lstrip("="))
+        for skip, text in _decoded("".join(t[a:b] for a, b in lines)):
+            for start, stop in lines:  # the place of the first character that was not skipped
+                if skip < stop - start:
+                    break
+                skip -= stop - start
+            yield Layer(text, *layer.source(start + skip, end + padding))
 
 
 def all_spans(text: str, base: list[Span]) -> list[Span]:
