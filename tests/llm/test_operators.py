@@ -487,7 +487,7 @@ def test_packing(documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    rows = [(i, prose(RNG.randint(0, 500))) for i in range(80)] + [(90, None), (91, ""), (None, "x"), (92, prose(6000)), (93, "a b"), (93, "a b"), (94, "éß漢 \n\n  <|endof")]
+    rows = [(i, prose(RNG.randint(0, 500))) for i in range(80)] + [(90, None), (91, ""), (None, "x"), (92, prose(6000)), (93, "a b"), (93, "a b"), (94, "éß漢 \n\n  <|endof"), (95, "a <|endoftext|> b"), (96, "<|endoftext|>" * 1500 + " x  <|endoftext|>\n <|endoftext|")]
     got = packing.pack(documents(rows)).collect()
     want = Counter()
     for i, text in rows:
@@ -513,10 +513,17 @@ def test_packing(documents):
 
 def test_ranks_equal_the_tokenizer():
     import public_tokenizers
+    from tokenizers import Tokenizer
 
-    a, b = tokens.encoder(), tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in (prose(200), "", "<|endoftext|> x", "  a\n\n\tb 漢字 éà 123 it's", "\u200b🙂" * 5):
-        assert a(text) == list(b(text))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, a, b = Tokenizer.from_file(path), tokens.encoder(), tokens.encoder(path)
+    texts = [prose(200), "", "<|endoftext|> x", "a <|endoftext|> b", "  <|endoftext|>  \n<|endoftext|><|endoftext", "  a\n\n\tb 漢字 éà 123 it's", "\u200b🙂" * 5]
+    parts = ["<|endoftext|>", " ", "\n", "it's", "<|", "|>", "漢", "1", "endoftext"]
+    texts += ["".join(RNG.choices(parts, k=RNG.randint(1, 12))) for _ in range(300)]
+    for text in texts:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert a(text) == want and list(b(text)) == want
+    assert a("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 @pytest.mark.parametrize("score", ["residual_norm", "dot_product"])
