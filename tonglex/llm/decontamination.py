@@ -27,7 +27,8 @@ from .words import column_words
 BLOCK_BYTES = 256 << 10
 HALF = 32  # words; a passage is two halves
 RANK, OVERSAMPLE = 224, 32
-OWN = 10.0  # weight of the benchmark's own rows in the decomposition, so that no item falls out of the space
+OWN = 10.0  # least weight of the benchmark's own rows in the decomposition
+OWN_SHARE = 0.5  # their squared weights against those of the corpus, whatever its size, so that no item falls out of the space
 LEAST_WEIGHT = 0.6  # of a term no document has; what many copies of a paraphrase share of an item must outweigh what they changed
 COSINE = 0.4
 SIMILAR, PARAPHRASE, ANSWER = 0.8, 0.7, 0.8
@@ -264,9 +265,15 @@ def latent_space(numbers: DataFrame, bench: Benchmark, weight: np.ndarray, rank:
     size = len(weight)
     width = min(rank + oversample, size)
     own = passages([i.terms for i in bench.items], weight)
+
+    def products(r: Rows, out: np.ndarray) -> None:
+        gram_times(r, start, out[:-1])
+        out[-1, 0] += len(r.doc)  # rows have unit length: their number is the corpus's squared weight
+
     start = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
-    total = tree_sum(map_arrow(numbers, _over_passages(weight, (size, width), lambda r, out: gram_times(r, start, out)), "m binary"), (size, width))
-    own.value = own.value * np.float32(OWN)
+    total = tree_sum(map_arrow(numbers, _over_passages(weight, (size + 1, width), products), "m binary"), (size + 1, width))
+    total, rows = total[:-1], total[-1, 0]
+    own.value = own.value * np.float32(max(OWN, np.sqrt(OWN_SHARE * rows / max(len(own.doc), 1))))
     gram_times(own, start, total)
     q = np.linalg.qr(total)[0].astype(np.float32)
 
