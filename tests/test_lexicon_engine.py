@@ -131,6 +131,28 @@ def test_query(spark, lexicon):
     assert rows[n + 2]["hits"] and rows[n + 3]["hits"] == [] and rows[n + 4]["hits"] is None
 
 
+def test_query_answers_every_row(spark, lexicon):
+    rows = [(1, "watermelon"), (1, "people"), (None, "watermelon"), (None, None), (2, "zzz"), (2, "zzz"), (None, "?"), (3, "你好")]
+    t = spark.createDataFrame(rows, "id long, t string")
+    entry = {r["word_id"]: r["traditional"] for r in lexicon.entries.collect()}
+    found = lambda x: sorted(((r["id"], r["label"], None if r["hits"] is None else [entry[h["word_id"]] for h in r["hits"]]) for r in query(t, "id", "t", x).collect()), key=repr)
+    want = [(1, "EN", ["西瓜"]), (1, "EN", ["人們"]), (None, "EN", ["西瓜"]), (None, None, None), (2, "EN", []), (2, "EN", []), (None, "UN", None), (3, "ZH", ["你好"])]
+    assert found(lexicon) == sorted(want, key=repr)
+    large = Lexicon(lexicon.entries, lexicon.index)
+    large.small = lambda: False  # the tier of joins
+    assert found(large) == sorted(want, key=repr)
+
+
+def test_syllables(spark):
+    from tonglex.functions.text import SYLLABLES
+    from tonglex.plans.text_queries import FINALS
+
+    own = {i + f for i, finals in SYLLABLES.items() for f in finals.split()}
+    assert own == {i + f for f, initials in FINALS.items() for i in initials.split(" ")}
+    want = dict.fromkeys(["fire", "fine", "life", "tin", "din", "fibula"], "EN") | dict.fromkeys(["nv3", "lǜ", "women", "xiong2mao1", "zhuang"], "PY")
+    assert col(spark, classify, *want) == list(want.values())
+
+
 def test_english_tiers_and_adjacent_dedup(spark, lexicon):
     t = texts(spark, "to run to run", "watermelon, watermelon and to%20run", "people to run good good you", "", None)
     one = query_by_english(t, "id", "t", lexicon).orderBy("id", "tok_pos", "idx_pos").collect()

@@ -18,18 +18,34 @@ _INNER = rf"(?<=[\p{{IsAlphabetic}}\p{{N}}])[{APOSTROPHES}](?=[\p{{IsAlphabetic}
 TONED = "āáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜü"
 PLAIN = "aaaaeeeeiiiioooouuuuvvvvv"
 
-#: Pinyin syllables by rule: initials of a class take the same finals.
-SYLLABLES = (
-    ("", "ang an ai ao a eng en er ei e ou o"),
-    ("y", "uan ue un u ang an ao a ing in i e ong ou o"),
-    ("w", "eng en ei ang an ai a o u"),
-    ("[bpmf]", "iao ian ing in ie iu i ang an ai ao a eng en ei e ou o u"),
-    ("[dtnl]", "iang iao ian ia ing in ie iu i ang an ai ao a eng en ei e ong ou uan ui un uo u ve v"),
-    ("[gkh]", "ang an ai ao a eng en ei e ong ou uang uan uai ua ui un uo u"),
-    ("[jqx]", "iang iao ian ia ing in iong ie iu i uan ue un u"),
-    ("(?:zh|ch|sh|[rzcs])", "ang an ai ao a eng en ei e i ong ou uang uan uai ua ui un uo u"),
-)
-_SYLLABLE = "(?:" + "|".join(f"{i}(?:{f.replace(' ', '|')})" for i, f in SYLLABLES) + ")"
+#: The finals that each initial takes in Hanyu Pinyin (v for u with two dots).
+SYLLABLES = {
+    "": "a o e ai ei ao ou an en ang eng er",
+    "y": "a o e ao ou an in ang ing ong i u ue uan un",
+    "w": "a o ai ei an en ang eng u",
+    "b": "a o ai ei ao an en ang eng i ie iao ian in ing u",
+    "p": "a o ai ei ao ou an en ang eng i ie iao ian in ing u",
+    "m": "a o e ai ei ao ou an en ang eng i ie iao iu ian in ing u",
+    "f": "a o ei ou an en ang eng u",
+    "d": "a e ai ei ao ou an en ang eng ong i ia ie iao iu ian ing u uo ui uan un",
+    "t": "a e ai ei ao ou an ang eng ong i ie iao ian ing u uo ui uan un",
+    "n": "a e ai ei ao ou an en ang eng ong i ie iao iu ian in iang ing u uo uan un v ve",
+    "l": "a o e ai ei ao ou an ang eng ong i ia ie iao iu ian in iang ing u uo uan un v ve",
+    "g": "a e ai ei ao ou an en ang eng ong u ua uo uai ui uan un uang",
+    "k": "a e ai ei ao ou an en ang eng ong u ua uo uai ui uan un uang",
+    "h": "a e ai ei ao ou an en ang eng ong u ua uo uai ui uan un uang",
+    "j": "i ia ie iao iu ian in iang ing iong u ue uan un",
+    "q": "i ia ie iao iu ian in iang ing iong u ue uan un",
+    "x": "i ia ie iao iu ian in iang ing iong u ue uan un",
+    "zh": "a e ai ei ao ou an en ang eng ong i u ua uo uai ui uan un uang",
+    "ch": "a e ai ao ou an en ang eng ong i u ua uo uai ui uan un uang",
+    "sh": "a e ai ei ao ou an en ang eng i u ua uo uai ui uan un uang",
+    "r": "e ao ou an en ang eng ong i u ua uo ui uan un",
+    "z": "a e ai ei ao ou an en ang eng ong i u uo ui uan un",
+    "c": "a e ai ao ou an en ang eng ong i u uo ui uan un",
+    "s": "a e ai ao ou an en ang eng ong i u uo ui uan un",
+}
+_SYLLABLE = "(?:" + "|".join(f"{i}(?:{'|'.join(sorted(f.split(), key=len, reverse=True))})" for i, f in SYLLABLES.items()) + ")"
 PINYIN_WORD = f"^(?:{_SYLLABLE}[1-5]?)+$"
 LONGEST_PINYIN_WORD = 60
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonglex.functions.text import classify_normal, normalize, words
+from tonglex.functions.text import classify, classify_normal, normalize, words
 from tonglex.sources.lexicon import Lexicon
 
 from .segment import tokenize, tokenize_join
@@ -190,20 +190,21 @@ def query_by_english(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> Da
 
 
 def query(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
-    """(doc, label, hits) for every row of df, ids being unique: hits is NULL where the text cannot be classified, and an
-    empty array where nothing is found. Hits are structs (tok_pos, idx_pos, word_id) in order."""
-    d = df.select(F.col(doc).alias("_d"), F.col(text).alias("raw")).withColumn("norm", normalize(F.col("raw")))
+    """(doc, label, hits) for every row of df: hits is NULL where the text cannot be classified, and an empty array where
+    nothing is found. Hits are structs (tok_pos, idx_pos, word_id) in order. Answers are found per different text and
+    joined back, so ids may be null or repeat: each row has the answer to its own text. A NULL text has neither."""
+    d = df.select(F.col(text).alias("_d")).where("_d is not null").distinct().withColumn("norm", normalize(F.col("_d")))
     d = d.withColumn("label", classify_normal(F.col("norm")))
     parts = [
         query_by_english(d.where("label = 'EN'"), "_d", "norm", lexicon),
-        query_by_pinyin(d.where("label = 'PY'"), "_d", "raw", lexicon),  # normalised anew, colons kept
+        query_by_pinyin(d.where("label = 'PY'"), "_d", "_d", lexicon),  # normalised anew, colons kept
         query_by_chinese(d.where("label = 'ZH'"), "_d", "norm", lexicon),
     ]
     hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
     hits = hits.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("tok_pos", "idx_pos", "word_id"))).alias("found"))
-    out = d.join(hits, "_d", "left")
+    out = df.select(F.col(doc).alias("_i"), F.col(text).alias("_d"), classify(F.col(text)).alias("label")).join(hits, "_d", "left")
     empty = F.array().cast(HITS)
-    return out.select(F.col("_d").alias(doc), "label", F.when(F.col("label") != "UN", F.coalesce("found", empty)).alias("hits"))
+    return out.select(F.col("_i").alias(doc), "label", F.when(F.col("label") != "UN", F.coalesce("found", empty)).alias("hits"))
 
 
 def with_entries(hits: DataFrame, lexicon: Lexicon) -> DataFrame:

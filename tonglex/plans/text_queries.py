@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonglex.functions.text import APOSTROPHES, LONGEST_PINYIN_WORD, PINYIN_WORD, PLAIN, SEPARATORS, TONED, classify, is_pinyin, normalize, words
+from tonglex.functions.text import APOSTROPHES, LONGEST_PINYIN_WORD, SEPARATORS, classify, is_pinyin, normalize, words
 from tonglex.operators.lookup import LONGEST, adjacent_dedup, english_tokens_join, query_by_english
 from tonglex.sources.lexicon import Lexicon
 
 
+#: The counterpart's own constants, by final, so that a slip in the engine's shows.
+FINALS = {
+    "a": " y w b p m f d t n l g k h zh ch sh z c s", "o": " y w b p m f l", "e": " y m d t n l g k h zh ch sh r z c s",
+    "ai": " w b p m d t n l g k h zh ch sh z c s", "ei": " w b p m f d t n l g k h zh sh z", "ao": " y b p m d t n l g k h zh ch sh r z c s",
+    "ou": " y p m f d t n l g k h zh ch sh r z c s", "an": " y w b p m f d t n l g k h zh ch sh r z c s", "en": " w b p m f d n g k h zh ch sh r z c s",
+    "ang": " y w b p m f d t n l g k h zh ch sh r z c s", "eng": " w b p m f d t n l g k h zh ch sh r z c s", "er": "",
+    "ong": "y d t n l g k h zh ch r z c s", "i": "y b p m d t n l j q x zh ch sh r z c s", "ie": "b p m d t n l j q x", "iao": "b p m d t n l j q x",
+    "iu": "m d n l j q x", "ian": "b p m d t n l j q x", "in": "y b p m n l j q x", "ing": "y b p m d t n l j q x", "ia": "d l j q x", "iang": "n l j q x",
+    "iong": "j q x", "u": "y w b p m f d t n l g k h j q x zh ch sh r z c s", "ua": "g k h zh ch sh r", "uo": "d t n l g k h zh ch sh r z c s",
+    "uai": "g k h zh ch sh", "ui": "d t g k h zh ch sh r z c s", "uan": "y d t n l g k h j q x zh ch sh r z c s",
+    "un": "y d t n l g k h j q x zh ch sh r z c s", "uang": "g k h zh ch sh", "ue": "y j q x", "v": "n l", "ve": "n l",
+}
+TONED = "āēīōūǖáéíóúǘǎěǐǒǔǚàèìòùǜü"
+PLAIN = "aeiouv" * 4 + "v"
+PINYIN_WORD = "^((" + "|".join(f"({'|'.join(i.split(' '))}){f}" for f, i in FINALS.items()) + ")[1-5]?)+$"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
