@@ -1,8 +1,10 @@
 """The ten operators against brute force on small fixtures: nulls, empty and long texts, ties, repeats, empty tables."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -10,10 +12,12 @@ from collections import Counter, defaultdict
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 
-from tonglex.llm import anchors, components, decontamination, induced, license_scan, packing, quality_rules, secret_scan, sharding, simhash, similar_texts, substring_dedup, tokens, url_filter
+from tonglex.llm import anchors, common, components, decontamination, induced, license_scan, packing, quality_rules, secret_scan, sharding, simhash, similar_texts, substring_dedup, tokens, url_filter
 from tonglex.llm.chat_format import format_chats
 
 RNG = random.Random(11)
@@ -177,6 +181,61 @@ def test_secret_in_base64_behind_characters_of_its_class(before):
     assert (0, 4 + len(before), 4 + len(before) + len(code)) in spans_of(f"see {before}{code} end")
 
 
+def deflated(raw):
+    d = zlib.compressobj(wbits=-15)
+    return d.compress(raw) + d.flush()
+
+
+def damaged(raw, at):
+    return raw[:at] + bytes([raw[at] ^ 255]) + raw[at + 1 :]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress, deflated])
+def test_secret_in_compressed_layers(pack):
+    text = f"{prose(300)} {SECRET} ".encode()
+    packed = [pack(text), gzip.compress(pack(text)) if pack is not deflated else pack(text)]
+    if pack not in (deflated, zlib.compress):
+        packed.append(pack(prose(300).encode()) + pack(text))  # a second member
+    if pack in (gzip.compress, zlib.compress):
+        packed += [damaged(pack(text), -1), pack(text + prose(90).encode())[:-40]]  # a bad sum, an end cut off
+    for raw in packed:
+        code = base64.b64encode(raw).decode()
+        assert (0, 4, 4 + len(code)) in spans_of(f"see {code} end")
+
+
+def test_secret_in_named_references():
+    assert spans_of("token&equals;abcdefgh123") == [(0, 0, 24)]
+    assert spans_of("a &amp;equals; token%26equals;abcdefgh123") == [(0, 15, 41)]
+
+
+def test_layers_of_a_bomb_and_of_a_stream_beyond_one_piece(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 20)
+    noise = np.random.default_rng(2).bytes(3 << 20)
+    inner = gzip.compress(noise + f" {SECRET} ".encode(), 1)
+    assert len(inner) > 2 * secret_scan.PIECE
+    assert any(SECRET in t for t in secret_scan._texts(gzip.compress(inner, 1)))
+    bomb = zlib.compress(zlib.compress(bytes(100 << 20), 9), 9)
+    tracemalloc.start()
+    assert spans_of(f"a {base64.b64encode(bomb).decode()} b") == []
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+
+
+def test_layers_end_at_a_cycle(monkeypatch):
+    monkeypatch.setattr(secret_scan, "_stream", lambda opener, chunks: iter([b"\x1f\x8bquine"]))
+    assert list(secret_scan._texts(b"\x1f\x8bquine")) == []
+
+
+def test_slices_by_bytes(monkeypatch):
+    monkeypatch.setattr(common, "SLICE_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * n for n in (10, 5000, 20, 400, 400, 400, 3)]})
+    parts = list(common.halved(batch))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert all(p.nbytes <= 1000 or p.num_rows == 1 for p in parts)
+
+
 def test_redaction(documents):
     out = {r["doc_id"]: r for r in secret_scan.redact_secrets(documents([(1, f"a {SECRET} b"), (2, None), (3, "clean")])).collect()}
     assert out[1]["text"] == "a [REDACTED] b" and out[1]["n_chars"] == len(out[1]["text"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,9 +29,11 @@ def docs_of(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (local tests)."""
+    """The folder that driver and executors share; a temporary one where a local session names none (tests). Raises on a cluster without one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tonglex-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -83,13 +86,26 @@ def _released() -> None:
         return
 
 
+SLICE_BYTES = 16 << 20
+
+
+def halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most SLICE_BYTES, or of one row."""
+    if batch.num_rows > 1 and batch.nbytes > SLICE_BYTES:
+        half = batch.num_rows // 2
+        yield from halved(batch.slice(0, half))
+        yield from halved(batch.slice(half))
+    else:
+        yield batch
+
+
 def map_arrow(df: DataFrame, run, schema, rows: int | None = 1024) -> DataFrame:
-    """df.mapInArrow(run, schema) on slices of at most `rows` rows (None: batches as they come), giving memory back at the end."""
+    """df.mapInArrow(run, schema) on slices of at most `rows` rows and, but for single ones, SLICE_BYTES (None: batches as they come), giving memory back at the end."""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows or batch.num_rows):
-                yield batch.slice(at, rows)
+                yield from halved(batch.slice(at, rows))
 
     def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

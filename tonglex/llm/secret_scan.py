@@ -12,9 +12,12 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import io
+import itertools
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,9 +37,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
+#: Named references of the characters that secrets and what assigns them are made of.
+_NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "equals": "=", "colon": ":", "plus": "+", "sol": "/", "period": ".", "lowbar": "_", "Tab": "\t", "NewLine": "\n"}
+_NAME = re.compile(rf"&(?:{'|'.join(_NAMED)});")
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 #: A decompressed stream is read in pieces of this many bytes that overlap, so a bomb cannot fill memory.
-PIECE, OVERLAP = 16 << 20, 64 << 10
+PIECE, OVERLAP, STEP = 16 << 20, 64 << 10, 64 << 10
 
 Span = tuple[int, int, int]  # kind's number, start, end
 
@@ -77,28 +83,33 @@ class Layer:
 
 def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every match of pattern decoded; decode gives characters and how many source characters each used."""
-    parts, starts, ends, at = [], [], [], 0
+    parts, starts, ends, at = [], array("q"), array("q"), 0
+
+    def kept(a: int, b: int) -> None:
+        parts.append(layer.text[a:b])
+        if layer.starts is None:
+            starts.extend(range(a, b))
+            ends.extend(range(a + 1, b + 1))
+        elif isinstance(layer.starts, int):
+            starts.extend(array("q", [layer.starts]) * (b - a))
+            ends.extend(array("q", [layer.ends]) * (b - a))
+        else:
+            starts.extend(layer.starts[a:b])
+            ends.extend(layer.ends[a:b])
+
     for m in pattern.finditer(layer.text):
-        for i in range(at, m.start()):
-            a, b = layer.source(i, i + 1)
-            starts.append(a)
-            ends.append(b)
-        parts.append(layer.text[at : m.start()])
+        kept(at, m.start())
         k = m.start()
         for c, n in decode(m[0]):
             a, b = layer.source(k, k + n)
             parts.append(c)
-            starts += [a] * len(c)
-            ends += [b] * len(c)
+            starts.extend([a] * len(c))
+            ends.extend([b] * len(c))
             k += n
         at = m.end()
     if not at:
         return None
-    for i in range(at, len(layer.text)):
-        a, b = layer.source(i, i + 1)
-        starts.append(a)
-        ends.append(b)
-    parts.append(layer.text[at:])
+    kept(at, len(layer.text))
     return Layer("".join(parts), starts, ends)
 
 
@@ -119,69 +130,152 @@ def _unescape(run: str) -> list[tuple[str, int]]:
     return out
 
 
-def _inflate(raw: bytes) -> Iterator[bytes] | None:
-    """Pieces of the stream that raw compresses; None if it does not look compressed."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and int.from_bytes(raw[:2], "big") % 31 == 0):
-        opener = lambda: zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        opener = bz2.BZ2Decompressor
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        opener = lzma.LZMADecompressor
-    elif raw[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
+#: The first bytes of compressed streams, and what opens them (zlib's own header is checked by its sum).
+_OPENERS = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", lzma.LZMADecompressor), (b"\x28\xb5\x2f\xfd", None))
+
+
+def _opener(head: bytes):
+    """What opens the stream that begins so (zstd: a function of its own); None if it does not look compressed."""
+    for magic, opener in _OPENERS:
+        if head.startswith(magic):
+            return opener or _zstd
+    if len(head) > 2 and head[0] & 15 == 8 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj
+    return None
+
+
+class _Chunks(io.RawIOBase):
+    """An iterator of bytes as a file."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.rest = chunks, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.rest:
+            self.rest = next(self.chunks, None)
+            if self.rest is None:
+                self.rest = b""
+                return 0
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
 
-        return _pieces(iter(zstandard.ZstdDecompressor().read_to_iter(raw, write_size=PIECE)))
-    else:
-        return None
-    return _pieces(_pump(opener(), raw))
 
+def _zstd(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    import zstandard
 
-def _pump(d, raw: bytes) -> Iterator[bytes]:
+    reader = zstandard.ZstdDecompressor().stream_reader(_Chunks(chunks), read_size=STEP, read_across_frames=True)
+    try:
+        while out := reader.read1(PIECE):
+            yield out
+    except zstandard.ZstdError:  # damaged: what came before the damage has been read
+        return
+
+
+def _fed(d, data: bytes) -> Iterator[bytes]:
+    """Output of a decompressor for more input, PIECE bytes at a time."""
     while True:
-        out = d.decompress(raw, PIECE)
-        raw = getattr(d, "unconsumed_tail", b"")
+        out = d.decompress(data, PIECE)
+        data = getattr(d, "unconsumed_tail", b"")
         if out:
             yield out
-        if getattr(d, "eof", False) or (not out and not raw):
+        if d.eof or (not data and len(out) < PIECE):
             return
 
 
-def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
-    tail = b""
-    try:
-        for c in chunks:
-            yield tail + c
-            tail = (tail + c)[-OVERLAP:]
-    except Exception:  # a damaged stream: what came before the damage has been read
+def _stream(opener, chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What a stream compresses, all its members one after the other; at damage, what precedes it (bz2 and xz: up to the last STEP bytes read)."""
+    if opener is _zstd:
+        yield from _zstd(chunks)
         return
+    d, data = opener(), next(chunks, b"")
+    while data:
+        step, rest = data[:STEP], data[STEP:]
+        saved = d.copy() if hasattr(d, "copy") else None
+        done = 0
+        try:
+            for out in _fed(d, step):
+                done += len(out)
+                yield out
+        except (zlib.error, OSError, lzma.LZMAError):
+            if saved is not None:  # what the failing call held back comes byte by byte
+                try:
+                    for k in range(len(step)):
+                        for out in _fed(saved, step[k : k + 1]):
+                            new = out[min(done, len(out)) :]
+                            done -= len(out) - len(new)
+                            if new:
+                                yield new
+                except zlib.error:
+                    return
+            return
+        if d.eof:
+            rest = d.unused_data + rest
+            if len(rest) < 6:
+                rest += next(chunks, b"")
+            opener = _opener(rest[:8])
+            if opener is None or opener is _zstd:
+                return
+            d = opener()
+        data = rest or next(chunks, b"")
+
+
+def _raw_deflate(raw: bytes) -> bytes | None:
+    """The text of a deflate stream without any header, if raw is one as a whole."""
+    d = zlib.decompressobj(-15)
+    try:
+        out = d.decompress(raw, PIECE)
+        return out if d.eof and not d.unused_data and _printable(out.decode("utf-8")) else None
+    except (zlib.error, UnicodeDecodeError):
+        return None
+
+
+def _printable(t: str) -> bool:
+    return bool(t) and sum(c.isprintable() or c in "\t\r\n" for c in t) >= 0.9 * len(t)
 
 
 def _texts(raw: bytes) -> Iterator[str]:
-    """Texts inside a byte string: itself if it is text, else what it decompresses to, through several compressions."""
-    work, seen = [raw], set()
-    while work:
-        b = work.pop()
-        key = hashlib.sha256(b).digest()
+    """Texts inside a byte string: itself if it is text, else what it decompresses to, through several compressions.
+
+    Compressed streams feed one another in pieces, so no layer is held as a whole; the digest of the beginning of each
+    tells a stream that unpacks to itself.
+    """
+    chunks, head, seen, depth = iter([raw]), raw, set(), 0
+    while (opener := _opener(head)) is not None:
+        key = hashlib.sha256(head).digest()
         if key in seen:
-            continue
+            return
         seen.add(key)
-        inner = _inflate(b)
-        if inner is not None:
-            found = False
-            for piece in inner:
-                found = True
-                if _inflate(piece) is not None:
-                    work.append(piece)
-                else:
-                    yield piece.decode("utf-8", "replace")
-            if found:
-                continue
-        try:
-            t = b.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if t and sum(c.isprintable() or c in "\t\r\n" for c in t) >= 0.9 * len(t):
-            yield t
+        inner = _stream(opener, chunks)
+        first = next(inner, None)
+        if first is None:
+            break
+        for more in inner:  # a head long enough to tell
+            first += more
+            if len(first) >= STEP:
+                break
+        chunks, head, depth = itertools.chain([first], inner), first, depth + 1
+    if depth:
+        tail = b""
+        for c in chunks:
+            tail += c
+            while len(tail) >= PIECE:
+                yield tail[:PIECE].decode("utf-8", "replace")
+                tail = tail[PIECE - OVERLAP :]
+        if tail:
+            yield tail.decode("utf-8", "replace")
+        return
+    try:
+        t = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        if (out := _raw_deflate(raw)) is not None:
+            yield out.decode("utf-8")
+        return
+    if _printable(t):
+        yield t
 
 
 def _wrapped(t: str) -> Iterator[list[tuple[int, int]]]:
@@ -203,9 +297,13 @@ def _wrapped(t: str) -> Iterator[list[tuple[int, int]]]:
             i = end
 
 
+def _named(name: str) -> list[tuple[str, int]]:
+    return [(_NAMED[name[1:-1]], len(name))]
+
+
 def _may_open(head: bytes) -> bool:
     """Whether bytes that begin so can be text or compressed."""
-    if _inflate(head) is not None:
+    if _opener(head) is not None:
         return True
     try:
         head.decode("utf-8")
@@ -245,6 +343,8 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
         yield x
     if ("\\" in t or "&#" in t) and (x := _rewritten(layer, _ESCAPE, _unescape)):
         yield x
+    if "&" in t and (x := _rewritten(layer, _NAME, _named)):
+        yield x
     runs = [[m.span()] for m in _RUN.finditer(t)]
     for lines in [*runs, *(_wrapped(t) if "\n" in t else ())]:
         end = lines[-1][1]
@@ -260,17 +360,20 @@ def _unwrapped(layer: Layer) -> Iterator[Layer]:
 def all_spans(text: str, base: list[Span]) -> list[Span]:
     """Base spans plus those found in unwrapped layers, mapped to the document."""
     found = set(base)
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    work = [Layer(text)]
+    seen = {hashlib.sha256(b"()" + text.encode("utf-8", "surrogatepass")).digest()}
+    work = [_unwrapped(Layer(text))]  # layers are opened one at a time, depth first
     while work:
-        for x in _unwrapped(work.pop()):
-            place = (x.starts, x.ends) if isinstance(x.starts, int) else ()
-            key = hashlib.sha256(repr(place).encode() + x.text.encode("utf-8", "surrogatepass")).digest()
-            if key in seen or not x.text:
-                continue
-            seen.add(key)
-            found.update((k, *x.source(a, b)) for k, a, b in base_spans(x.text))
-            work.append(x)
+        x = next(work[-1], None)
+        if x is None:
+            work.pop()
+            continue
+        place = (x.starts, x.ends) if isinstance(x.starts, int) else ()
+        key = hashlib.sha256(repr(place).encode() + x.text.encode("utf-8", "surrogatepass")).digest()
+        if key in seen or not x.text:
+            continue
+        seen.add(key)
+        found.update((k, *x.source(a, b)) for k, a, b in base_spans(x.text))
+        work.append(_unwrapped(x))
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
