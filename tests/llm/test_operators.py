@@ -326,6 +326,49 @@ def test_paraphrase_in_a_hot_group(spark, documents):
     assert got == {(d, 1) for d in range(0, 480, 4)}
 
 
+def test_short_items(spark, documents):
+    """Items of two and three words, and of one repeated pair, held verbatim among other pairs of the benchmark."""
+    rng = random.Random(28)
+    items = [(1, "zeta omega"), (2, "kappa kappa kappa"), (3, prose(40, rng)), (4, "Zeta, omega."), (5, "zeta lonely")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, f"{prose(30, rng)} zeta omega {prose(30, rng)}"), (2, f"{items[2][1]} zeta omega {items[2][1]}"), (3, f"kappa kappa kappa {prose(9, rng)}"), (4, "zeta"), (5, f"omega {prose(9, rng)} zeta"), (6, "zeta omega")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(rows), bench).collect()}
+    assert got == {(1, 1), (1, 4), (2, 1), (2, 4), (2, 3), (3, 2), (6, 1), (6, 4)}
+
+
+@pytest.mark.parametrize("parts", [1, 7, 24, 300])
+def test_tree_sum(spark, parts):
+    one = lambda batches: iter([pa.RecordBatch.from_pydict({"m": [np.full(6, sum(b.num_rows for b in batches), dtype="<f4").tobytes()]})])
+    df = spark.range(0, 900, 1, parts).mapInArrow(one, "m binary")
+    assert (decontamination.tree_sum(df, (2, 3)) == 900).all()
+
+
+def brute_contaminated(item, words):
+    """Whether a stretch of the words holds a common subsequence with 80 % of the item, or 70 % and its answer; no search before."""
+    return decontamination.verified(item, words)[1]
+
+
+@pytest.mark.parametrize("changed", [0.0, 0.1, 0.15])
+def test_recall_against_every_pair(spark, documents, changed):
+    """Against the check of every document with every item: at least 95 %, and nothing else."""
+    rng = random.Random(int(100 * changed))
+    items = [(i, prose(rng.randint(10, 60), rng)) for i in range(150)]
+    rows = []
+    for d in range(300):
+        words = prose(rng.randint(20, 200), rng).split()
+        if d % 2:
+            part = [w if rng.random() >= changed else rng.choice(WORDS) for w in items[d // 2][1].split()]
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        rows.append((d, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(rows), bench).collect()}
+    b = decontamination.Benchmark.of(items)
+    numbered = [decontamination._numbers(b.vocabulary, decontamination.normal_words(t.encode())) for _, t in rows]
+    want = {(d, i.item_id) for d, n in enumerate(numbered) for i in b.items if brute_contaminated(i, n)}
+    assert len(want) >= 100 and got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):

@@ -151,8 +151,18 @@ class Rows:
     half: np.ndarray  # first half-passage of each row
 
 
-def passages(documents: list[np.ndarray], weight: np.ndarray) -> Rows:
-    """TF-IDF rows of the documents' passages that have two weighted terms or more."""
+def lone_terms(bench: Benchmark) -> np.ndarray:
+    """Which terms are all that some item has."""
+    lone = np.zeros(len(bench.pairs) + 1, dtype=bool)
+    for i in bench.items:
+        own = np.unique(i.terms[i.terms > 0])
+        if len(own) == 1:
+            lone[own] = True
+    return lone
+
+
+def passages(documents: list[np.ndarray], weight: np.ndarray, lone: np.ndarray) -> Rows:
+    """TF-IDF rows of the documents' passages that have two weighted terms or more, or one that is lone."""
     lengths = np.array([len(d) for d in documents], dtype=np.int64)
     words = np.concatenate([np.zeros(0, dtype=np.int64), *documents]).astype(np.int64)
     doc = np.repeat(np.arange(len(documents)), lengths)
@@ -168,7 +178,7 @@ def passages(documents: list[np.ndarray], weight: np.ndarray) -> Rows:
     key, tf = np.unique(row * len(weight) + word, return_counts=True)
     row, word = key // len(weight), key % len(weight)
     names, row, n = np.unique(row, return_inverse=True, return_counts=True)
-    enough = n[row] >= 2
+    enough = (n[row] >= 2) | lone[word]
     row, word, tf = row[enough], word[enough], tf[enough]
     kept, row = np.unique(row, return_inverse=True)
     names = names[kept]
@@ -239,22 +249,22 @@ def _summed(shape: tuple[int, ...]):
 
 
 def tree_sum(df: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of matrices, one a task, over a tree of degree 16; at most 8 reach the driver."""
+    """The sum of matrices, one a task, over a tree in which a task adds 16 at most; at most 8 reach the driver."""
     n = df.rdd.getNumPartitions()
     while n > 8:
-        n = max(1, n // 16)
-        df = df.repartition(n).mapInArrow(_summed(shape), "m binary")
+        n = -(-n // 16)
+        df = df.select(F.floor(F.spark_partition_id() / 16).cast("int").alias("p"), "m").repartitionById(n, "p").mapInArrow(_summed(shape), "m binary")
     total = np.zeros(shape)
     for r in df.toLocalIterator():
         total += np.frombuffer(r["m"], dtype="<f4").reshape(shape)
     return total
 
 
-def _over_passages(weight: np.ndarray, shape: tuple[int, ...], add: Callable[[Rows, np.ndarray], None]):
+def _over_passages(weight: np.ndarray, lone: np.ndarray, shape: tuple[int, ...], add: Callable[[Rows, np.ndarray], None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape, dtype=np.float64)
         for batch in batches:
-            add(passages(_documents(batch), weight), total)
+            add(passages(_documents(batch), weight, lone), total)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()])], names=["m"])
 
     return run
@@ -264,14 +274,15 @@ def latent_space(numbers: DataFrame, bench: Benchmark, weight: np.ndarray, rank:
     """terms x rank: leading right singular vectors of all TF-IDF passages, those of the benchmark included."""
     size = len(weight)
     width = min(rank + oversample, size)
-    own = passages([i.terms for i in bench.items], weight)
+    lone = lone_terms(bench)
+    own = passages([i.terms for i in bench.items], weight, lone)
 
     def products(r: Rows, out: np.ndarray) -> None:
         gram_times(r, start, out[:-1])
         out[-1, 0] += len(r.doc)  # rows have unit length: their number is the corpus's squared weight
 
     start = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
-    total = tree_sum(map_arrow(numbers, _over_passages(weight, (size + 1, width), products), "m binary"), (size + 1, width))
+    total = tree_sum(map_arrow(numbers, _over_passages(weight, lone, (size + 1, width), products), "m binary"), (size + 1, width))
     total, rows = total[:-1], total[-1, 0]
     own.value = own.value * np.float32(max(OWN, np.sqrt(OWN_SHARE * rows / max(len(own.doc), 1))))
     gram_times(own, start, total)
@@ -281,7 +292,7 @@ def latent_space(numbers: DataFrame, bench: Benchmark, weight: np.ndarray, rank:
         for _, _, y in projected(r, q):
             out += y.T @ y
 
-    small = tree_sum(map_arrow(numbers, _over_passages(weight, (width, width), squares), "m binary"), (width, width))
+    small = tree_sum(map_arrow(numbers, _over_passages(weight, lone, (width, width), squares), "m binary"), (width, width))
     squares(own, small)
     value, vector = np.linalg.eigh((small + small.T) / 2)
     lead = np.argsort(value)[::-1][:rank]
@@ -327,16 +338,22 @@ def _search(bench: Benchmark, weight: np.ndarray, space: np.ndarray, cosine: flo
         return x / np.maximum(n, 1e-12)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = passages([i.terms for i in bench.items], weight)
+        lone = lone_terms(bench)
+        own = passages([i.terms for i in bench.items], weight, lone)
+        # targets of items of one term, by that term: beside many other terms their cosine is small, so holding the term is enough
+        short = {int(t): own.row[own.word == t] for t in np.flatnonzero(lone)}
         targets = np.concatenate([np.zeros((0, space.shape[1]), dtype=np.float32), *(unit(y) for _, _, y in projected(own, space))])
         target_item = own.doc
         for batch in batches:
             documents = _documents(batch, "words")
-            r = passages(_documents(batch), weight)
+            r = passages(_documents(batch), weight, lone)
             best: dict[tuple[int, int], tuple[float, float, int]] = {}
-            for _, rows, y in projected(r, space):
+            for e, rows, y in projected(r, space):
                 c = unit(y) @ targets.T
-                i, j = np.nonzero(c >= cosine)
+                near = c >= cosine
+                for k in np.flatnonzero(lone[r.word[e]]) + e.start:
+                    near[r.row[k] - rows.start, short[int(r.word[k])]] = True
+                i, j = np.nonzero(near)
                 for row, target, cos in zip((i + rows.start).tolist(), target_item[j].tolist(), c[i, j].tolist(), strict=True):
                     d, item = int(r.doc[row]), bench.items[target]
                     at = int(r.half[row]) * HALF
