@@ -198,3 +198,23 @@ def test_sql_names_and_streams(spark, lexicon, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["label"], len(r["hits"])) for r in spark.table("found").collect()} == {("EN", 1), ("ZH", 0)}
+
+
+def test_sql_names_of_texts_and_lookups(spark, lexicon):
+    sql.register(spark, lexicon, "nm_")
+    t = texts(spark, *GENERAL, "watermelon", "fire", "ni3 hao3", "lu:4", "西瓜，你好！", "to run boat", "?!", "", None, "1 ni", "Xi'an")
+    t.createOrReplaceTempView("nm_texts")
+    got = spark.sql("SELECT id, nm_normalize(t) AS n, nm_normalize_pinyin(t) AS np, nm_classify(t) AS label, nm_query(t) AS hits FROM nm_texts").orderBy("id").collect()
+    want = t.select("id", normalize(F.col("t")), normalize(F.col("t"), True)).orderBy("id").collect()
+    assert [tuple(r)[:3] for r in got] == [tuple(r) for r in want]
+    assert [tuple(r) for r in spark.sql("SELECT id, nm_classify(t), nm_query(t) FROM nm_texts").orderBy("id").collect()] == [tuple(r) for r in query(t, "id", "t", lexicon).orderBy("id").collect()]
+
+
+def test_query_with_entries_and_by_joins(spark, lexicon):
+    t = texts(spark, "watermelon boat", "西瓜你好", "ni3 hao3", "to run people hello hello", "?!", None, "zzz")
+    with_them = query(t, "id", "t", lexicon, entries=True).orderBy("id").collect()
+    assert with_them[0]["hits"][0]["entry"]["traditional"] == "西瓜" and with_them[4]["hits"] is None and with_them[6]["hits"] == []
+    plain = query(t, "id", "t", lexicon).orderBy("id").collect()
+    assert [[h["word_id"] for h in r["hits"] or ()] for r in with_them] == [[h["word_id"] for h in r["hits"] or ()] for r in plain]
+    large = Lexicon(lexicon.entries, lexicon.index, broadcast_rows=0)
+    assert not large.small() and query(t, "id", "t", large).orderBy("id").collect() == plain

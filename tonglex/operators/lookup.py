@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tonglex.functions.text import classify, classify_normal, normalize, words
 from tonglex.sources.lexicon import Lexicon
 
-from .segment import tokenize, tokenize_join
+from .segment import greedy, tokenize, tokenize_join
 
 LONGEST = 4  # words of an English key
 HITS = "array<struct<tok_pos:int,idx_pos:int,word_id:bigint>>"
@@ -146,9 +146,7 @@ def english_tokens_join(df: DataFrame, doc: str, normal: Column, keys: DataFrame
     spans = w.select("_d", "p", F.array(*grams).alias("g")).select("_d", "p", F.inline("g")).where("key is not null")
     hits = spans.join(keys.select("key").distinct(), "key", "left_semi").groupBy("_d", "p").agg(F.max(F.struct("n", "key")).alias("h"))
     got = hits.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("p", "h.n", "h.key"))).alias("hits"))
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<p:int,n:int,key:string>>").alias("kept"))
-    step = lambda a, x: F.when(x["p"] >= a["next"], F.struct((x["p"] + x["n"]).alias("next"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
-    return got.select(F.col("_d").alias(doc), F.inline(F.aggregate("hits", start, step)["kept"]).alias("tok_pos", "n", "token"))
+    return got.select(F.col("_d").alias(doc), F.inline(greedy(F.col("hits"))).alias("tok_pos", "n", "token"))
 
 
 def english_rows(df: DataFrame, doc: str, normal: Column, ids: dict[str, list[int]]) -> DataFrame:
@@ -189,10 +187,11 @@ def query_by_english(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> Da
     return adjacent_dedup(_by_token(english_tokens_join(df, doc, normal, index), doc, index), doc)
 
 
-def query(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
+def query(df: DataFrame, doc: str, text: str, lexicon: Lexicon, entries: bool = False) -> DataFrame:
     """(doc, label, hits) for every row of df: hits is NULL where the text cannot be classified, and an empty array where
     nothing is found. Hits are structs (tok_pos, idx_pos, word_id) in order. Answers are found per different text and
-    joined back, so ids may be null or repeat: each row has the answer to its own text. A NULL text has neither."""
+    joined back, so ids may be null or repeat: each row has the answer to its own text. A NULL text has neither.
+    With `entries`, every hit has its entry as a fourth field."""
     d = df.select(F.col(text).alias("_d")).where("_d is not null").distinct().withColumn("norm", normalize(F.col("_d")))
     d = d.withColumn("label", classify_normal(F.col("norm")))
     parts = [
@@ -201,13 +200,16 @@ def query(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
         query_by_chinese(d.where("label = 'ZH'"), "_d", "norm", lexicon),
     ]
     hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    hits = hits.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("tok_pos", "idx_pos", "word_id"))).alias("found"))
+    fields = ["tok_pos", "idx_pos", "word_id"]
+    if entries:
+        hits, fields = with_entries(hits, lexicon), [*fields, "entry"]
+    hits = hits.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("found"))
     out = df.select(F.col(doc).alias("_i"), F.col(text).alias("_d"), classify(F.col(text)).alias("label")).join(hits, "_d", "left")
-    empty = F.array().cast(HITS)
+    empty = F.array().cast(hits.schema["found"].dataType)
     return out.select(F.col("_i").alias(doc), "label", F.when(F.col("label") != "UN", F.coalesce("found", empty)).alias("hits"))
 
 
 def with_entries(hits: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Hit rows with their entries as a struct column."""
     e = lexicon.entries.select("word_id", F.struct(*lexicon.entries.columns).alias("entry"))
-    return hits.join(F.broadcast(e) if lexicon.small() else e, "word_id")
+    return hits.join(e, "word_id")  # entries nest arrays of any length: their measured size decides how they are joined

@@ -59,6 +59,24 @@ def tokenize(text: Column, keys: list[str]) -> Column:
     return regex_tokens(text, keys) if len(set(keys)) <= REGEX_KEYS else Segmenter(keys)(text)
 
 
+def greedy(hits: Column) -> Column:
+    """Of a text's longest hits (p, n, key) by place, those that no earlier kept one covers; one walk over them."""
+
+    def kept(found):
+        out, free = [], 0
+        for h in found:
+            if h["p"] >= free:
+                out.append(h)
+                free = h["p"] + h["n"]
+        return out
+
+    @F.pandas_udf("array<struct<p:int,n:int,key:string>>")
+    def walk(lists: pd.Series) -> pd.Series:
+        return lists.map(kept)
+
+    return walk(hits)
+
+
 def tokenize_join(df: DataFrame, doc: str, text: str, headwords: DataFrame) -> DataFrame:
     """(doc, tok_pos, token) by joins alone, for headwords of any number: spans of the lengths that occur, the longest
     hit at each place, and a fold that passes over hits inside the last token."""
@@ -68,6 +86,4 @@ def tokenize_join(df: DataFrame, doc: str, text: str, headwords: DataFrame) -> D
     spans = places.select("_d", "p", F.explode(F.array(*(F.substring("_t", F.col("p"), F.lit(n)) for n in lengths))).alias("key")) if lengths else places.select("_d", "p", F.lit("").alias("key"))
     hits = spans.join(headwords.where("key <> ''"), "key", "left_semi").groupBy("_d", "p").agg(F.max(F.struct(F.length("key").alias("n"), "key")).alias("h"))
     got = hits.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("p", "h.n", "h.key"))).alias("hits"))
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("tokens"))
-    step = lambda a, x: F.when(x["p"] >= a["next"], F.struct((x["p"] + x["n"]).alias("next"), F.concat(a["tokens"], F.array(x["key"])).alias("tokens"))).otherwise(a)
-    return got.select(F.col("_d").alias(doc), F.posexplode(F.aggregate("hits", start, step)["tokens"]).alias("tok_pos", "token"))
+    return got.select(F.col("_d").alias(doc), F.posexplode(F.transform(greedy(F.col("hits")), lambda h: h["key"])).alias("tok_pos", "token"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonglex.functions.convert import Scripts
 from tonglex.functions.text import normalize
-from tonglex.operators.lookup import chinese_index, query, query_by_chinese, query_by_pinyin, query_by_simplified, query_by_traditional
+from tonglex.operators.lookup import chinese_index, query, query_by_chinese, query_by_pinyin, query_by_simplified, query_by_traditional, with_entries
 from tonglex.operators.segment import Segmenter, tokenize, tokenize_join
 from tonglex.sources.lexicon import ENTRY, Lexicon, seed
 
@@ -134,7 +137,34 @@ def _convert_sql(a: int, b: int, x: str = "text") -> str:
     return f"translate({x}, '{''.join(chars)}', '{''.join(chars.values())}')"
 
 
-def query_dispatch(spark, sf_dir):
+def query_dispatch_join(spark, sf_dir):
+    """query_dispatch by the joins that a lexicon beyond the broadcast bound takes."""
+    x = part_lexicon(spark)
+    x.broadcast_rows = 0
+    return query_dispatch(spark, sf_dir, x)
+
+
+def query_entries(spark, sf_dir):
+    """Entries straight from a query."""
+    q = query(part_texts(spark, sf_dir), "id", "text", part_lexicon(spark), entries=True)
+    return q.select("id", "label", F.array_join(F.transform("hits", lambda h: h["entry"]["traditional"]), ",").alias("traditional"))
+
+
+def entry_join(spark, sf_dir):
+    x = part_lexicon(spark)
+    return with_entries(query_by_chinese(part_texts(spark, sf_dir), "id", "text", x), x).select("id", "tok_pos", "idx_pos", "word_id", "entry.traditional", "entry.simplified")
+
+
+def lexicon_round_trip(spark, sf_dir):
+    """Entries written as Parquet, read with the explicit schema, checked and warmed."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{shared}/lexicon-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="lexicon-")
+    seed(spark).write(path)
+    e = Lexicon.read(spark, path).warm().entries
+    return e.select("word_id", "traditional", "simplified", F.size("english").cast("long").alias("n_english"))
+
+
+def query_dispatch(spark, sf_dir, lexicon=None):
     """Han, pinyin, English and unclassifiable texts: label, and the hits joined; '-' where there is no list at all."""
     han = part_texts(spark, sf_dir)
     pin = part_texts(spark, sf_dir, 3).withColumn("id", F.col("id") + 1_000_000)
@@ -142,7 +172,7 @@ def query_dispatch(spark, sf_dir):
     none = table(spark, sf_dir, "region").select((F.col("r_regionkey").cast("long") + 3_000_000).alias("id"), F.lit("?!。").alias("text"))
     t = han.unionByName(pin).unionByName(eng).unionByName(none)
     hits = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["tok_pos"], h["idx_pos"], h["word_id"])), ",")
-    return query(t, "id", "text", part_lexicon(spark)).select("id", "label", F.coalesce(hits, F.lit("-")).alias("hits"))
+    return query(t, "id", "text", lexicon or part_lexicon(spark)).select("id", "label", F.coalesce(hits, F.lit("-")).alias("hits"))
 
 
 def _dispatch_sql() -> str:
@@ -209,6 +239,8 @@ def norm_of_han(spark, sf_dir):
 
 _FIRST = lambda c: f"(SELECT id, split_part(text, '，', 1) AS text FROM {_han_sql(c)})"
 _EXACT = lambda c, kind: f"SELECT id, 0::BIGINT AS tok_pos, pos AS idx_pos, word_id FROM {_FIRST(c)} t JOIN {_index_sql()} i ON i.kind = '{kind}' AND i.key = t.text"
+_PART_ENTRIES = _values([(f"{i}::BIGINT", quoted(t), quoted(x)) for i, (_, x, t, _) in enumerate(PART_WORDS, 1)] + [("90::BIGINT", "'小'", "'小'"), ("91::BIGINT", "'熱'", "'热'")], "word_id, traditional, simplified")
+_ENTRY_JOIN = f"SELECT id, tok_pos, pos AS idx_pos, word_id, traditional, simplified FROM ({_TOKENS.format(_han_sql(1))}) t JOIN {_CHINESE} c ON t.token = c.key JOIN {_PART_ENTRIES} e USING (word_id)"
 LEXICON = {
     "tokenize_han": (tokenize_han, _TOKENS.format(_han_sql(1))),
     "tokenize_han_join": (tokenize_han_join, _TOKENS.format(_han_sql(1))),
@@ -229,6 +261,10 @@ LEXICON = {
     "script_flags": (script_flags, f"SELECT id, {_convert_sql(2, 1)} = text AS simplified, {_convert_sql(1, 2)} = text AS traditional FROM {_han_sql(1)}"),
     "normalize_han": (norm_of_han, f"SELECT id, {normal_sql('text')} AS norm FROM {_han_sql(1)}"),
     "query_dispatch": (query_dispatch, _dispatch_sql()),
+    "query_dispatch_join": (query_dispatch_join, _dispatch_sql()),
+    "query_entries": (query_entries, f"SELECT id, 'ZH' AS label, string_agg(traditional, ',' ORDER BY tok_pos, idx_pos) AS traditional FROM ({_ENTRY_JOIN}) GROUP BY id"),
+    "entry_join": (entry_join, _ENTRY_JOIN),
+    "lexicon_round_trip": (lexicon_round_trip, _seed_sql("word_id, traditional, simplified, n_english")),
     "query_edge_cases": (query_edge_cases, f"SELECT text_id, label, label = 'UN' AS unclassified FROM (SELECT text_id, {label_sql('n')} AS label FROM (SELECT text_id, {normal_sql('text')} AS n FROM ({edge_sql()})))"),
     "measure_words_explode": (measure_words_explode, _seed_sql("word_id, mt AS traditional, ms AS simplified, mm AS pinyin_marks, mn AS pinyin_numbers") + " WHERE mt IS NOT NULL"),
     "entries_json": (entries_json, _seed_sql("word_id, traditional, simplified, n_english")),

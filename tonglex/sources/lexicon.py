@@ -28,8 +28,8 @@ BROADCAST_ROWS = 2_000_000
 
 
 class Lexicon:
-    def __init__(self, entries: DataFrame, index: DataFrame):
-        self.entries, self.index = entries, index
+    def __init__(self, entries: DataFrame, index: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
+        self.entries, self.index, self.broadcast_rows = entries, index, broadcast_rows
         self._maps: dict[str, dict[str, list[int]]] = {}
         self._rows: int | None = None
 
@@ -83,17 +83,17 @@ class Lexicon:
                 raise ValueError(f"lexicon: {what}: {bad}")
 
     def small(self) -> bool:
-        """Whether the index has BROADCAST_ROWS rows at most; counted once, and kept for what follows."""
+        """Whether the index has broadcast_rows rows at most; counted once, and kept for what follows."""
         if self._rows is None:
             if not self.index.is_cached:
                 self.index = self.index.cache()
-            self._rows = self.index.limit(BROADCAST_ROWS + 1).count()
-        return self._rows <= BROADCAST_ROWS
+            self._rows = self.index.limit(self.broadcast_rows + 1).count()
+        return self._rows <= self.broadcast_rows
 
     def ids(self, kind: str) -> dict[str, list[int]]:
         """key -> ids in order, of a lexicon of checked size."""
         if not self.small():
-            raise ValueError(f"the index has over {BROADCAST_ROWS} rows")
+            raise ValueError(f"the index has over {self.broadcast_rows} rows")
         if kind not in self._maps:
             out: dict[str, list[tuple[int, int]]] = {}
             for r in self.index.where(F.col("kind") == kind).collect():
@@ -101,10 +101,15 @@ class Lexicon:
             self._maps[kind] = {k: [i for _, i in sorted(v)] for k, v in out.items()}
         return self._maps[kind]
 
+    def release(self) -> None:
+        """Give back what warm() or small() cached."""
+        self.entries.unpersist()
+        self.index.unpersist()
+
     def pairs(self) -> list[tuple[str, str]]:
         """(traditional, simplified) by rank."""
         if not self.small():
-            raise ValueError(f"the index has over {BROADCAST_ROWS} rows")
+            raise ValueError(f"the index has over {self.broadcast_rows} rows")
         return [(r[0], r[1]) for r in self.entries.orderBy("hsk", "word_id").select("traditional", "simplified").collect()]
 
     def views(self, prefix: str = "") -> None:

@@ -4,13 +4,19 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tonglex.functions import text
 from tonglex.functions.convert import Scripts
+from tonglex.operators.lookup import HITS, chinese_index, english_matches
 from tonglex.operators.segment import Segmenter
 from tonglex.sources.lexicon import Lexicon
 
 
 def register(spark: SparkSession, lexicon: Lexicon, prefix: str = "") -> None:
-    """Views entries, index, headwords; functions tokenize, simplified_to_traditional, traditional_to_simplified, is_simplified, is_traditional."""
+    """Views entries, index, headwords; functions normalize, normalize_pinyin, classify, query, query_by_english, query_by_pinyin,
+    query_by_chinese, tokenize, simplified_to_traditional, traditional_to_simplified, is_simplified, is_traditional.
+
+    For a lexicon of checked size; a larger one raises, and takes the DataFrame functions instead.
+    """
     lexicon.views(prefix)
     scripts = Scripts(lexicon.pairs())
     to_t, to_s = scripts.simplified_to_traditional.convert, scripts.traditional_to_simplified.convert
@@ -23,6 +29,62 @@ def register(spark: SparkSession, lexicon: Lexicon, prefix: str = "") -> None:
         ("is_simplified", "boolean", lambda x: None if x is None else to_s(x) == x),
     ):
         spark.udf.register(f"{prefix}{name}", F.pandas_udf(_mapped(f), kind))
+    _register_texts(spark, prefix)
+    _register_lookups(spark, lexicon, prefix)
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _function(spark: SparkSession, name: str, kind: str, body: str) -> None:
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(txt STRING) RETURNS {kind} RETURN {body}")
+
+
+def _register_texts(spark: SparkSession, prefix: str) -> None:
+    """normalize, normalize_pinyin and classify as SQL expressions, which the optimiser sees through."""
+    for name, colon in (("normalize", ":"), ("normalize_pinyin", "(?<![uU]):")):
+        gaps = _literal(rf"(?:[\p{{IsWhite_Space}}{text.SEPARATORS}{text.APOSTROPHES}]|{colon})+")
+        _function(spark, f"{prefix}{name}", "STRING", f"trim(regexp_replace(regexp_replace(txt, {_literal(text._INNER)}, ''), {gaps}, ' '))")
+    fits = f"(length(w) <= {text.LONGEST_PINYIN_WORD} AND rlike(w, {_literal(text.PINYIN_WORD)})) OR rlike(w, '^[1-5]$')"
+    plain = f"array_remove(split(translate(lower(txt), '{text.TONED}', '{text.PLAIN}'), ' '), '')"
+    label = (
+        "CASE WHEN txt IS NULL THEN NULL WHEN txt = '' THEN 'UN' WHEN rlike(txt, '\\\\p{IsHan}') THEN 'ZH' "
+        f"WHEN NOT rlike(txt, '^[1-5](?: |$)') AND NOT exists({plain}, w -> NOT ({fits})) THEN 'PY' WHEN rlike(txt, '\\\\p{{IsAlphabetic}}') THEN 'EN' ELSE 'UN' END"
+    )
+    _function(spark, f"{prefix}classify_normal", "STRING", label)
+    _function(spark, f"{prefix}classify", "STRING", f"{prefix}classify_normal({prefix}normalize(txt))")
+
+
+def _register_lookups(spark: SparkSession, lexicon: Lexicon, prefix: str) -> None:
+    english, pinyin, chinese = lexicon.ids("english"), lexicon.ids("pinyin"), {}
+    for r in chinese_index(lexicon).orderBy("key", "pos").collect():
+        chinese.setdefault(r["key"], []).append(r["word_id"])
+    segment = Segmenter(chinese).tokens
+
+    def by_english(normal: str | None):
+        out, last = [], None
+        for at, _, key in english_matches([w for w in (normal or "").split(" ") if w], english):
+            for i, word in enumerate(english[key]):
+                if word != last:
+                    out.append((at, i, word))
+                last = word
+        return out
+
+    def listed(tokens: list[str], ids: dict[str, list[int]]):
+        return [(at, i, word) for at, t in enumerate(tokens) for i, word in enumerate(ids.get(t, ()))]
+
+    def by_pinyin(normal: str | None):
+        return listed([w for w in (normal or "").split(" ") if w], pinyin)
+
+    def by_chinese(x: str | None):
+        return listed(segment(x or ""), chinese)
+
+    for name, f, given in (("english", by_english, f"lower({prefix}normalize(txt))"), ("pinyin", by_pinyin, f"lower({prefix}normalize_pinyin(txt))"), ("chinese", by_chinese, "txt")):
+        spark.udf.register(f"{prefix}_hits_{name}", F.pandas_udf(_mapped(f), HITS))
+        _function(spark, f"{prefix}query_by_{name}", HITS, f"{prefix}_hits_{name}({given})")
+    branches = "".join(f" WHEN '{label}' THEN {prefix}query_by_{name}({given})" for label, name, given in (("EN", "english", "txt"), ("PY", "pinyin", "txt"), ("ZH", "chinese", f"{prefix}normalize(txt)")))
+    _function(spark, f"{prefix}query", HITS, f"CASE {prefix}classify(txt){branches} END")
 
 
 def _mapped(f):
