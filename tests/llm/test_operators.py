@@ -522,6 +522,62 @@ def test_families_in_one_key_meet(documents):
     assert [r["doc_id"] for r in simhash.one_of_each(documents(rows)).collect()] == [0]
 
 
+def test_a_large_group_under_the_bound_costs_few_checks(documents, monkeypatch):
+    """Variants of one text that mostly stay under 0.8 share keys; hardly a pair goes to the exact check, and no link is lost."""
+    rng = random.Random(8)
+    base = prose(150, rng).split()
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 5, 6, 7])):
+            w[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = [set(similar_texts.shingle_set(t.encode()).tolist()) for _, t in rows]
+    fps = [simhash.fingerprint(t.encode()) for _, t in rows]
+    n = range(len(rows))
+    similar = {(a, b) for a in n for b in n if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    comp = brute_components(n, [(a, b) for a in n for b in n if a < b and ((a, b) in similar or (fps[a] ^ fps[b]).bit_count() <= 3)])
+    counts, checked = [], similar_texts._checked
+
+    def counting(pairs, first, texts):
+        counts.append(pairs.count())
+        return checked(pairs, first, texts)
+
+    monkeypatch.setattr(similar_texts, "_checked", counting)
+    before = common.written()
+    assert {r["doc_id"] for r in simhash.one_of_each(documents(rows)).collect()} == {rows[c][0] for c in set(comp.values())}
+    assert len(set(comp.values())) > 20 and sum(counts[1:]) <= 2 * len(rows), counts  # the first are each text's nearest in a key
+    assert common.written() == before + 1
+
+
+def test_sketches_bound_the_difference_of_sets():
+    rng = np.random.default_rng(15)
+    for n, m in ((0, 3), (60, 60), (300, 310), (700, 560), (3000, 2000)):
+        for differ in (0, 1, n // 9, n // 2):
+            x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[differ:][:m], rng.integers(0, 1 << 64, differ, dtype=np.uint64)]))
+            real = len(np.setxor1d(x, y))
+            a, b = similar_texts.folded([similar_texts.sketch(x), similar_texts.sketch(y)])
+            assert 0.6 * real <= np.bitwise_count(a ^ b).sum() <= real
+
+
+def test_nearest_across_groups_are_as_many_as_the_texts(monkeypatch):
+    monkeypatch.setattr(similar_texts, "BLOCK", 50)
+    rng = np.random.default_rng(4)
+    n = 400
+    rows = np.stack([np.arange(n), rng.permutation(n), np.arange(n), rng.integers(0, 1 << 20, n), np.full(n, 100)])
+    got = np.concatenate(list(similar_texts.across(rows, False)), axis=1)
+    assert got.shape[1] <= similar_texts.NEAREST * n and len(set(got[:2].ravel().tolist())) == n
+
+
+def test_contaminated_leaves_its_matches_only(spark, documents):
+    words = prose(40, random.Random(2))
+    bench = spark.createDataFrame([(1, words)], "item_id long, text string")
+    before = common.written()
+    assert [r["item_id"] for r in decontamination.contaminated(documents([(1, words), (2, "none of it")]), bench).collect()] == [1]
+    assert common.written() == before + 1
+
+
 def test_similar_sets_of_every_size_share_a_key():
     """A text and itself with words appended, at the lowest size ratio, meet and stay within the bounds."""
     rng = np.random.default_rng(12)

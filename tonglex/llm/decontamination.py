@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, map_arrow, stage_table, table
+from .common import docs_of, map_arrow, settled, stage_table, table, written
 from .license_scan import DELETE, normal_words
 from .words import column_words
 
@@ -402,10 +402,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE)
         bench = Benchmark.of([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
         if not bench.items:
             continue
+        since = written()
         numbers = stage_table(map_arrow(d, _numbering(bench), "doc_id long, mark long, words binary, terms binary"), "numbers")
         weight = weights(numbers, bench)
         space = latent_space(numbers, bench, weight)
-        out = out.union(map_arrow(numbers, _search(bench, weight, space, cosine), MATCHES))
+        out = out.union(settled(map_arrow(numbers, _search(bench, weight, space, cosine), MATCHES), "matches", since))
     return out
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, map_arrow, row_key, stage_table, table, with_rows
+from .common import docs_of, map_arrow, row_key, settled, stage_table, table, with_rows, written
 from .components import connected_components, forest
 from .similar_texts import FEATURES, features, similar_links
 
@@ -274,6 +274,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     shingles. The smallest doc_id stays, a null one before all others; of rows with equal doc_ids that with the
     smallest hash of its text, and equal rows stay once.
     """
+    since = written()
     key_id, key_mark = row_key(docs)
     rows = docs.select(key_id, key_mark, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     f = stage_table(map_arrow(rows, _all_features, "key_id long, key_mark long, fp long, " + FEATURES), "simhash")
@@ -285,7 +286,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     roots = connected_components(similar_links(first, rows, stage_table(near_links(per.select("fp")), "near")))
     member = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
     kept = member.groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    return with_rows(docs, kept, "left_semi", single=True)
+    return with_rows(docs, settled(kept, "kept", since), "left_semi", single=True)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,11 @@ resemblance decides. With 32 parts on a level that both sets have, a pair at 0.8
 probability under 0.001.
 
 Within a key each text is compared with all others by fingerprint, and its four nearest go on to the
-exact check, which joins most groups. Keys that hold more pairs stay open: of them, first each text's
-nearest in every other group, then every pair across groups is checked, so that no unchecked pair
-within the bounds of size and bits can join two groups. Pairs inside a group change nothing.
+exact check, which joins most groups. Keys that hold more pairs stay open. If such a key still has more
+than one group, its texts get sketches, parities of at least twice as many classes as they have shingles.
+Differences of sketches never exceed those of the sets and come close to them, so hardly a pair under 0.8
+stays within the bounds: first each text's four nearest in other groups, then every pair across groups
+that does is checked. No unchecked pair within the bounds can join two groups; pairs inside a group change nothing.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ MOST_BITS = 22  # at resemblance 0.8 fingerprints differ in 9.7 bits on average,
 NEAREST = 4
 SMALL = 64  # shingles; a set of up to 5/4 as many can be similar to such a one
 BLOCK = 2048  # texts of one key compared with one another at a time
+LEAST_CLASSES = 512  # of a sketch
+SKETCHED = 1 << 16  # pairs whose sketches are compared at a time
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -53,6 +57,19 @@ def parity_bits(s: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(np.uint64(1) << (mix(s) & np.uint64(63)), initial=np.uint64(0)).view(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities as parity_bits, of a power of two classes, at least twice as many as shingles."""
+    classes = max(LEAST_CLASSES, 1 << (2 * len(s) - 1).bit_length())
+    at = (mix(s) & np.uint64(classes - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=classes) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """A row of 64-bit words for each sketch, all with as many classes as the shortest: classes equal modulo that number become one."""
+    words = min(map(len, sketches)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, words), axis=0) for x in sketches])
+
+
 def prefix_keys(s: np.ndarray) -> np.ndarray:
     """Even keys of the first shingles of a sorted set, of which two sets at 0.8 share one."""
     return mix(s[: len(s) + 4 * len(s) // -5 + 1]) & ~np.uint64(1) if len(s) else s
@@ -174,63 +191,86 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(held)
 
 
-def across(rows: np.ndarray, every: bool, odd: int = 1) -> Iterator[np.ndarray]:
-    """Pairs within the bounds across the roots of one key (rows root, mark, node, fp, n, sorted by root): all of them, or each text's nearest in every other root."""
+def across(rows: np.ndarray, every: bool, odd: int = 1, sketches: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs within the bounds across the roots of one key (rows root, mark, node, fp, n, sorted by root, and their folded sketches):
+    all of them, or of each text those with its NEAREST others."""
     root, mark, node, fp, n = rows
     f = fp.view(np.uint64)
     blocks = [slice(at, min(at + BLOCK, len(root))) for at in range(0, len(root), BLOCK)]
+    far = np.iinfo(np.int32).max
+
+    def compared(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        d, ok = _bounded(odd, f[a, None], n[a, None], f[None, b], n[None, b])
+        d = d.astype(np.int32)
+        ok &= root[a, None] != root[None, b]
+        if sketches is not None:
+            i, j = np.nonzero(ok)
+            for at in range(0, len(i), SKETCHED):
+                x, y = i[at : at + SKETCHED], j[at : at + SKETCHED]
+                d[x, y] = np.bitwise_count(sketches[a][x] ^ sketches[b][y]).sum(axis=1, dtype=np.int32)
+            ok &= 9 * d <= n[a, None] + n[None, b]
+        return d, ok
+
     for k, a in enumerate(blocks):
-        for b in blocks[k:]:
-            if root[a.start] == root[b.stop - 1]:
+        least, at = np.full((a.stop - a.start, NEAREST), far, dtype=np.int32), np.zeros((a.stop - a.start, NEAREST), dtype=np.int64)
+        for b in blocks[k:] if every else blocks:
+            if root[min(a.start, b.start)] == root[max(a.stop, b.stop) - 1]:
                 continue
-            d, ok = _bounded(odd, f[a, None], n[a, None], f[None, b], n[None, b])
-            ok &= root[a, None] < root[None, b]
-            if not every and ok.any():
-                d[~ok] = 99
-                best = np.zeros_like(ok)
-                for x, r, turned in ((d, root[b], False), (d.T, root[a], True)):
-                    starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    for s, e in zip(starts.tolist(), np.append(starts[1:], len(r)).tolist(), strict=True):
-                        j = s + x[:, s:e].argmin(axis=1)
-                        i = np.arange(len(x))
-                        best[(j, i) if turned else (i, j)] = True
-                ok &= best
-            i, j = np.nonzero(ok)
-            if len(i):
-                i, j = i + a.start, j + b.start
-                yield _ordered(mark[i], mark[j], node[i], node[j])
+            d, ok = compared(a, b)
+            if every:
+                i, j = np.nonzero(ok & (root[a, None] < root[None, b]))
+                if len(i):
+                    i, j = i + a.start, j + b.start
+                    yield _ordered(mark[i], mark[j], node[i], node[j])
+            elif ok.any():
+                d[~ok] = far
+                least, at = np.concatenate([least, d], axis=1), np.concatenate([at, np.broadcast_to(np.arange(b.start, b.stop), d.shape)], axis=1)
+                best = np.argpartition(least, NEAREST - 1, axis=1)[:, :NEAREST]
+                least, at = np.take_along_axis(least, best, axis=1), np.take_along_axis(at, best, axis=1)
+        i, c = np.nonzero(least < far)
+        if len(i):
+            i, j = i + a.start, at[i, c]
+            yield np.unique(_ordered(mark[i], mark[j], node[i], node[j]), axis=1)
 
 
 def _across(every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by key, root, mark -> pairs across roots."""
 
-        def found(rows: np.ndarray):
+        def found(rows: np.ndarray, sketches: list[bytes]):
             cut = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), rows.shape[1]], strict=True):
                 if rows[1, s] != rows[1, e - 1]:
-                    for p in across(rows[1:, s:e], every, rows[0, s] & 1):
+                    for p in across(rows[1:, s:e], every, rows[0, s] & 1, folded(sketches[s:e])):
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in p], names=["a", "b", "node_a", "node_b"])
 
         held: list[np.ndarray] = []
+        own: list[bytes] = []  # sketches of the rows held
         for batch in batches:
             rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)])
             if not rows.shape[1]:
                 continue
+            own += batch.column(6).to_pylist()
             if rows[0, 0] == rows[0, -1] and held and held[0][0, 0] == rows[0, 0]:
                 held.append(rows)
                 continue
             rows = np.concatenate([*held, rows], axis=1)
-            last = rows[0] == rows[0, -1]
-            if not last.all():
-                yield from found(rows[:, ~last])
-            held = [rows[:, last]]
+            start = int(np.searchsorted(rows[0], rows[0, -1]))  # sorted by key
+            if start:
+                yield from found(rows[:, :start], own[:start])
+            held, own = [rows[:, start:]], own[start:]
         if held:
-            yield from found(np.concatenate(held, axis=1))
+            yield from found(np.concatenate(held, axis=1), own)
 
     return run
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketches = [sketch(shingle_set(t.as_py())) for t in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(sketches, pa.binary())], names=["mark", "sketch"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t.as_py()).tobytes() for t in batch.column("text").cast(pa.binary())]
@@ -248,11 +288,15 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node_a").filter(keep), batch.column("node_b").filter(keep)], names=["a", "b"])
 
 
+def _texts(marks: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
+    """(mark, text) of those marks; more than once where rows repeat."""
+    wanted = first.select("key_id", "key_mark").join(marks.select(F.col("mark").alias("key_mark")).distinct(), "key_mark", "left_semi")
+    return rows.join(wanted, ["key_id", "key_mark"], "left_semi").select(F.col("key_mark").alias("mark"), "text")
+
+
 def _checked(pairs: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (a, b) between the nodes of those pairs whose texts are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key_mark")).distinct()
-    wanted = first.select("key_id", "key_mark").join(wanted, "key_mark", "left_semi")
-    texts = rows.join(wanted, ["key_id", "key_mark"], "left_semi").select(F.col("key_mark").alias("mark"), "text")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("mark")), first, rows)
     sets = stage_table(map_arrow(texts, _sets, "mark long, s binary"), "sets")
     a, b = sets.select(F.col("mark").alias("a"), F.col("s").alias("sa")), sets.select(F.col("mark").alias("b"), F.col("s").alias("sb"))
     links = stage_table(map_arrow(pairs.join(a, "a").join(b, "b").select("node_a", "node_b", "sa", "sb"), _exact, "a long, b long"), "links")
@@ -271,12 +315,21 @@ def similar_links(first: DataFrame, rows: DataFrame, near: DataFrame) -> DataFra
     still = raw.where("key is not null").select("key", F.col("a").alias("mark"), F.col("b").alias("node"), F.col("node_a").alias("fp"), F.col("node_b").alias("n"))
     if still.isEmpty():
         return edges
-    roots = None
+    roots = connected_components(edges)
+
+    def placed() -> DataFrame:
+        return still.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "mark", "node", "fp", "n")
+
+    parted = placed().groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    still = stage_table(still.join(parted, "key", "left_semi").select(*still.columns), "open")
+    if still.isEmpty():
+        return edges
+    sketches = stage_table(map_arrow(_texts(still.select("mark"), first, rows), _sketches, "mark long, sketch binary").dropDuplicates(["mark"]), "sketches")
     for every in (False, True):
         if roots is None:
             roots = connected_components(edges)
-        placed = still.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "mark", "node", "fp", "n")
-        pairs = map_arrow(placed.repartition("key").sortWithinPartitions("key", "root", "mark"), _across(every), PAIRS, rows=None)
+        sketched = placed().join(sketches, "mark").select("key", "root", "mark", "node", "fp", "n", "sketch")
+        pairs = map_arrow(sketched.repartition("key").sortWithinPartitions("key", "root", "mark"), _across(every), PAIRS, rows=None)
         pairs = stage_table(pairs.distinct().join(checked, ["a", "b"], "left_anti").select("a", "b", "node_a", "node_b"), "pairs")
         if pairs.isEmpty():
             continue
