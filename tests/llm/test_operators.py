@@ -575,7 +575,7 @@ def test_contaminated_leaves_its_matches_only(spark, documents):
     bench = spark.createDataFrame([(1, words)], "item_id long, text string")
     before = common.written()
     assert [r["item_id"] for r in decontamination.contaminated(documents([(1, words), (2, "none of it")]), bench).collect()] == [1]
-    assert common.written() == before + 1
+    assert common.written() == before + 1 and "stage-matches-" in common._WRITTEN[-1][1]
 
 
 def test_similar_sets_of_every_size_share_a_key():
