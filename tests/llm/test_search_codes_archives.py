@@ -1,5 +1,6 @@
 """Ranked search, vector codes and archives against brute force: nulls, empty and long texts, ties, repeats, empty tables."""
 
+import hashlib
 import math
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonglex.llm import lexical_search
+from tonglex.llm import lexical_search, vector_codes
 
 RNG = random.Random(5)
 
@@ -74,3 +75,74 @@ def test_bounds_hold_and_leave_few():
     q = -(-exact // c.step)
     assert q.max() <= 255 and (q * c.step >= exact).all() and ((q - 1) * c.step < exact).all()
     assert int(exact[0]) == int(c.weights[terms_[0]]) * ((10**9 * int(tfs[0])) // (1000 * int(tfs[0]) + 20 * (50 + 50 * int(n[0]) * 1000 // 123_456)))
+
+
+# 12 ----------------------------------------------------------------------------------------
+
+
+def brute_codes(rows, parts, entries, rounds):
+    kept = [(i, v, label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    width = -(-max((len(v) for _, v, _ in kept), default=0) // parts) * parts or parts
+    d = width // parts
+    cut = [[[math.floor(4096 * x) for x in (list(v) + [0] * (width - len(v)))][p * d : (p + 1) * d] for p in range(parts)] for _, v, _ in kept]
+    order = sorted(range(len(kept)), key=lambda r: (kept[r][0] is None, kept[r][0], np.array(cut[r], "<i4").tobytes()))[:entries]
+    books = [[list(cut[r][p]) for r in order] for p in range(parts)]
+    far = lambda x, c: sum((a - b) ** 2 for a, b in zip(x, c, strict=True))
+    assign = lambda: [[min(range(len(books[p])), key=lambda e, p=p, x=x: (far(x[p], books[p][e]), e)) for p in range(parts)] for x in cut]
+    for _ in range(rounds):
+        codes = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                own = [x[p] for x, c in zip(cut, codes, strict=True) if c[p] == e]
+                if own:
+                    books[p][e] = [sum(column) // len(own) for column in zip(*own, strict=True)]
+    codes = assign()
+    errors = [sum(far(x[p], books[p][c[p]]) for p in range(parts)) for x, c in zip(cut, codes, strict=True)]
+    by = Counter()
+    for (_, _, label), e in zip(kept, errors, strict=True):
+        by[label] += e
+    digest = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+    return sorted(((i, "".join(f"{x:02x}" for x in c), e, by[label], digest) for (i, _, label), c, e in zip(kept, codes, errors, strict=True)), key=str)
+
+
+def vectors(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    return df.withColumn("code", F.lit(1)).withColumn("entry", F.lit("x")).withColumn("n", F.lit(2))
+
+
+@pytest.mark.parametrize("width, bounds", [(64, {}), (16, {"most_rows": 0}), (13, {})])
+def test_vector_codes(spark, width, bounds):
+    rng = np.random.default_rng(width)
+    rows = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 0.2, width)], int(i) % 5 if i % 7 else None) for i in rng.permutation(250)]
+    rows += [(1000 + i, rows[3][1], 2) for i in range(60)]  # a common vector
+    rows += [(300, None, 1), (301, [None] * width, 1), (302, [math.nan] * width, 1), (303, [1.0] * (width - 1) + [math.inf], 1), (None, rows[9][1], None), (5, rows[8][1], 9), (5, rows[8][1], 9)]
+    rows += [(400, [], 3), (401, [0.5] * 5, 3), (402, [0.0] * width, 3), (403, [-1e-9] * width, None)]
+    got = vector_codes.compress_vectors(vectors(spark, rows).repartition(5), **bounds)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_codes(rows, 8, 16, 6)
+
+
+def test_vector_codes_of_few_and_extreme(spark):
+    few = [(2, [0.1] * 8, 1), (1, [0.1] * 8, None), (3, [9.0] * 8, 1)]
+    assert sorted(map(tuple, vector_codes.compress_vectors(vectors(spark, few)).collect()), key=str) == brute_codes(few, 8, 16, 6)
+    assert vector_codes.compress_vectors(vectors(spark, few).where("false")).count() == 0
+    assert vector_codes.compress_vectors(vectors(spark, [(1, None, 1)])).count() == 0
+    huge = vector_codes.compress_vectors(vectors(spark, [(1, [3e38] * 8, 1), (2, [-3e38] * 8, 1), (3, [0.0] * 8, 1)]), entries=1).collect()
+    assert len(huge) == 3 and all(0 <= r["error"] < 1 << 63 for r in huge)
+
+
+@pytest.mark.parametrize("size", [1, 300, 100_000, 1 << 27])
+def test_screening_never_loses_the_nearest(size):
+    """Near ties of every magnitude: entries one unit apart, equal ones, vectors halfway between."""
+    rng = np.random.default_rng(size)
+    for _ in range(40):
+        d = int(rng.integers(1, 40))
+        base = rng.integers(-size, size + 1, d)
+        entries = np.stack([base + rng.integers(-1, 2, d) * int(rng.integers(0, 2)) for _ in range(9)] + [rng.integers(-size, size + 1, d) for _ in range(3)]).astype(np.int64)
+        x = np.concatenate([base + rng.integers(-2, 3, (50, d)), rng.integers(-size, size + 1, (50, d)), (entries[:6] + entries[3:9]) // 2]).astype(np.int64)
+        exact = np.array([[sum(int(a - b) ** 2 for a, b in zip(row, e, strict=True)) for e in entries] for row in x], dtype=object)
+        want = [min(range(len(entries)), key=lambda e, r=r: (r[e], e)) for r in exact]
+        assert vector_codes.nearest(x, entries).tolist() == want
+        may = vector_codes.overlapping(x, entries)
+        assert all(may[i, w] for i, w in enumerate(want))
+    far = vector_codes.overlapping(np.array([[0] * 8]), np.array([[0] * 8, [1000] * 8]))
+    assert far.tolist() == [[True, False]]  # most entries are never measured again

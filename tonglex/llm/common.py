@@ -144,3 +144,28 @@ def with_rows(docs: DataFrame, keys: DataFrame, how: str, single: bool = False)
     if single:
         d = d.groupBy("key_id", "key_mark").agg(F.first("row").alias("row"))
     return d.select("row.*")
+
+
+BROADCAST_ROWS, BROADCAST_BYTES, HOT = 200_000, 16 << 20, 1000
+
+
+def with_totals(df: DataFrame, totals: DataFrame, key: str, spread, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, left-joined to what is known of each key: totals(key, n rows of df, ...); a null key is a key. `n` is left out.
+
+    totals of a checked size are broadcast. Of larger ones only keys of over 1 / HOT of the rows (fewer than HOT of them) are;
+    other keys meet by shuffle, where rows of the former are dealt out by `spread`, so that no key gathers its rows in one task.
+    """
+    rest = [c for c in totals.columns if c not in (key, "n")]
+    named = lambda t: t.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in rest))
+    size, length, rows = totals.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if size <= most_rows and length <= BROADCAST_BYTES:
+        out = df.join(F.broadcast(named(totals)), F.col(key).eqNullSafe(F.col("_key")), "left")
+        return out.select(*df.columns, *(F.col(f"_{c}").alias(c) for c in rest))
+    hot, cold = totals.where(F.col("n") * HOT > rows), totals.where(F.col("n") * HOT <= rows)
+    first = named(hot).withColumn("_hot", F.lit(1))
+    out = df.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    out = out.withColumn("_at", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(HOT))).cast("int"))
+    out = out.select(*df.columns, "_at", *(F.col(f"_{c}").alias(f"_hot_{c}") for c in rest))
+    second = named(cold).withColumn("_to", F.lit(0))
+    out = out.join(second, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_to")), "left")
+    return out.select(*df.columns, *(F.coalesce(f"_hot_{c}", f"_{c}").alias(c) for c in rest))

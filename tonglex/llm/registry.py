@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, lexical_search, license_scan, packing, quality_rules, secret_scan, sharding, simhash, substring_dedup, url_filter
+from . import chat_format, decontamination, lexical_search, license_scan, packing, quality_rules, secret_scan, sharding, simhash, substring_dedup, url_filter, vector_codes
 
 QUERIES = {
     "op1_suffix_dedup": substring_dedup.op1_suffix_dedup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 ORACLES = {
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op9_chat_format": chat_format.ORACLE_SQL,
     "op11_lexical_search": lexical_search.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
