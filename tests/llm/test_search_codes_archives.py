@@ -1,6 +1,8 @@
 """Ranked search, vector codes and archives against brute force: nulls, empty and long texts, ties, repeats, empty tables."""
 
+import base64
 import hashlib
+import io
 import math
 import random
 import re
@@ -8,9 +10,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from tonglex.llm import lexical_search, vector_codes
+from tonglex.llm import lexical_search, vector_codes, warc
 
 RNG = random.Random(5)
 
@@ -146,3 +149,75 @@ def test_screening_never_loses_the_nearest(size):
         assert all(may[i, w] for i, w in enumerate(want))
     far = vector_codes.overlapping(np.array([[0] * 8]), np.array([[0] * 8, [1000] * 8]))
     assert far.tolist() == [[True, False]]  # most entries are never measured again
+
+
+# 13 ----------------------------------------------------------------------------------------
+
+
+def brute_records(rows, least=0):
+    """Of equal rows any one is the response."""
+    groups = {}
+    for i, url, html in rows:
+        groups.setdefault((html or "").encode(), []).append((i is None, i, url is not None, url or ""))
+    out = []
+    for b, own in groups.items():
+        own.sort(key=lambda a: tuple(x if x is not None else 0 for x in a))
+        for k, (_, i, _, _) in enumerate(own):
+            revisit = k > 0 and len(b) >= least
+            out.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if revisit else "response", own[0][1] if revisit else None))
+    return sorted(out, key=str)
+
+
+def made_pages():
+    html = ["<p>" + "".join(RNG.choices("abc <é中", k=RNG.randint(0, 400))) + "\r\n\r\n</p>" for _ in range(40)]
+    rows = [(i, f"https://a.b/{i}", RNG.choice(html)) for i in range(150)]
+    rows += [(500 + i, None, html[0]) for i in range(60)] + [(None, "u", html[1]), (None, None, "only here"), (700, "u\r\nWARC-Type: x", None), (701, "", ""), (702, "v", None)]
+    rows += [(7, "https://a.b/7", rows[7][2])] * 3 + [(-5, "twin", "twin")] * 4 + [(800, "long", "x" * 3_000_000), (801, "long", "x" * 3_000_000)]
+    return rows
+
+
+def pages_of(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return df.withColumn("key", F.lit(1)).withColumn("first", F.lit("x")).withColumn("n", F.lit(2))
+
+
+@pytest.mark.parametrize("least, bounds", [(0, {}), (200, {}), (0, {"most_rows": 0})])
+def test_archives_come_back(spark, tmp_path, least, bounds):
+    rows = made_pages()
+    index = warc.write_archives(pages_of(spark, rows).repartition(6), str(tmp_path / "a"), least, frame_bytes=5000, bundle_bytes=20_000, **bounds)
+    got = warc.read_archives(index, str(tmp_path / "a")).collect()
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == brute_records(rows, least)
+    by_id = {r["record_id"]: r for r in got}
+    assert len(by_id) == len(rows) == index.count()
+    texts = {r["payload_digest"]: bytes(r["payload"]) for r in got if r["record_type"] == "response"}
+    want = Counter((i, (html or "").encode()) for i, _, html in rows)
+    assert Counter((r["page_id"], texts[r["payload_digest"]]) for r in got) == want
+    places = {(r["record_id"], r["bundle"], r["frame"], r["offset"]) for r in index.collect()}
+    assert places == {(r["record_id"], r["bundle"], r["frame"], r["offset"]) for r in got}
+
+
+def test_bundles_are_plain_zstandard_and_seekable(spark, tmp_path):
+    folder = tmp_path / "b"
+    index = warc.write_archives(pages_of(spark, made_pages()), f"file:{folder}", frame_bytes=5000, bundle_bytes=20_000)
+    files = sorted(folder.glob("*.warc.zst"))
+    assert len(files) > 1
+    for f in files:
+        data = f.read_bytes()
+        whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()  # passes over the seek table
+        frames = warc.seek_table(warc.opened(str(f.parent))[0].open_input_file(str(f)))
+        assert b"".join(zstandard.ZstdDecompressor().decompress(data[a : a + b]) for a, b, _ in frames) == whole
+        assert sum(c for _, _, c in frames) == len(whole)
+    some = index.where("page_id in (7, 800)")
+    assert {r["page_id"] for r in warc.fetch(some, str(folder)).collect()} == {7, 800} and warc.fetch(some, str(folder)).count() == some.count()
+    (folder / "pages-lost.warc.zst").write_bytes(b"half a")  # an attempt that did not end
+    warc._drop_lost(index, str(folder))
+    assert sorted(folder.glob("*.warc.zst")) == files
+
+
+def test_archives_of_nothing_and_damage(spark, tmp_path):
+    index = warc.write_archives(pages_of(spark, [(1, "u", "h")]).where("false"), str(tmp_path / "c"))
+    assert index.count() == 0 and warc.read_archives(index, str(tmp_path / "c")).count() == 0
+    record = warc.record_bytes("<urn:x-page:1:k>", "u", 3, warc.digest_of(b"abc"), b"abc", None)
+    assert [r["payload"] for r in warc.parse_records(record * 2)] == [b"abc"] * 2
+    with pytest.raises(ValueError, match="damaged"):
+        list(warc.parse_records(record.replace(b"abc", b"abd")))

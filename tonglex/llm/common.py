@@ -71,6 +71,11 @@ def written() -> int:
     return len(_WRITTEN)
 
 
+def written_folder(spark: SparkSession, path: str) -> None:
+    """A folder of an operator's own files, deleted as stage tables are."""
+    _WRITTEN.append((spark, path))
+
+
 def settled(df: DataFrame, name: str, since: int) -> DataFrame:
     """df as a stage table, in place of those written after the first `since`."""
     out = stage_table(df, name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, lexical_search, license_scan, packing, quality_rules, secret_scan, sharding, simhash, substring_dedup, url_filter, vector_codes
+from . import chat_format, decontamination, lexical_search, license_scan, packing, quality_rules, secret_scan, sharding, simhash, substring_dedup, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_suffix_dedup": substring_dedup.op1_suffix_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_warc": warc.op13_warc,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_chat_format": chat_format.ORACLE_SQL,
     "op11_lexical_search": lexical_search.ORACLE_SQL,
     "op12_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_warc": warc.ORACLE_SQL,
 }
