@@ -11,7 +11,6 @@ from tonglex.functions.text import classify, normalize
 from tonglex.operators.lookup import (
     adjacent_dedup,
     chinese_index,
-    english_matches,
     english_tokens_join,
     query,
     query_by_chinese,
@@ -19,14 +18,24 @@ from tonglex.operators.lookup import (
     query_by_pinyin,
     query_by_simplified,
     query_by_traditional,
-    trie_matches,
     with_entries,
-    word_trie,
 )
+from tonglex.operators import packed
+from tonglex.operators.prefixes import longest_matches, numbered
 from tonglex.operators.segment import Segmenter, regex_tokens, tokenize_join
 from tonglex.sources.lexicon import INDEX, Lexicon, seed
 
 
+def english_matches(words, keys):
+    """(place, words, key) of leftmost-longest matches of one to four words, by trying."""
+    at = 0
+    while at < len(words):
+        take = next((n for n in range(min(4, len(words) - at), 0, -1) if "%20".join(words[at : at + n]) in keys), 0)
+        if take:
+            yield at, take, "%20".join(words[at : at + take])
+        at += take or 1
+
+
 @pytest.fixture(scope="module")
 def lexicon(spark):
     return seed(spark).warm()
@@ -164,10 +173,53 @@ def test_english_tiers_and_adjacent_dedup(spark, lexicon):
     assert list(english_matches("a b c d e".split(), {"a%20b%20c%20d", "b", "e"})) == [(0, 4, "a%20b%20c%20d"), (4, 1, "e")]
 
 
+def keys_of(ids):
+    import pyarrow as pa
+
+    rows = [(k, p, i) for k, own in ids.items() for p, i in enumerate(own)]
+    return packed.Keys.of(pa.table({"key": pa.array([r[0] for r in rows], pa.string()), "pos": pa.array([r[1] for r in rows], pa.int32()), "word_id": pa.array([r[2] for r in rows], pa.int64())}))
+
+
 @settings(max_examples=300, deadline=None)
-@given(keys=st.sets(st.lists(st.sampled_from("abc"), min_size=1, max_size=4).map("%20".join), max_size=8), words=st.lists(st.sampled_from("abcd"), max_size=12))
-def test_english_walk_equals_probes(keys, words):
-    assert list(trie_matches(words, word_trie(keys))) == list(english_matches(words, keys))
+@given(
+    ids=st.dictionaries(st.lists(st.sampled_from(["a", "b", "c%20", "%20"]), min_size=1, max_size=5).map("%20".join), st.lists(st.integers(1, 4), min_size=1, max_size=3), max_size=8),
+    texts=st.lists(st.lists(st.sampled_from(["a", "b", "c%20", "a%20b", "%20", "d"]), max_size=9).map(" ".join), max_size=5),
+)
+def test_packed_lookups_equal_trying(ids, texts):
+    keys = keys_of(ids)
+    rows = lambda h: list(zip(h.row.tolist(), h.token.tolist(), h.place.tolist(), h.word.tolist(), strict=True))
+    split = [[w for w in t.split(" ") if w] for t in texts]
+    want = []
+    for r, ws in enumerate(split):
+        found = [(r, at, i, word) for at, _, key in english_matches(ws, ids) for i, word in enumerate(ids[key])]
+        want += [h for k, h in enumerate(found) if k == 0 or found[k - 1][3] != h[3]]
+    assert rows(packed.english(texts, keys)) == want
+    assert rows(packed.pinyin(texts, keys)) == [(r, at, i, word) for r, ws in enumerate(split) for at, w in enumerate(ws) for i, word in enumerate(ids.get(w, ()))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(keys=st.sets(st.text(alphabet="ab中", min_size=1, max_size=5), max_size=12), texts=st.lists(st.text(alphabet="ab中 ", max_size=30), max_size=4))
+def test_automaton(keys, texts):
+    from tonglex.functions.automaton import Automaton
+
+    walk, order = Automaton.build(keys), sorted(keys)
+    assert walk.find(order).tolist() == list(range(len(order))) and set(walk.find(["", "x", "aaaaaaa"]).tolist()) == {-1}
+    assert Automaton(walk.buffer).find(order).tolist() == list(range(len(order)))
+    segmenter = Segmenter(keys)
+    for t in texts:
+        want, at = [], 0
+        while at < len(t):
+            longest = max((k for k in keys if t.startswith(k, at)), key=len, default=None)
+            want += [longest] if longest else []
+            at += len(longest or "x")
+        assert segmenter.tokens(t) == want
+
+
+def test_automaton_shares_endings():
+    from tonglex.functions.automaton import Automaton
+
+    walk = Automaton.build([a + b for a in "abcdefgh" for b in ("tion", "ing", "ed")])
+    assert len(walk.ends) == 9 and (walk.moves >= 0).sum() == 8 + 9
 
 
 def test_conversion(spark, lexicon):

@@ -1,42 +1,99 @@
 """Lookups over whole tables of texts.
 
 Each takes df, the names of its id and text columns, and a lexicon, and returns rows
-(id, tok_pos, idx_pos, word_id); texts without hits have no rows. Order is (tok_pos, idx_pos).
-Lexicons of checked size go to the tasks and need no shuffle; larger ones are joined.
+(id, tok_pos, idx_pos, word_id); texts without hits have no rows. Order is (tok_pos, idx_pos). Each row of df is
+looked up for itself, so ids may be null or repeat. Lexicons of checked size go to the tasks in one broadcast
+variable and need no shuffle; larger ones are joined, and only places with fingerprints or tokens are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonglex.functions.text import classify, classify_normal, normalize, words
+from tonglex.functions.text import classify_normal, normalize, words
 from tonglex.sources.lexicon import Lexicon
+from tonglex.sources.staged import staged
 
-from .segment import greedy, tokenize, tokenize_join
+from .packed import LONGEST, Keys, Packed, sliced
+from .prefixes import CHUNK, hot_join, longest_matches
+from .segment import tokenize_join
 
-LONGEST = 4  # words of an English key
 HITS = "array<struct<tok_pos:int,idx_pos:int,word_id:bigint>>"
+_FOUND = [T.StructField("tok_pos", T.IntegerType()), T.StructField("idx_pos", T.IntegerType()), T.StructField("word_id", T.LongType())]
+
+
+# Lexicons in tasks --------------------------------------------------------------------------
+
+
+def packed(lexicon: Lexicon) -> Broadcast:
+    """The keys of a lexicon of checked size as one broadcast variable, made once."""
+    if not lexicon.small():
+        raise ValueError(f"the index has over {lexicon.broadcast_rows} rows or {lexicon.broadcast_bytes} bytes of keys")
+    if lexicon.sent is None:
+        part = lambda kind: lexicon.index.where(F.col("kind") == kind).select("key", "pos", "word_id")
+        frames = {"english": part("english"), "pinyin": part("pinyin"), "chinese": chinese_index(lexicon)}
+        lexicon.sent = lexicon.index.sparkSession.sparkContext.broadcast(Packed({k: Keys.of(df.toArrow()) for k, df in frames.items()}))
+    return lexicon.sent
+
+
+def _rows_found(df: DataFrame, doc: str, given: Column, lexicon: Lexicon, kind: str) -> DataFrame:
+    """Rows of hits by one pass of the tasks."""
+    sent = packed(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            hits = sent.value.find(kind, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hits.row)), *hits.columns()], names=[doc, "tok_pos", "idx_pos", "word_id"])
+
+    return df.select(doc, given.alias("_g")).mapInArrow(run, T.StructType([df.schema[doc], *_FOUND]))
+
+
+def hits_column(given: Column, sent: Broadcast, kind: str) -> Column:
+    """A column of hits of texts as `kind` takes them; NULL for NULL."""
+
+    @F.arrow_udf(HITS)
+    def found(texts: pa.Array) -> pa.Array:
+        return sent.value.find(kind, texts).lists(texts.is_null().to_numpy(zero_copy_only=False))
+
+    return found(given)
+
+
+def english_hits(normal: Column, lexicon: Lexicon) -> Column:
+    """Hits of normalised text in every task; adjacent equal ids are one."""
+    return hits_column(F.lower(normal), packed(lexicon), "english")
+
+
+# Joins --------------------------------------------------------------------------------------
 
 
 def _by_token(tokens: DataFrame, doc: str, index: DataFrame) -> DataFrame:
-    """tokens(doc, tok_pos, token) joined to an index part (key, pos, word_id)."""
-    return tokens.join(index, tokens["token"] == index["key"]).select(doc, F.col("tok_pos").cast("int").alias("tok_pos"), F.col("pos").alias("idx_pos"), "word_id")
+    """tokens(doc, tok_pos, token, ...) joined to an index part (key, pos, word_id)."""
+    more = [c for c in tokens.columns if c not in (doc, "tok_pos", "token")]
+    return tokens.join(index, tokens["token"] == index["key"]).select(doc, *more, F.col("tok_pos").cast("int").alias("tok_pos"), F.col("pos").alias("idx_pos"), "word_id")
+
+
+def _by_hot_token(tokens: DataFrame, doc: str, index: DataFrame) -> DataFrame:
+    """As _by_token, for an index of any size and tokens that may be in every text."""
+    own = staged(tokens, "tokens")
+    more = [c for c in own.columns if c not in (doc, "tok_pos", "token")]
+    found = hot_join(own, "token", index.select(F.col("key").alias("token"), "pos", "word_id"), [doc, "tok_pos"])
+    return found.select(doc, *more, F.col("tok_pos").cast("int").alias("tok_pos"), F.col("pos").alias("idx_pos"), "word_id")
 
 
 def _index(lexicon: Lexicon, kind: str) -> DataFrame:
-    part = lexicon.index.where(F.col("kind") == kind).select("key", "pos", "word_id")
-    return F.broadcast(part) if lexicon.small() else part
+    return lexicon.index.where(F.col("kind") == kind).select("key", "pos", "word_id")
 
 
 def query_by_simplified(df: DataFrame, doc: str, text: str, lexicon: Lexicon, kind: str = "simplified") -> DataFrame:
     """The raw text as one exact key: no trimming, folding or segmentation."""
-    return _by_token(df.select(doc, F.lit(0).alias("tok_pos"), F.col(text).alias("token")), doc, _index(lexicon, kind))
+    tokens, index = df.select(doc, F.lit(0).alias("tok_pos"), F.col(text).alias("token")), _index(lexicon, kind)
+    return _by_token(tokens, doc, F.broadcast(index)) if lexicon.small() else _by_hot_token(tokens, doc, index)
 
 
 def query_by_traditional(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
@@ -54,157 +111,106 @@ def chinese_index(lexicon: Lexicon) -> DataFrame:
 
 def query_by_chinese(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
     """Segment the raw text, then the entries of every token; tokens are not compared with one another."""
-    index = chinese_index(lexicon)
     if lexicon.small():
-        keys = [r["key"] for r in lexicon.headwords.collect()]
-        tokens = df.select(doc, F.posexplode(tokenize(F.col(text), keys)).alias("tok_pos", "token"))
-        return _by_token(tokens, doc, F.broadcast(index))
-    return _by_token(tokenize_join(df, doc, text, lexicon.headwords), doc, index)
+        return _rows_found(df, doc, F.col(text), lexicon, "chinese")
+    return _by_hot_token(tokenize_join(df, doc, text, lexicon.headwords), doc, chinese_index(lexicon))
 
 
-def query_by_pinyin(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
-    """Every word as a key of its own; unknown words are passed over, nothing is deduplicated."""
-    tokens = df.select(doc, F.posexplode(words(F.lower(normalize(F.col(text), pinyin=True)))).alias("tok_pos", "token"))
-    return _by_token(tokens, doc, _index(lexicon, "pinyin"))
-
-
-def english_matches(normal_words: list[str], keys) -> Iterator[tuple[int, int, str]]:
-    """(place, words, key) of leftmost-longest matches of one to LONGEST words."""
-    at, n = 0, len(normal_words)
-    while at < n:
-        for take in range(min(LONGEST, n - at), 0, -1):
-            key = "%20".join(normal_words[at : at + take])
-            if key in keys:
-                yield at, take, key
-                at += take
-                break
-        else:
-            at += 1
-
-
-def word_trie(keys) -> dict:
-    """Keys as nested maps of their words; None holds a whole key."""
-    root: dict = {}
-    for key in keys:
-        node = root
-        for w in key.split("%20"):
-            node = node.setdefault(w, {})
-        node[None] = key
-    return root
-
-
-def trie_matches(normal_words: list[str], root: dict) -> Iterator[tuple[int, int, str]]:
-    """english_matches by one walk a place; for words without %20 in themselves and keys of up to LONGEST words."""
-    at, n = 0, len(normal_words)
-    while at < n:
-        node, take, key = root, 0, None
-        for k in range(at, min(at + LONGEST, n)):
-            node = node.get(normal_words[k])
-            if node is None:
-                break
-            if None in node:
-                take, key = k + 1 - at, node[None]
-        if key is None:
-            at += 1
-        else:
-            yield at, take, key
-            at += take
-
-
-def english_hits(normal: Column, ids: dict[str, list[int]]) -> Column:
-    """Hits of normalised text by a map in every task; adjacent equal ids are one."""
-
-    def hits(text: str | None):
-        if text is None:
-            return None
-        out, last = [], None
-        for at, _, key in english_matches([w for w in text.split(" ") if w], ids):
-            for i, word in enumerate(ids[key]):
-                if word != last:
-                    out.append((at, i, word))
-                last = word
-        return out
+def _pinyin_by_join(df: DataFrame, doc: str, normal: Column, lexicon: Lexicon) -> DataFrame:
+    return _by_hot_token(df.select(doc, F.posexplode(words(normal)).alias("tok_pos", "token")), doc, _index(lexicon, "pinyin"))
 
-    @F.pandas_udf(HITS)
-    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(hits)
 
-    return found(F.lower(normal))
+def query_by_pinyin(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
+    """Every word as a key of its own; unknown words are passed over, nothing is deduplicated."""
+    normal = F.lower(normalize(F.col(text), pinyin=True))
+    return _rows_found(df, doc, normal, lexicon, "pinyin") if lexicon.small() else _pinyin_by_join(df, doc, normal, lexicon)
 
 
 def english_tokens_join(df: DataFrame, doc: str, normal: Column, keys: DataFrame) -> DataFrame:
-    """(doc, tok_pos, n, token) of leftmost-longest matches by joins alone: n-grams by lead(), the longest hit at each
-    place, a fold over the places of a text."""
-    w = df.select(F.col(doc).alias("_d"), F.posexplode(words(F.lower(normal))).alias("p", "w"))
-    order = Window.partitionBy("_d").orderBy("p")
-    gram, grams = F.col("w"), []
-    for n in range(1, LONGEST + 1):
-        if n > 1:
-            gram = F.concat(gram, F.lit("%20"), F.lead("w", n - 1).over(order))  # NULL beyond the end
-        grams.append(F.struct(F.lit(n).alias("n"), gram.alias("key")))
-    spans = w.select("_d", "p", F.array(*grams).alias("g")).select("_d", "p", F.inline("g")).where("key is not null")
-    hits = spans.join(keys.select("key").distinct(), "key", "left_semi").groupBy("_d", "p").agg(F.max(F.struct("n", "key")).alias("h"))
-    got = hits.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("p", "h.n", "h.key"))).alias("hits"))
-    return got.select(F.col("_d").alias(doc), F.inline(greedy(F.col("hits"))).alias("tok_pos", "n", "token"))
-
-
-def english_rows(df: DataFrame, doc: str, normal: Column, ids: dict[str, list[int]]) -> DataFrame:
-    """english_hits as rows (doc, tok_pos, idx_pos, word_id), built column by column."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = word_trie(ids)
-        for batch in batches:
-            row, at_word, at_id, word_ids = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                last, found = None, [w for w in text.split(" ") if w] if text else []
-                for at, _, key in english_matches(found, ids) if text and "%20" in text else trie_matches(found, root):
-                    for k, word in enumerate(ids[key]):
-                        if word != last:
-                            row.append(i)
-                            at_word.append(at)
-                            at_id.append(k)
-                            word_ids.append(word)
-                        last = word
-            cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(at_word, pa.int32()), pa.array(at_id, pa.int32()), pa.array(word_ids, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[doc, "tok_pos", "idx_pos", "word_id"])
-
-    out = T.StructType([df.schema[doc], T.StructField("tok_pos", T.IntegerType()), T.StructField("idx_pos", T.IntegerType()), T.StructField("word_id", T.LongType())])
-    return df.select(doc, F.lower(normal).alias("_n")).mapInArrow(run, out)
+    """(doc, row, tok_pos, n, token) of leftmost-longest matches by joins, for keys of any number; row tells the rows of df apart."""
+    kept = longest_matches(df, doc, F.lower(normal), keys, LONGEST)
+    return kept.select(F.col("doc").alias(doc), "row", F.col("p").alias("tok_pos"), "n", F.col("key").alias("token"))
 
 
 def adjacent_dedup(hits: DataFrame, doc: str) -> DataFrame:
-    """Leave out hits whose word_id is that of the hit before."""
-    order = Window.partitionBy(doc).orderBy("tok_pos", "idx_pos")
-    return hits.withColumn("_l", F.lag("word_id").over(order)).where("_l is null or _l <> word_id").drop("_l")
+    """Leave out hits whose word_id is that of the hit before, of the same `doc`. A text is looked at in chunks of places, each
+    of which knows the last word before."""
+    h = hits.withColumn("_c", F.expr(f"tok_pos div {CHUNK}"))
+    last = h.groupBy(doc, "_c").agg(F.max_by("word_id", F.struct("tok_pos", "idx_pos")).alias("_w"))
+    before = last.select(F.col(doc).alias("_d"), F.col("_c").alias("_k"), F.lag("_w").over(Window.partitionBy(doc).orderBy("_c")).alias("_b"))
+    h = h.withColumn("_l", F.lag("word_id").over(Window.partitionBy(doc, "_c").orderBy("tok_pos", "idx_pos")))
+    h = h.join(before, F.col(doc).eqNullSafe(F.col("_d")) & (F.col("_c") == F.col("_k")))
+    return h.withColumn("_l", F.coalesce("_l", "_b")).where("_l is null or _l <> word_id").select(*hits.columns)
 
 
-def query_by_english(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
-    normal = normalize(F.col(text))
-    if lexicon.small():
-        return english_rows(df, doc, normal, lexicon.ids("english"))
+def _english_by_join(df: DataFrame, doc: str, normal: Column, lexicon: Lexicon) -> DataFrame:
     index = _index(lexicon, "english")
-    return adjacent_dedup(_by_token(english_tokens_join(df, doc, normal, index), doc, index), doc)
+    hits = _by_hot_token(english_tokens_join(df, doc, normal, index), doc, index)
+    return adjacent_dedup(hits, "row").select(doc, "tok_pos", "idx_pos", "word_id")
+
+
+def query_by_english(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
+    normal = F.lower(normalize(F.col(text)))
+    return _rows_found(df, doc, normal, lexicon, "english") if lexicon.small() else _english_by_join(df, doc, normal, lexicon)
+
+
+# Dispatch -----------------------------------------------------------------------------------
+
+
+def _asked(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """(_i, label, _t): each row's label, and its text as the lookup of that label takes it."""
+    d = df.select(F.col(doc).alias("_i"), F.col(text).alias("_x"), normalize(F.col(text)).alias("_n"))
+    d = d.select("_i", "_x", "_n", classify_normal(F.col("_n")).alias("label"))
+    given = F.when(F.col("label") == "EN", F.lower("_n")).when(F.col("label") == "PY", F.lower(normalize(F.col("_x"), pinyin=True))).when(F.col("label") == "ZH", F.col("_n"))
+    return d.select("_i", "label", given.alias("_t"))
+
+
+def _entries_sent(lexicon: Lexicon) -> Broadcast | None:
+    """Entries by id, where they are few enough."""
+    if lexicon.entries_sent is None:
+        n, size = lexicon.entries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+        if n > lexicon.broadcast_rows or size > lexicon.broadcast_bytes:
+            return None
+        e = lexicon.entries.select("word_id", F.struct(*lexicon.entries.columns).alias("entry")).toArrow().combine_chunks().sort_by("word_id")
+        lexicon.entries_sent = lexicon.entries.sparkSession.sparkContext.broadcast(e)
+    return lexicon.entries_sent
 
 
 def query(df: DataFrame, doc: str, text: str, lexicon: Lexicon, entries: bool = False) -> DataFrame:
     """(doc, label, hits) for every row of df: hits is NULL where the text cannot be classified, and an empty array where
-    nothing is found. Hits are structs (tok_pos, idx_pos, word_id) in order. Answers are found per different text and
-    joined back, so ids may be null or repeat: each row has the answer to its own text. A NULL text has neither.
-    With `entries`, every hit has its entry as a fourth field."""
-    d = df.select(F.col(text).alias("_d")).where("_d is not null").distinct().withColumn("norm", normalize(F.col("_d")))
-    d = d.withColumn("label", classify_normal(F.col("norm")))
-    parts = [
-        query_by_english(d.where("label = 'EN'"), "_d", "norm", lexicon),
-        query_by_pinyin(d.where("label = 'PY'"), "_d", "_d", lexicon),  # normalised anew, colons kept
-        query_by_chinese(d.where("label = 'ZH'"), "_d", "norm", lexicon),
-    ]
-    hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    fields = ["tok_pos", "idx_pos", "word_id"]
+    nothing is found. Hits are structs (tok_pos, idx_pos, word_id) in order. A NULL text has neither. With `entries`, every
+    hit has its entry as a fourth field. A lexicon of checked size answers without any exchange."""
+    asked = _asked(df, doc, text)
+    if not lexicon.small():
+        return _query_by_join(asked, doc, lexicon, entries)
+    sent, known = packed(lexicon), _entries_sent(lexicon) if entries else None
+    if entries and known is None:
+        return _query_by_join(asked, doc, lexicon, entries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            labels, texts = batch.column("label"), batch.column("_t")
+            hits = sent.value.answer(labels, texts).lists(texts.is_null().to_numpy(zero_copy_only=False), known.value if known else None)
+            yield pa.RecordBatch.from_arrays([batch.column("_i"), labels, hits], names=[doc, "label", "hits"])
+
+    fields = [*_FOUND, *([T.StructField("entry", lexicon.entries.schema)] if entries else [])]
+    out = T.StructType([T.StructField(doc, asked.schema["_i"].dataType), T.StructField("label", T.StringType()), T.StructField("hits", T.ArrayType(T.StructType(fields)))])
+    return asked.mapInArrow(run, out)
+
+
+def _query_by_join(asked: DataFrame, doc: str, lexicon: Lexicon, entries: bool) -> DataFrame:
+    """Rows get numbers of their own, and hits find back to them; texts are written once and not shuffled."""
+    d = staged(asked.withColumn("_row", F.monotonically_increasing_id()), "asked")
+    parts = []
+    for label, small, find in (("EN", "english", _english_by_join), ("PY", "pinyin", _pinyin_by_join)):
+        own = d.where(F.col("label") == label).select("_row", "_t")
+        parts.append(_rows_found(own, "_row", F.col("_t"), lexicon, small) if lexicon.small() else find(own, "_row", F.col("_t"), lexicon))
+    parts.append(query_by_chinese(d.where("label = 'ZH'").select("_row", "_t"), "_row", "_t", lexicon))
+    hits, fields = parts[0].unionByName(parts[1]).unionByName(parts[2]), ["tok_pos", "idx_pos", "word_id"]
     if entries:
         hits, fields = with_entries(hits, lexicon), [*fields, "entry"]
-    hits = hits.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("found"))
-    out = df.select(F.col(doc).alias("_i"), F.col(text).alias("_d"), classify(F.col(text)).alias("label")).join(hits, "_d", "left")
+    hits = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("found"))
+    out = d.select("_row", "_i", "label").join(hits, "_row", "left")
     empty = F.array().cast(hits.schema["found"].dataType)
     return out.select(F.col("_i").alias(doc), "label", F.when(F.col("label") != "UN", F.coalesce("found", empty)).alias("hits"))
 

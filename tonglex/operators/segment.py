@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonglex.functions.automaton import Automaton
+
+from .packed import SLICE_BYTES, segments
+from .prefixes import longest_matches, numbered
+
 REGEX_KEYS = 300
 
 
@@ -22,36 +27,44 @@ def regex_tokens(text: Column, keys: list[str]) -> Column:
 
 
 class Segmenter:
-    """Headwords by first character and length; the longest that starts at a place wins, else one character is passed over."""
+    """Headwords as an automaton that is sent to the tasks once; the longest that starts at a place wins, else one character is passed over."""
 
     def __init__(self, keys):
-        self.keys = {k for k in keys if k}
-        self.lengths: dict[str, list[int]] = {}
-        for k in self.keys:
-            self.lengths.setdefault(k[0], []).append(len(k))
-        self.lengths = {c: sorted(set(n), reverse=True) for c, n in self.lengths.items()}
+        self.walk = Automaton.build(keys)
+        self.sent: Broadcast | None = None
 
     def tokens(self, text: str | None) -> list[str] | None:
         if text is None:
             return None
-        out, at, keys, lengths = [], 0, self.keys, self.lengths
-        while at < len(text):
-            for n in lengths.get(text[at], ()):
-                if text[at : at + n] in keys:
-                    out.append(text[at : at + n])
-                    at += n
-                    break
-            else:
-                at += 1
-        return out
+        return [text[a:b] for a, b in zip(*(x.tolist() for x in segments([text], self.walk)[1:3]), strict=True)]
 
     def __call__(self, text: Column) -> Column:
-        @F.pandas_udf("array<string>")
-        def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in texts:
-                yield s.map(self.tokens)
-
-        return tokens(text)
+        if self.sent is None:
+            self.sent = SparkSession.active().sparkContext.broadcast(self.walk.buffer)
+        return tokens_column(text, self.sent)
+
+
+def tokens_column(text: Column, sent: Broadcast) -> Column:
+    """Tokens of a text in order, by the buffer of an automaton; NULL for NULL."""
+
+    @F.arrow_udf("array<string>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        walk, out = Automaton(sent.value), []
+        at = 0
+        while at < len(texts):  # few bytes at a time
+            n = 1
+            while at + n < len(texts) and texts.slice(at, 2 * n).nbytes <= SLICE_BYTES:
+                n *= 2
+            own = texts.slice(at, n).to_pylist()
+            row, start, end, _ = segments([t or "" for t in own], walk)
+            found: list[list[str] | None] = [None if t is None else [] for t in own]
+            for r, a, b in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
+                found[r].append(own[r][a:b])
+            out.append(pa.array(found, pa.list_(pa.string())))
+            at += n
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+
+    return tokens(text)
 
 
 def tokenize(text: Column, keys: list[str]) -> Column:
@@ -59,31 +72,6 @@ def tokenize(text: Column, keys: list[str]) -> Column:
     return regex_tokens(text, keys) if len(set(keys)) <= REGEX_KEYS else Segmenter(keys)(text)
 
 
-def greedy(hits: Column) -> Column:
-    """Of a text's longest hits (p, n, key) by place, those that no earlier kept one covers; one walk over them."""
-
-    def kept(found):
-        out, free = [], 0
-        for h in found:
-            if h["p"] >= free:
-                out.append(h)
-                free = h["p"] + h["n"]
-        return out
-
-    @F.pandas_udf("array<struct<p:int,n:int,key:string>>")
-    def walk(lists: pd.Series) -> pd.Series:
-        return lists.map(kept)
-
-    return walk(hits)
-
-
 def tokenize_join(df: DataFrame, doc: str, text: str, headwords: DataFrame) -> DataFrame:
-    """(doc, tok_pos, token) by joins alone, for headwords of any number: spans of the lengths that occur, the longest
-    hit at each place, and a fold that passes over hits inside the last token."""
-    lengths = sorted(r[0] for r in headwords.select(F.length("key").alias("n")).distinct().collect() if r[0])
-    at = F.explode(F.sequence(F.lit(1), F.length(text)))
-    places = df.where(F.length(text) > 0).select(F.col(doc).alias("_d"), F.col(text).alias("_t"), at.alias("p"))
-    spans = places.select("_d", "p", F.explode(F.array(*(F.substring("_t", F.col("p"), F.lit(n)) for n in lengths))).alias("key")) if lengths else places.select("_d", "p", F.lit("").alias("key"))
-    hits = spans.join(headwords.where("key <> ''"), "key", "left_semi").groupBy("_d", "p").agg(F.max(F.struct(F.length("key").alias("n"), "key")).alias("h"))
-    got = hits.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("p", "h.n", "h.key"))).alias("hits"))
-    return got.select(F.col("_d").alias(doc), F.posexplode(F.transform(greedy(F.col("hits")), lambda h: h["key"])).alias("tok_pos", "token"))
+    """(doc, tok_pos, token) by joins, for headwords of any number and texts of any length; each row of df for itself, whatever its id."""
+    return numbered(longest_matches(df, doc, F.col(text), headwords)).select(F.col("doc").alias(doc), "tok_pos", F.col("key").alias("token"))

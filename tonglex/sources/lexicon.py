@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,15 +24,16 @@ ENTRY = T.StructType(
 )
 INDEX = T.StructType([_s("kind"), _s("key"), T.StructField("pos", T.IntegerType(), False), T.StructField("word_id", T.LongType(), False)])
 KINDS = ("traditional", "simplified", "pinyin", "english")
-#: An index goes to every task if it has so many rows at most; beyond that, lookups are joins.
-BROADCAST_ROWS = 2_000_000
+#: An index goes to every task if it has so many rows and bytes of keys at most; beyond that, lookups are joins.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
 class Lexicon:
-    def __init__(self, entries: DataFrame, index: DataFrame, broadcast_rows: int = BROADCAST_ROWS):
-        self.entries, self.index, self.broadcast_rows = entries, index, broadcast_rows
-        self._maps: dict[str, dict[str, list[int]]] = {}
-        self._rows: int | None = None
+    def __init__(self, entries: DataFrame, index: DataFrame, broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES):
+        self.entries, self.index, self.broadcast_rows, self.broadcast_bytes = entries, index, broadcast_rows, broadcast_bytes
+        self.sent: Broadcast | None = None  # keys and entries that tasks have
+        self.entries_sent: Broadcast | None = None
+        self._small: bool | None = None
 
     @property
     def headwords(self) -> DataFrame:
@@ -83,33 +85,25 @@ class Lexicon:
                 raise ValueError(f"lexicon: {what}: {bad}")
 
     def small(self) -> bool:
-        """Whether the index has broadcast_rows rows at most; counted once, and kept for what follows."""
-        if self._rows is None:
-            if not self.index.is_cached:
-                self.index = self.index.cache()
-            self._rows = self.index.limit(self.broadcast_rows + 1).count()
-        return self._rows <= self.broadcast_rows
-
-    def ids(self, kind: str) -> dict[str, list[int]]:
-        """key -> ids in order, of a lexicon of checked size."""
-        if not self.small():
-            raise ValueError(f"the index has over {self.broadcast_rows} rows")
-        if kind not in self._maps:
-            out: dict[str, list[tuple[int, int]]] = {}
-            for r in self.index.where(F.col("kind") == kind).collect():
-                out.setdefault(r["key"], []).append((r["pos"], r["word_id"]))
-            self._maps[kind] = {k: [i for _, i in sorted(v)] for k, v in out.items()}
-        return self._maps[kind]
+        """Whether the index is within broadcast_rows and broadcast_bytes; measured once."""
+        if self._small is None:
+            n, size = self.index.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+            self._small = n <= self.broadcast_rows and size <= self.broadcast_bytes
+        return self._small
 
     def release(self) -> None:
-        """Give back what warm() or small() cached."""
+        """Give back what warm() cached and what tasks were sent."""
         self.entries.unpersist()
         self.index.unpersist()
+        for sent in (self.sent, self.entries_sent):
+            if sent is not None:
+                sent.unpersist()
+        self.sent = self.entries_sent = None
 
     def pairs(self) -> list[tuple[str, str]]:
         """(traditional, simplified) by rank."""
         if not self.small():
-            raise ValueError(f"the index has over {self.broadcast_rows} rows")
+            raise ValueError(f"the index has over {self.broadcast_rows} rows or {self.broadcast_bytes} bytes of keys")
         return [(r[0], r[1]) for r in self.entries.orderBy("hsk", "word_id").select("traditional", "simplified").collect()]
 
     def views(self, prefix: str = "") -> None:

@@ -1,12 +1,13 @@
 """SQL names for the text functions and lexicon tables."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tonglex.functions import text
 from tonglex.functions.convert import Scripts
-from tonglex.operators.lookup import HITS, chinese_index, english_matches
+from tonglex.operators.lookup import HITS, packed
 from tonglex.operators.segment import Segmenter
 from tonglex.sources.lexicon import Lexicon
 
@@ -57,31 +58,16 @@ def _register_texts(spark: SparkSession, prefix: str) -> None:
 
 
 def _register_lookups(spark: SparkSession, lexicon: Lexicon, prefix: str) -> None:
-    english, pinyin, chinese = lexicon.ids("english"), lexicon.ids("pinyin"), {}
-    for r in chinese_index(lexicon).orderBy("key", "pos").collect():
-        chinese.setdefault(r["key"], []).append(r["word_id"])
-    segment = Segmenter(chinese).tokens
-
-    def by_english(normal: str | None):
-        out, last = [], None
-        for at, _, key in english_matches([w for w in (normal or "").split(" ") if w], english):
-            for i, word in enumerate(english[key]):
-                if word != last:
-                    out.append((at, i, word))
-                last = word
-        return out
-
-    def listed(tokens: list[str], ids: dict[str, list[int]]):
-        return [(at, i, word) for at, t in enumerate(tokens) for i, word in enumerate(ids.get(t, ()))]
-
-    def by_pinyin(normal: str | None):
-        return listed([w for w in (normal or "").split(" ") if w], pinyin)
-
-    def by_chinese(x: str | None):
-        return listed(segment(x or ""), chinese)
-
-    for name, f, given in (("english", by_english, f"lower({prefix}normalize(txt))"), ("pinyin", by_pinyin, f"lower({prefix}normalize_pinyin(txt))"), ("chinese", by_chinese, "txt")):
-        spark.udf.register(f"{prefix}_hits_{name}", F.pandas_udf(_mapped(f), HITS))
+    sent = packed(lexicon)
+
+    def finder(kind: str):
+        def found(texts: pa.Array) -> pa.Array:
+            return sent.value.find(kind, texts).lists(texts.is_null().to_numpy(zero_copy_only=False))
+
+        return found
+
+    for name, given in (("english", f"lower({prefix}normalize(txt))"), ("pinyin", f"lower({prefix}normalize_pinyin(txt))"), ("chinese", "txt")):
+        spark.udf.register(f"{prefix}_hits_{name}", F.arrow_udf(_typed(finder(name)), HITS))
         _function(spark, f"{prefix}query_by_{name}", HITS, f"{prefix}_hits_{name}({given})")
     branches = "".join(f" WHEN '{label}' THEN {prefix}query_by_{name}({given})" for label, name, given in (("EN", "english", "txt"), ("PY", "pinyin", "txt"), ("ZH", "chinese", f"{prefix}normalize(txt)")))
     _function(spark, f"{prefix}query", HITS, f"CASE {prefix}classify(txt){branches} END")
@@ -92,3 +78,12 @@ def _mapped(f):
         return texts.map(f)
 
     return run
+
+
+def _typed(f):
+    """f with the hints that an Arrow function is told by."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return f(texts)
+
+    return run

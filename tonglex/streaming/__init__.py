@@ -17,4 +17,4 @@ def classified(stream: DataFrame, text: str) -> DataFrame:
 
 def english_lookup(stream: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
     """The stream with a column hits; no state is kept."""
-    return stream.withColumn("hits", english_hits(normalize(F.col(text)), lexicon.ids("english")))
+    return stream.withColumn("hits", english_hits(normalize(F.col(text)), lexicon))
