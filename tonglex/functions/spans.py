@@ -48,14 +48,18 @@ class Spans:
             np.cumsum(x * _powers(base, len(x))[0][: len(x)], out=sums[1:])
             self.sums.append(sums)
 
+    def part(self, which: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """One value of the fingerprints of points[start:end], int64."""
+        s = self.sums[which]
+        return _mixed((s[ends] - s[starts]) * _powers(BASES[which], len(s))[1][starts] + (ends - starts).astype(np.uint64)).view(np.int64)
+
     def prints(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of points[start:end], as two int64 arrays."""
-        length = (ends - starts).astype(np.uint64)
-        return tuple(_mixed((s[ends] - s[starts]) * _powers(b, len(s))[1][starts] + length).view(np.int64) for b, s in zip(BASES, self.sums, strict=True))
+        return self.part(0, starts, ends), self.part(1, starts, ends)
 
 
 class Filter:
-    """Bits of a set of fingerprints: whatever is in the set is found, and little else."""
+    """Bits of a set of 64-bit values: whatever is in the set is found, and little else."""
 
     PROBES = 3
 
@@ -71,15 +75,17 @@ class Filter:
         return words
 
     @staticmethod
-    def places(hi: np.ndarray, lo: np.ndarray, words: int):
-        """(word, bit in it) of each probe of each fingerprint."""
-        mask = np.uint64(words * 64 - 1)
-        for k in range(Filter.PROBES):
-            bit = (hi.view(np.uint64) + np.uint64(k) * lo.view(np.uint64)) & mask
-            yield (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
-
-    def has(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hi), dtype=bool)
-        for word, bit in self.places(hi, lo, len(self.words)):
-            out &= (self.words[word] & bit) != 0
-        return out
+    def place(values: np.ndarray, probe: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, bit in it) of a probe of each value."""
+        v = values.view(np.uint64)
+        bit = (v + np.uint64(probe) * (v >> np.uint64(33))) & np.uint64(words * 64 - 1)
+        return (bit >> np.uint64(6)).view(np.int64), np.uint64(1) << (bit & np.uint64(63))
+
+    def found(self, values: np.ndarray) -> np.ndarray:
+        """Places of the values that are in the set, and of few others."""
+        left = None
+        for probe in range(self.PROBES):
+            word, bit = self.place(values if left is None else values[left], probe, len(self.words))
+            on = np.flatnonzero(self.words[word] & bit)
+            left = on if left is None else left[on]
+        return left

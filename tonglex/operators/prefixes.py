@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,17 +58,17 @@ def _rungs(key: str, lengths: list[int] | None) -> list[int]:
     return [n for n in out if n] + [len(key)]
 
 
-def _key_prints(keys: list[str], lengths: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hi, lo, whether it is the whole key) of every rung of some keys."""
+def _key_prints(keys: list[str], lengths: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(first value of the fingerprint, whether it is the whole key) of every rung of some keys."""
     points, starts = code_points(keys)
     ends = [_rungs(k, lengths) for k in keys]
     count = [len(e) for e in ends]
     begin = np.repeat(starts[:-1], count)
     end = begin + np.array([n for e in ends for n in e], dtype=np.int64)
-    hi, lo = Spans(points).prints(begin, end)
+    hi = Spans(points).part(0, begin, end)
     whole = np.zeros(len(end), dtype=bool)
     whole[np.cumsum(count) - 1] = True
-    return hi, lo, whole
+    return hi, whole
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -98,9 +99,10 @@ def ladder_of(keys: DataFrame, by_words: bool = False, filter_bytes: int = FILTE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches, "key"):
-            hi, lo, whole = _key_prints(batch.column("key").to_pylist(), lengths)
+            hi, whole = _key_prints(batch.column("key").to_pylist(), lengths)
             for k, own in enumerate((slice(None), whole)):
-                for cell, bit in Filter.places(hi[own], lo[own], sizes[k]):
+                for probe in range(Filter.PROBES):
+                    cell, bit = Filter.place(hi[own], probe, sizes[k])
                     order = np.argsort(cell, kind="stable")
                     cells, heads = np.unique(cell[order], return_index=True)
                     bits = np.bitwise_or.reduceat(bit[order], heads).view(np.int64)
@@ -138,11 +140,11 @@ def _climb(spans: Spans, starts: np.ndarray, end_at: Callable, levels: int, ladd
         alive, ends = alive[ends >= 0], ends[ends >= 0]
         if not len(alive):
             return
-        hi, lo = spans.prints(starts[alive], ends)
-        on = ladder.rungs.has(hi, lo)
-        alive, hi, lo = alive[on], hi[on], lo[on]
-        hit = ladder.whole.has(hi, lo)
-        yield alive[hit], k, hi[hit], lo[hit]
+        hi = spans.part(0, starts[alive], ends)
+        on = ladder.rungs.found(hi)
+        alive, ends, hi = alive[on], ends[on], hi[on]
+        hit = ladder.whole.found(hi)
+        yield alive[hit], k, hi[hit], spans.part(1, starts[alive[hit]], ends[hit])
 
 
 def character_probes(texts: list[str], ladder: Ladder) -> Iterator[tuple]:
@@ -249,6 +251,12 @@ def _linked(hits: DataFrame, longest: int, chunk: int) -> DataFrame:
     return own.select("row", "doc", "p", "n", "key", "head", q.alias("q"))
 
 
+def _followed(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Links (row, a, b) of `one`, each followed by the one of `other` that begins where it ends."""
+    left, right = one.alias("l"), other.alias("r")
+    return left.join(right, (F.col("l.row") == F.col("r.row")) & (F.col("l.b") == F.col("r.a"))).select("l.row", "l.a", "r.b")
+
+
 def greedy_kept(hits: DataFrame, longest: int, chunk: int = CHUNK, *used: DataFrame) -> DataFrame:
     """Of hits (row, doc, p, n, key), n at most `longest`: those that leftmost-longest matching keeps, (row, doc, p, n, key).
     used: staged tables that only the hits are made from.
@@ -260,19 +268,22 @@ def greedy_kept(hits: DataFrame, longest: int, chunk: int = CHUNK, *used: DataFr
     dropped(*used)
     jumps = nodes.where("q is not null").select("row", F.col("p").alias("a"), F.col("q").alias("b"))
     reached = nodes.where("head and q is not null").select("row", F.col("p").alias("at"))
-    temporary: list[DataFrame] = []
-    while True:
-        step = reached.join(jumps, (reached["row"] == jumps["row"]) & (reached["at"] == jumps["a"])).select(reached["row"], F.col("b").alias("at"))
+    parts, last = [], []
+    while True:  # each round has links four times as long as the one before
+        twice = _followed(jumps, jumps)
+        hops = [jumps, twice, _followed(twice, jumps), _followed(twice, twice)]
+        hops = staged(reduce(DataFrame.unionByName, [h.withColumn("hops", F.lit(k)) for k, h in enumerate(hops, 1)]), "hops")
+        step = reached.join(hops.where("hops < 4"), (reached["row"] == hops["row"]) & (reached["at"] == hops["a"])).select(reached["row"], F.col("b").alias("at"))
         fresh = staged(step.join(reached, ["row", "at"], "left_anti").distinct(), "reached")
+        dropped(*last)
+        last = [hops]
+        parts.append(fresh)
         if fresh.isEmpty():
-            dropped(fresh)
+            dropped(*last)
             break
-        reached = reached.unionByName(fresh)
-        left, right = jumps.alias("l"), jumps.alias("r")
-        jumps = staged(left.join(right, (F.col("l.row") == F.col("r.row")) & (F.col("l.b") == F.col("r.a"))).select("l.row", "l.a", "r.b"), "jumps")
-        temporary += [fresh, jumps]
+        reached, jumps = reached.unionByName(fresh), hops.where("hops = 4").drop("hops")
     kept = nodes.where("head")
-    if temporary:
+    if len(parts) > 1:
         more = nodes.where("not head").join(reached.select("row", F.col("at").alias("p")).distinct(), ["row", "p"], "left_semi")
         kept = kept.unionByName(more.select(*kept.columns))
     return kept.select("row", "doc", "p", "n", "key")
@@ -290,8 +301,8 @@ def numbered(kept: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def longest_matches(df: DataFrame, doc: str, text: Column, keys: DataFrame, words: int = 0, filter_bytes: int = FILTER_BYTES, chunk: int = CHUNK) -> DataFrame:
     """(row, doc, p, n, key) of leftmost-longest matches of keys(key) in every text of df; row tells the rows of df apart, whatever
     their ids. words: as in probes. Null and empty texts, and empty keys, match nothing."""
-    ladder, longest = ladder_of(keys, bool(words), filter_bytes)
+    own = staged(_with_prints(keys.select("key").where("key <> ''").distinct()), "keys")
+    ladder, longest = ladder_of(own, bool(words), filter_bytes)
     found = staged(probes(df, doc, text, ladder, words), "probes")
-    own = _with_prints(keys.select("key").where("key <> ''").distinct())
     hits = hot_join(found, "hi", own.withColumnRenamed("lo", "lo_"), ["row", "p"]).where("lo = lo_").select("row", "doc", "p", "n", "key")
-    return greedy_kept(hits, words or longest, chunk, found)
+    return greedy_kept(hits, words or longest, chunk, found, own)

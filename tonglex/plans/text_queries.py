@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonglex.functions.text import APOSTROPHES, LONGEST_PINYIN_WORD, SEPARATORS, classify, is_pinyin, normalize, words
 from tonglex.operators.lookup import LONGEST, adjacent_dedup, english_tokens_join, query_by_english
+from tonglex.operators.segment import tokenize_join
 from tonglex.sources.lexicon import Lexicon
 
 
@@ -28,7 +29,9 @@ PINYIN_WORD = "^((" + "|".join(f"({'|'.join(i.split(' '))}){f}" for f, i in FINA
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one of fewer splits than cores is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 EDGE = (
@@ -118,6 +121,22 @@ def derived_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
     return Lexicon(index.select("word_id").distinct(), index)
 
 
+PHRASE = 16  # characters of a headword
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key): all words of documents, and pairs of neighbouring words, behind a space; up to PHRASE characters. Hundreds of thousands even of small tables."""
+    w = table(spark, sf_dir, "documents").select(F.regexp_extract_all("text", F.lit(r"[^ \n\t]+"), F.lit(0)).alias("ws"))
+    pairs = F.transform(F.col("ws"), lambda x, i: F.when(F.get("ws", i + 1).isNotNull(), F.concat(x, F.lit(" "), F.get("ws", i + 1))))
+    return w.select(F.explode(F.concat("ws", pairs)).alias("key")).select(F.concat(F.lit(" "), "key").alias("key")).where(F.length("key") <= PHRASE).distinct()
+
+
+def tokenize_phrases(spark, sf_dir):
+    """Segmentation of documents by a headword table that is joined: per document, tokens and a digest of them in order."""
+    t = tokenize_join(table(spark, sf_dir, "documents"), "doc_id", "text", phrases(spark, sf_dir))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.length("token")).alias("n_chars"), F.sum(F.conv(F.substring(F.md5(F.concat_ws(":", "tok_pos", "token")), 1, 8), 16, 10).cast("long")).alias("digest"))
+
+
 def english_lookup(spark, sf_dir):
     return query_by_english(table(spark, sf_dir, "documents"), "doc_id", "text", derived_lexicon(spark, sf_dir)).select(
         "doc_id", F.col("tok_pos").cast("long").alias("tok_pos"), F.col("idx_pos").cast("long").alias("idx_pos"), "word_id"
@@ -158,6 +177,17 @@ m AS (SELECT x.* FROM nxt x JOIN (SELECT id, min(p) AS p FROM hit GROUP BY id) f
     UNION ALL SELECT x.* FROM m JOIN nxt x ON x.id = m.id AND x.p = m.q)"""
 
 
+_PHRASES = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\n\\t]+') AS ws FROM documents)),
+keys AS (SELECT DISTINCT key FROM (SELECT ' ' || w AS key FROM dw UNION ALL SELECT ' ' || w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY p) FROM dw) WHERE length(key) <= {PHRASE}),
+sizes AS (SELECT DISTINCT length(key)::BIGINT AS n FROM keys),
+places AS (SELECT doc_id, text, p FROM (SELECT doc_id, text, unnest(range(length(text))) AS p FROM documents) WHERE substr(text, p + 1, 1) = ' '),
+hit AS (SELECT doc_id, p, max(n) AS n, arg_max(key, n) AS key FROM (SELECT doc_id, p, n, substr(text, p + 1, n) AS key FROM places, sizes WHERE p + n <= length(text)) SEMI JOIN keys USING (key) GROUP BY doc_id, p),
+nxt AS (SELECT h.doc_id, h.p, h.key, g.p AS q FROM (SELECT *, p + n AS e FROM hit) h ASOF LEFT JOIN hit g ON h.doc_id = g.doc_id AND h.e <= g.p),
+m AS (SELECT x.* FROM nxt x JOIN (SELECT doc_id, min(p) AS p FROM hit GROUP BY doc_id) f ON x.doc_id = f.doc_id AND x.p = f.p
+    UNION ALL SELECT x.* FROM m JOIN nxt x ON x.doc_id = m.doc_id AND x.p = m.q),
+t AS (SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS tok_pos FROM m)
+SELECT doc_id, count(*) AS n_tokens, sum(length(key))::BIGINT AS n_chars, sum(('0x' || substr(md5(tok_pos || ':' || key), 1, 8))::BIGINT)::BIGINT AS digest FROM t GROUP BY doc_id"""
 _DEDUP = "hits AS (SELECT m.id, m.p, idx.pos, idx.word_id, lag(word_id) OVER (PARTITION BY m.id ORDER BY m.p, idx.pos) AS l FROM m JOIN idx USING (key))"
 
 TEXT = {
@@ -175,6 +205,7 @@ TEXT = {
         f"""SELECT conv_id, turn, len(list_filter(ws, lambda w: length(w) <= {LONGEST_PINYIN_WORD} AND regexp_matches(translate(lower(w), '{TONED}', '{PLAIN}'), '{PINYIN_WORD}')))::BIGINT AS n_pinyin, len(ws)::BIGINT AS n_words
         FROM (SELECT conv_id, turn, list_filter(string_split({normal_sql("text")}, ' '), lambda x: x <> '') AS ws FROM conversations)""",
     ),
+    "tokenize_phrases": (tokenize_phrases, _PHRASES),
     "english_match": (english_match, _match_sql("(SELECT conv_id * 100000 + turn AS cid, text FROM conversations)", "cid") + " SELECT id, p AS tok_pos, n::BIGINT AS n, key FROM m"),
     "english_lookup": (english_lookup, _match_sql("documents", "doc_id") + f", {_DEDUP} SELECT id AS doc_id, p AS tok_pos, pos AS idx_pos, word_id FROM hits WHERE l IS NULL OR l <> word_id"),
     "english_adjacent_dedup": (
