@@ -89,6 +89,18 @@ def test_segmentation(spark, lexicon):
     assert [[r["token"] for r in rows if r["id"] == i] for i in range(len(want))] == list(want.values())
 
 
+@settings(max_examples=300, deadline=None)
+@given(word=st.lists(st.sampled_from(["xi", "an", "hua", "r", "dian", "1", "5", "g", "n", "v", "x", "e"]), max_size=8).map("".join))
+def test_syllable_table_equals_a_pattern(word):
+    import re
+
+    from tonglex.functions import syllables
+    from tonglex.plans.text_queries import PINYIN_WITH_R, PINYIN_WORD
+
+    want = 1 if re.match(PINYIN_WORD, word) else 2 if re.match(PINYIN_WITH_R, word) else 0
+    assert syllables.kind_of(word) == want
+
+
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(keys=st.lists(st.text(alphabet="ABC，.", min_size=1, max_size=4), max_size=6), values=st.lists(st.text(alphabet="ABC，. ", max_size=10), min_size=1, max_size=8))
 def test_segmentation_tiers_agree(spark, keys, values):
@@ -153,12 +165,15 @@ def test_query_answers_every_row(spark, lexicon):
 
 
 def test_syllables(spark):
-    from tonglex.functions.text import SYLLABLES
+    from tonglex.functions import syllables
     from tonglex.plans.text_queries import FINALS
 
-    own = {i + f for i, finals in SYLLABLES.items() for f in finals.split()}
-    assert own == {i + f for f, initials in FINALS.items() for i in initials.split(" ")}
+    own = syllables.syllables()
+    assert own == {i + f for f, initials in FINALS.items() for i in initials.split(" ")} and len(own) == 412
     want = dict.fromkeys(["fire", "fine", "life", "tin", "din", "fibula"], "EN") | dict.fromkeys(["nv3", "lǜ", "women", "xiong2mao1", "zhuang"], "PY")
+    # with r; a bare one needs company
+    want |= dict.fromkeys(["huar3", "yi dianr", "yì diǎnr", "diǎnr", "hua1 r5", "hua1r5", "r5", "zher4 nar3", "nihao" * 20, "xi1an1" * 5000], "PY")
+    want |= dict.fromkeys(["hair", "your hair", "her", "a car", "r", "nihao" * 20 + "x", "yi dianrr", "dianr5r"], "EN")
     assert col(spark, classify, *want) == list(want.values())
 
 

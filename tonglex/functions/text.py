@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import syllables
+
 #: Apostrophes, and the characters that separate words of a query (a colon is treated by mode).
 APOSTROPHES = "'‘’"
 SEPARATORS = (
@@ -18,37 +20,6 @@ _INNER = rf"(?<=[\p{{IsAlphabetic}}\p{{N}}])[{APOSTROPHES}](?=[\p{{IsAlphabetic}
 TONED = "āáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜü"
 PLAIN = "aaaaeeeeiiiioooouuuuvvvvv"
 
-#: The finals that each initial takes in Hanyu Pinyin (v for u with two dots).
-SYLLABLES = {
-    "": "a o e ai ei ao ou an en ang eng er",
-    "y": "a o e ao ou an in ang ing ong i u ue uan un",
-    "w": "a o ai ei an en ang eng u",
-    "b": "a o ai ei ao an en ang eng i ie iao ian in ing u",
-    "p": "a o ai ei ao ou an en ang eng i ie iao ian in ing u",
-    "m": "a o e ai ei ao ou an en ang eng i ie iao iu ian in ing u",
-    "f": "a o ei ou an en ang eng u",
-    "d": "a e ai ei ao ou an en ang eng ong i ia ie iao iu ian ing u uo ui uan un",
-    "t": "a e ai ei ao ou an ang eng ong i ie iao ian ing u uo ui uan un",
-    "n": "a e ai ei ao ou an en ang eng ong i ie iao iu ian in iang ing u uo uan un v ve",
-    "l": "a o e ai ei ao ou an ang eng ong i ia ie iao iu ian in iang ing u uo uan un v ve",
-    "g": "a e ai ei ao ou an en ang eng ong u ua uo uai ui uan un uang",
-    "k": "a e ai ei ao ou an en ang eng ong u ua uo uai ui uan un uang",
-    "h": "a e ai ei ao ou an en ang eng ong u ua uo uai ui uan un uang",
-    "j": "i ia ie iao iu ian in iang ing iong u ue uan un",
-    "q": "i ia ie iao iu ian in iang ing iong u ue uan un",
-    "x": "i ia ie iao iu ian in iang ing iong u ue uan un",
-    "zh": "a e ai ei ao ou an en ang eng ong i u ua uo uai ui uan un uang",
-    "ch": "a e ai ao ou an en ang eng ong i u ua uo uai ui uan un uang",
-    "sh": "a e ai ei ao ou an en ang eng i u ua uo uai ui uan un uang",
-    "r": "e ao ou an en ang eng ong i u ua uo ui uan un",
-    "z": "a e ai ei ao ou an en ang eng ong i u uo ui uan un",
-    "c": "a e ai ao ou an en ang eng ong i u uo ui uan un",
-    "s": "a e ai ao ou an en ang eng ong i u uo ui uan un",
-}
-_SYLLABLE = "(?:" + "|".join(f"{i}(?:{'|'.join(sorted(f.split(), key=len, reverse=True))})" for i, f in SYLLABLES.items()) + ")"
-PINYIN_WORD = f"^(?:{_SYLLABLE}[1-5]?)+$"
-LONGEST_PINYIN_WORD = 60
-
 LABELS = ("EN", "PY", "ZH", "UN")
 
 
@@ -71,11 +42,20 @@ def fold_tones(text: Column) -> Column:
     return F.translate(F.lower(text), TONED, PLAIN)
 
 
+def pinyin_kind(word: Column) -> Column:
+    """Kind of a folded word: 0 no pinyin, 1 pinyin, 2 pinyin only beside other pinyin, because it ends in an r without a tone."""
+    rows, kinds, start = syllables.table()
+    states, letters = F.array(*map(F.lit, rows)), F.lit(syllables.LETTERS)
+    step = lambda s, c: F.ascii(F.substr(F.get(states, s), F.position(c, letters) + 1, F.lit(1))) - syllables._FIRST
+    return F.get(F.array(*map(F.lit, kinds)), F.aggregate(F.split(word, ""), F.lit(start), step))
+
+
 def is_pinyin(normal: Column) -> Column:
-    """Every word is a run of syllables, each with an optional tone number; later words may be a tone number alone."""
-    fits = lambda w: (F.length(w) <= LONGEST_PINYIN_WORD) & w.rlike(PINYIN_WORD) | w.rlike("^[1-5]$")
+    """Every word is pinyin; later words may be a tone number alone. A syllable with an r and no tone needs a plain word beside it, or a tone mark."""
+    folded = words(fold_tones(normal))
     # exists() stops at the first word that does not fit
-    return ~normal.rlike("^[1-5](?: |$)") & ~F.exists(words(fold_tones(normal)), lambda w: ~fits(w))
+    fits = ~normal.rlike("^[1-5](?: |$)") & ~F.exists(folded, lambda w: (pinyin_kind(w) == syllables.NONE) & ~w.rlike("^[1-5]$"))
+    return fits & (F.exists(folded, lambda w: pinyin_kind(w) == syllables.PLAIN_WORD) | F.lower(normal).rlike(f"[{TONED[:-1]}]"))
 
 
 def classify_normal(normal: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tonglex.functions.text import APOSTROPHES, LONGEST_PINYIN_WORD, SEPARATORS, classify, is_pinyin, normalize, words
+from tonglex.functions.text import APOSTROPHES, SEPARATORS, classify, fold_tones, normalize, pinyin_kind, words
 from tonglex.operators.lookup import LONGEST, adjacent_dedup, english_tokens_join, query_by_english
 from tonglex.operators.segment import tokenize_join
 from tonglex.sources.lexicon import Lexicon
@@ -25,7 +25,10 @@ FINALS = {
 }
 TONED = "āēīōūǖáéíóúǘǎěǐǒǔǚàèìòùǜü"
 PLAIN = "aeiouv" * 4 + "v"
-PINYIN_WORD = "^((" + "|".join(f"({'|'.join(i.split(' '))}){f}" for f, i in FINALS.items()) + ")[1-5]?)+$"
+_ONE = "(" + "|".join(f"({'|'.join(i.split(' '))}){f}" for f, i in FINALS.items()) + ")"
+_LONG = "(" + "|".join(x for x in ("|".join(i + f for i in o.split(" ") if len(i + f) > 2) for f, o in FINALS.items()) if x) + ")"  # takes a bare r
+_UNITS = f"({_ONE}[1-5]?|{_ONE}r[1-5]|r[1-5])"
+PINYIN_WORD, PINYIN_WITH_R = f"^{_UNITS}+$", f"^{_UNITS}*{_LONG}r$"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +71,10 @@ def normal_sql(x: str, pinyin: bool = False) -> str:
 
 def label_sql(n: str) -> str:
     ws = f"list_filter(string_split(translate(lower({n}), '{TONED}', '{PLAIN}'), ' '), lambda x: x <> '')"
-    fits = f"(length(x) <= {LONGEST_PINYIN_WORD} AND regexp_matches(x, '{PINYIN_WORD}')) OR (i > 1 AND regexp_matches(x, '^[1-5]$'))"
+    plain, other = f"regexp_matches(x, '{PINYIN_WORD}')", f"regexp_matches(x, '{PINYIN_WITH_R}') OR (i > 1 AND regexp_matches(x, '^[1-5]$'))"
+    evidence = f"len(list_filter({ws}, lambda x: {plain})) > 0 OR regexp_matches(lower({n}), '[{TONED[:-1]}]')"
     return f"""CASE WHEN {n} = '' THEN 'UN' WHEN regexp_matches({n}, '\\p{{Han}}') THEN 'ZH'
-        WHEN len(list_filter({ws}, lambda x, i: NOT ({fits}))) = 0 THEN 'PY' WHEN regexp_matches({n}, '\\p{{L}}') THEN 'EN' ELSE 'UN' END"""
+        WHEN len(list_filter({ws}, lambda x, i: NOT ({plain} OR {other}))) = 0 AND ({evidence}) THEN 'PY' WHEN regexp_matches({n}, '\\p{{L}}') THEN 'EN' ELSE 'UN' END"""
 
 
 def normalize_general(spark, sf_dir):
@@ -100,9 +104,11 @@ def classify_counts(spark, sf_dir):
 
 
 def pinyin_words(spark, sf_dir):
-    """How many of each document's words could be pinyin."""
-    w = words(normalize(F.col("text")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.filter(w, is_pinyin)).cast("long").alias("n_pinyin"), F.size(w).cast("long").alias("n_words"))
+    """How many of each turn's words could be pinyin alone, and how many beside other pinyin."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", words(normalize(F.col("text"))).alias("w"))
+    t = t.select("conv_id", "turn", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda w: pinyin_kind(fold_tones(w))).alias("k"))
+    n = lambda kind: F.size(F.filter("k", lambda k: k == kind)).cast("long")
+    return t.select("conv_id", "turn", n(1).alias("n_pinyin"), n(2).alias("n_with_r"), "n_words")
 
 
 def derived_lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
@@ -202,8 +208,9 @@ TEXT = {
     "classify_counts": (classify_counts, f"SELECT lang, {label_sql('n')} AS label, count(*) AS n FROM (SELECT lang, {normal_sql('text')} AS n FROM documents) GROUP BY 1, 2"),
     "pinyin_words": (
         pinyin_words,
-        f"""SELECT conv_id, turn, len(list_filter(ws, lambda w: length(w) <= {LONGEST_PINYIN_WORD} AND regexp_matches(translate(lower(w), '{TONED}', '{PLAIN}'), '{PINYIN_WORD}')))::BIGINT AS n_pinyin, len(ws)::BIGINT AS n_words
-        FROM (SELECT conv_id, turn, list_filter(string_split({normal_sql("text")}, ' '), lambda x: x <> '') AS ws FROM conversations)""",
+        f"""SELECT conv_id, turn, len(list_filter(ws, lambda w: regexp_matches(w, '{PINYIN_WORD}')))::BIGINT AS n_pinyin,
+        len(list_filter(ws, lambda w: regexp_matches(w, '{PINYIN_WITH_R}') AND NOT regexp_matches(w, '{PINYIN_WORD}')))::BIGINT AS n_with_r, len(ws)::BIGINT AS n_words
+        FROM (SELECT conv_id, turn, list_filter(string_split(translate(lower({normal_sql("text")}), '{TONED}', '{PLAIN}'), ' '), lambda x: x <> '') AS ws FROM conversations)""",
     ),
     "tokenize_phrases": (tokenize_phrases, _PHRASES),
     "english_match": (english_match, _match_sql("(SELECT conv_id * 100000 + turn AS cid, text FROM conversations)", "cid") + " SELECT id, p AS tok_pos, n::BIGINT AS n, key FROM m"),

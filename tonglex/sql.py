@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tonglex.functions import text
+from tonglex.functions import syllables, text
 from tonglex.functions.convert import Scripts
 from tonglex.operators.lookup import HITS, packed
 from tonglex.operators.segment import Segmenter
@@ -47,11 +47,12 @@ def _register_texts(spark: SparkSession, prefix: str) -> None:
     for name, colon in (("normalize", ":"), ("normalize_pinyin", "(?<![uU]):")):
         gaps = _literal(rf"(?:[\p{{IsWhite_Space}}{text.SEPARATORS}{text.APOSTROPHES}]|{colon})+")
         _function(spark, f"{prefix}{name}", "STRING", f"trim(regexp_replace(regexp_replace(txt, {_literal(text._INNER)}, ''), {gaps}, ' '))")
-    fits = f"(length(w) <= {text.LONGEST_PINYIN_WORD} AND rlike(w, {_literal(text.PINYIN_WORD)})) OR rlike(w, '^[1-5]$')"
     plain = f"array_remove(split(translate(lower(txt), '{text.TONED}', '{text.PLAIN}'), ' '), '')"
+    kind = syllables.kind_sql("w")
+    fits = f"NOT exists({plain}, w -> {kind} = {syllables.NONE} AND NOT rlike(w, '^[1-5]$')) AND (exists({plain}, w -> {kind} = {syllables.PLAIN_WORD}) OR rlike(lower(txt), '[{text.TONED[:-1]}]'))"
     label = (
         "CASE WHEN txt IS NULL THEN NULL WHEN txt = '' THEN 'UN' WHEN rlike(txt, '\\\\p{IsHan}') THEN 'ZH' "
-        f"WHEN NOT rlike(txt, '^[1-5](?: |$)') AND NOT exists({plain}, w -> NOT ({fits})) THEN 'PY' WHEN rlike(txt, '\\\\p{{IsAlphabetic}}') THEN 'EN' ELSE 'UN' END"
+        f"WHEN NOT rlike(txt, '^[1-5](?: |$)') AND {fits} THEN 'PY' WHEN rlike(txt, '\\\\p{{IsAlphabetic}}') THEN 'EN' ELSE 'UN' END"
     )
     _function(spark, f"{prefix}classify_normal", "STRING", label)
     _function(spark, f"{prefix}classify", "STRING", f"{prefix}classify_normal({prefix}normalize(txt))")
