@@ -203,6 +203,64 @@ def test_secret_in_compressed_layers(pack):
         assert (0, 4, 4 + len(code)) in spans_of(f"see {code} end")
 
 
+def slow_texts(raw):
+    try:
+        t = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        t = ""
+    return t if t.strip("\0") and sum(c.isprintable() or c in "\t\r\n" for c in t.strip("\0")) >= 0.9 * len(t.strip("\0")) else None
+
+
+def slow_decoded(run):
+    """Texts of base64 without compressions: every place is decoded for itself."""
+    done = set()
+    for at in [0, *(i + 1 for i, c in enumerate(run) if c in "/_-"), 1, 2, 3]:
+        if at % 4 in done or (at and len(run) - at < 16):
+            continue
+        part = run[at:].replace("-", "+").replace("_", "/")
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        t = slow_texts(base64.b64decode(part + "=" * (-len(part) % 4)))
+        if t is not None:
+            yield at, t
+            if not at:
+                return
+            done.add(at % 4)
+
+
+def test_base64_search_equals_decoding_at_every_place():
+    rng, plain = random.Random(77), "abc password=Secr3t99 é 中文 end"
+    packed = lambda raw: secret_scan._opener(raw) or secret_scan._whole_deflate(raw, 0)
+    seen = 0
+    for _ in range(400):
+        body = base64.b64encode((plain * rng.randint(1, 3)).encode()).decode().rstrip("=")
+        run = "".join(rng.choices("Aab9/_-+Zz", k=rng.randint(0, 12))) + rng.choice(["/", "_", ""]) + body + "".join(rng.choices("A/_b", k=rng.randint(0, 3)))
+        got = [(a, t) for a, t in secret_scan._decoded(run)]
+        want = list(slow_decoded(run))
+        if not any(packed(base64.b64decode(run[k:].replace("-", "+").replace("_", "/")[: (len(run) - k) // 4 * 4])[:40]) for k in range(min(len(run), 20))):
+            assert [x for x in got if x in want] == want and all(a == 0 for a, t in got if (a, t) not in want), run
+            seen += len(want)
+    assert seen > 200
+
+
+def test_secret_in_long_runs_of_separators():
+    import time
+
+    began = time.process_time()
+    assert secret_scan.all_spans("AAA/" * 250_000, []) == []
+    assert time.process_time() - began < 5
+    tail = base64.b64encode(f"x {SECRET} y".encode()).decode()
+    assert spans_of("AAA/" * 5_000 + tail.rstrip("="))
+
+
+@pytest.mark.parametrize("pack", [
+    lambda b: deflated(gzip.compress(b)), lambda b: gzip.compress(deflated(b)), lambda b: deflated(deflated(b)), lambda b: deflated(b" " * (17 << 20) + b),
+    lambda b: b.decode().encode("utf-16"), lambda b: b.decode().encode("utf-16-be"), lambda b: gzip.compress(b.decode().encode("utf-16-le")), lambda b: b"\xe9\xe8 " + b, lambda b: b"\0\0\0\0\0" + b,
+])
+def test_secret_in_layers_of_many_kinds(pack):
+    packed = base64.b64encode(pack(f"some words, {SECRET} and more".encode())).decode()
+    assert spans_of(f"see {packed} there"), pack
+
+
 def test_secret_in_named_references():
     assert spans_of("token&equals;abcdefgh123") == [(0, 0, 24)]
     assert spans_of("a &amp;equals; token%26equals;abcdefgh123") == [(0, 15, 41)]

@@ -49,7 +49,7 @@ def test_queries_equal_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings", "pages"):
         f = f"{SF}/{t}.parquet"
         con.sql(f"create view {t} as select * from '{f}{'/*.parquet' if os.path.isdir(f) else ''}'")
     df = QUERIES[name](spark, SF)

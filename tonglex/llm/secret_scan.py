@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,28 +224,69 @@ def _stream(opener, chunks: Iterator[bytes]) -> Iterator[bytes]:
         data = rest or next(chunks, b"")
 
 
-def _raw_deflate(raw: bytes) -> bytes | None:
-    """The text of a deflate stream without any header, if raw is one as a whole."""
-    d = zlib.decompressobj(-15)
+def _deflate():
+    return zlib.decompressobj(-15)
+
+
+def _whole_deflate(raw: bytes, skip: int) -> bool:
+    """Whether raw from skip on is one deflate stream without any header, of any size; what it unpacks to is looked at in steps and not kept."""
+    d, at, some = _deflate(), skip, False
     try:
-        out = d.decompress(raw, PIECE)
-        return out if d.eof and not d.unused_data and _printable(out.decode("utf-8")) else None
-    except (zlib.error, UnicodeDecodeError):
-        return None
+        while at < len(raw) and not d.eof:
+            data = raw[at : at + STEP]
+            at += len(data)
+            while data and not d.eof:
+                some |= bool(d.decompress(data, STEP))
+                data = d.unconsumed_tail
+        return d.eof and some and at >= len(raw) and not d.unused_data
+    except zlib.error:
+        return False
+
+
+def _inflates(head: bytes) -> bool:
+    """Whether the beginning of a layer unpacks as deflate without a header, to text or to something compressed."""
+    try:
+        out = _deflate().decompress(head, 4096)
+    except zlib.error:
+        return False
+    return len(out) >= 6 and (_opener(out[:8]) is not None or _text_head(out) or _inflates(out))
+
+
+def _text_head(head: bytes) -> bool:
+    """Whether the beginning of a layer, perhaps cut inside a character, is text."""
+    try:
+        return _printable(head.decode("utf-8"))
+    except UnicodeDecodeError as e:
+        return e.start > len(head) - 4 and _printable(head[: e.start].decode("utf-8"))
 
 
 def _printable(t: str) -> bool:
+    t = t.strip("\0")
     return bool(t) and sum(c.isprintable() or c in "\t\r\n" for c in t) >= 0.9 * len(t)
 
 
-def _texts(raw: bytes) -> Iterator[str]:
-    """Texts inside a byte string: itself if it is text, else what it decompresses to, through several compressions.
+def _other_text(raw: bytes) -> str | None:
+    """Text of bytes that are no UTF-8: UTF-16 by its mark or its zeros, else Latin-1 if it is printable."""
+    zeros = [raw[k::2].count(0) for k in (0, 1)]
+    order = "utf-16-le" if raw[:2] == b"\xff\xfe" or 4 * zeros[1] > len(raw) else "utf-16-be" if raw[:2] == b"\xfe\xff" or 4 * zeros[0] > len(raw) else None
+    try:
+        t = raw.decode(order or "latin-1").removeprefix("\ufeff") if len(raw) >= 12 else ""
+    except UnicodeDecodeError:
+        return None
+    return t if _printable(t) else None
+
+
+def _texts(raw: bytes, skip: int = 0, plain: bool = True) -> Iterator[str]:
+    """Texts inside raw from skip on: what it decompresses to, through several compressions, or else, if `plain`, itself if it is text.
 
     Compressed streams feed one another in pieces, so no layer is held as a whole; the digest of the beginning of each
     tells a stream that unpacks to itself.
     """
-    chunks, head, seen, depth = iter([raw]), raw, set(), 0
-    while (opener := _opener(head)) is not None:
+    chunks, head, seen, depth = (raw[a : a + STEP] for a in range(skip, len(raw), STEP)), raw[skip : skip + STEP], set(), 0
+    opener = _opener(head)
+    if opener is None and plain and not _is_text(raw, skip) and _whole_deflate(raw, skip):
+        opener = _deflate
+    while opener is not None:
         key = hashlib.sha256(head).digest()
         if key in seen:
             return
@@ -258,6 +300,7 @@ def _texts(raw: bytes) -> Iterator[str]:
             if len(first) >= STEP:
                 break
         chunks, head, depth = itertools.chain([first], inner), first, depth + 1
+        opener = _opener(head) or (_deflate if not _text_head(head) and _inflates(head) else None)
     if depth:
         tail = b""
         for c in chunks:
@@ -266,16 +309,34 @@ def _texts(raw: bytes) -> Iterator[str]:
                 yield tail[:PIECE].decode("utf-8", "replace")
                 tail = tail[PIECE - OVERLAP :]
         if tail:
-            yield tail.decode("utf-8", "replace")
+            yield (_other_text(tail) if b"\0" in tail[:64] else None) or tail.decode("utf-8", "replace")
         return
+    if plain and _is_text(raw, skip):
+        yield raw[skip:].decode("utf-8")
+
+
+def _is_text(raw: bytes, skip: int) -> bool:
     try:
-        t = raw.decode("utf-8")
+        return _printable(raw[skip:].decode("utf-8"))
     except UnicodeDecodeError:
-        if (out := _raw_deflate(raw)) is not None:
-            yield out.decode("utf-8")
-        return
-    if _printable(t):
-        yield t
+        return False
+
+
+def _text_starts(raw: bytes) -> np.ndarray:
+    """For each place of raw, whether all bytes from there on are UTF-8 text; one pass over them, whatever the number of places asked for."""
+    points = np.frombuffer(raw.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    bad = (points >= 0xDC80) & (points <= 0xDCFF)
+    size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    size[bad] = 1
+    known, which = np.unique(points, return_inverse=True)
+    fine = np.array([chr(c).isprintable() or chr(c) in "\t\r\n" for c in known.tolist()], dtype=bool)[which]
+    behind = np.cumsum(fine[::-1])[::-1]
+    good = behind >= 0.9 * np.arange(len(points), 0, -1)
+    last = np.flatnonzero(bad)
+    good[: last[-1] + 1 if len(last) else 0] = False
+    out = np.zeros(len(raw) + 1, dtype=bool)
+    out[(np.cumsum(size) - size)[good]] = True
+    return out
 
 
 def _wrapped(t: str) -> Iterator[list[tuple[int, int]]]:
@@ -313,9 +374,14 @@ def _may_open(head: bytes) -> bool:
 
 
 def _decoded(run: str) -> Iterator[tuple[int, str]]:
-    """(characters skipped, text) of what base64 decodes to, from the run's start or else, by alignment, the first other place that gives a text."""
+    """(characters skipped, text) of what base64 decodes to, from the run's start or else, by alignment, the first other place that gives a text.
+
+    Each alignment is decoded once, and whether its bytes are text from a place on is found for all places at once, so
+    time follows the run's length.
+    """
     plain = run.replace("-", "+").replace("_", "/")
     raws: dict[int, bytes] = {}
+    starts: dict[int, np.ndarray] = {}
     done: set[int] = set()
     for at in [0, *(i + 1 for i, c in enumerate(run) if c in "/_-"), 1, 2, 3]:
         k = at % 4
@@ -324,13 +390,20 @@ def _decoded(run: str) -> Iterator[tuple[int, str]]:
         if k not in raws:
             part = plain[k : len(plain) - ((len(plain) - k) % 4 == 1)]
             raws[k] = base64.b64decode(part + "=" * (-len(part) % 4))
-        skip = (at - k) // 4 * 3
-        if at and not _may_open(raws[k][skip : skip + 64]):
+        raw, skip, some = raws[k], (at - k) // 4 * 3, False
+        if at and not _may_open(raw[skip : skip + 64]):
             continue
-        some = False
-        for text in _texts(raws[k][skip:]):
+        for text in _texts(raw, skip, at < 4) if at < 4 or _opener(raw[skip : skip + 8]) is not None else ():
             some = True
             yield at, text
+        if at >= 4 and not some:
+            if k not in starts:
+                starts[k] = _text_starts(raw)
+            if starts[k][skip]:
+                some = True
+                yield at, raw[skip:].decode("utf-8")
+        if not at and not some and (other := _other_text(raw)) is not None:
+            yield 0, other  # a guess, so the search goes on
         if some and not at:
             return
         if some:
