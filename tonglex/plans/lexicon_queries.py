@@ -1,20 +1,17 @@
-"""Segmentation, lookups, conversion and dispatch over Han text made from part names, and checks of the seed lexicon."""
+"""Segmentation, lookups, conversion and dispatch over Han text made from part names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonglex.functions.convert import Scripts
 from tonglex.functions.text import normalize
-from tonglex.operators.lookup import chinese_index, query, query_by_chinese, query_by_pinyin, query_by_simplified, query_by_traditional, with_entries
+from tonglex.operators.lookup import query, query_by_chinese, query_by_pinyin, query_by_simplified, query_by_traditional, with_entries
 from tonglex.operators.segment import Segmenter, tokenize, tokenize_join
-from tonglex.sources.lexicon import ENTRY, Lexicon, seed
+from tonglex.sources.lexicon import ENTRY, Lexicon
 
-from .text_queries import edge, edge_sql, label_sql, normal_sql, quoted, table
+from .text_queries import label_sql, normal_sql, quoted, table
 
 #: Our fixture for the words of part.p_name: English, simplified, traditional, pinyin.
 PART_WORDS = (
@@ -155,15 +152,6 @@ def entry_join(spark, sf_dir):
     return with_entries(query_by_chinese(part_texts(spark, sf_dir), "id", "text", x), x).select("id", "tok_pos", "idx_pos", "word_id", "entry.traditional", "entry.simplified")
 
 
-def lexicon_round_trip(spark, sf_dir):
-    """Entries written as Parquet, read with the explicit schema, checked and warmed."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{shared}/lexicon-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="lexicon-")
-    seed(spark).write(path)
-    e = Lexicon.read(spark, path).warm().entries
-    return e.select("word_id", "traditional", "simplified", F.size("english").cast("long").alias("n_english"))
-
-
 def query_dispatch(spark, sf_dir, lexicon=None):
     """Han, pinyin, English and unclassifiable texts: label, and the hits joined; '-' where there is no list at all."""
     han = part_texts(spark, sf_dir)
@@ -175,11 +163,12 @@ def query_dispatch(spark, sf_dir, lexicon=None):
     return query(t, "id", "text", lexicon or part_lexicon(spark)).select("id", "label", F.coalesce(hits, F.lit("-")).alias("hits"))
 
 
-def _dispatch_sql() -> str:
+def _dispatch_sql(texts: str | None = None) -> str:
+    texts = texts or f"""SELECT id, text FROM {_han_sql(1)} UNION ALL SELECT id + 1000000, text FROM {_han_sql(3)}
+    UNION ALL SELECT p_partkey::BIGINT + 2000000, p_name || ', boat!' FROM part UNION ALL SELECT r_regionkey::BIGINT + 3000000, '?!。' FROM region"""
     english = _values([(quoted(w[0]), f"{i}::BIGINT") for i, w in enumerate(PART_WORDS, 1)] + [("'few'", "90::BIGINT"), ("'heat'", "91::BIGINT")], "key, word_id")
     return f"""
-WITH t AS (SELECT id, text FROM {_han_sql(1)} UNION ALL SELECT id + 1000000, text FROM {_han_sql(3)}
-    UNION ALL SELECT p_partkey::BIGINT + 2000000, p_name || ', boat!' FROM part UNION ALL SELECT r_regionkey::BIGINT + 3000000, '?!。' FROM region),
+WITH t AS ({texts}),
 n AS (SELECT id, text, n, {label_sql("n")} AS label FROM (SELECT id, text, {normal_sql("text")} AS n FROM t)),
 w AS (SELECT id, label, unnest(ws) AS token, generate_subscripts(ws, 1) - 1 AS p FROM (SELECT id, label, list_filter(string_split(lower(n), ' '), lambda x: x <> '') AS ws FROM n WHERE label IN ('EN', 'PY'))),
 h AS (SELECT w.id, p, 0::BIGINT AS pos, word_id FROM w JOIN {english} e ON token = key WHERE label = 'EN'
@@ -189,50 +178,6 @@ l AS (SELECT id, string_agg(p || ':' || pos || ':' || word_id, ',' ORDER BY p, p
 SELECT n.id, label, CASE WHEN label = 'UN' THEN '-' ELSE coalesce(hits, '') END AS hits FROM n LEFT JOIN l ON n.id = l.id"""
 
 
-def query_edge_cases(spark, sf_dir):
-    out = query(edge(spark), "text_id", "text", seed(spark))
-    return out.select("text_id", "label", F.size("hits").isNull().alias("unclassified"))
-
-
-def measure_words_explode(spark, sf_dir):
-    e = seed(spark).entries
-    return e.select("word_id", F.explode("measure_words").alias("m")).select("word_id", "m.*")
-
-
-def entries_json(spark, sf_dir):
-    """A round trip through JSON keeps every entry."""
-    e = seed(spark).entries
-    j = e.select("word_id", F.to_json(F.struct(*e.columns)).alias("j"))
-    back = j.select("word_id", F.from_json("j", ENTRY).alias("b"))
-    return back.select("word_id", "b.traditional", "b.simplified", F.size("b.english").cast("long").alias("n_english"))
-
-
-def _seed_sql(columns: str) -> str:
-    from tonglex.sources.lexicon import SEED
-
-    rows = [(f"{i}::BIGINT", quoted(t), quoted(s), f"{len(e)}::BIGINT", *(map(quoted, w) if w else ("NULL",) * 4)) for i, (t, s, _, _, e, w, _) in enumerate(SEED, 1)]
-    return f"SELECT {columns} FROM " + _values(rows, "word_id, traditional, simplified, n_english, mt, ms, mm, mn")
-
-
-def index_integrity(spark, sf_dir):
-    x = seed(spark)
-    x.check()
-    return x.index.where("kind in ('simplified', 'traditional')").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("word_id").alias("n_ids"))
-
-
-def headword_union(spark, sf_dir):
-    return seed(spark).headwords
-
-
-def self_segmentation(spark, sf_dir):
-    """Every headword segments to itself and finds its own entries."""
-    x = seed(spark)
-    heads = x.headwords.withColumn("id", F.xxhash64("key"))
-    got = query_by_chinese(heads, "id", "key", x).groupBy("id").agg(F.count("*").alias("n"), F.max("tok_pos").alias("last"))
-    want = chinese_index(x).groupBy("key").agg(F.count("*").alias("want"))
-    return heads.join(want, "key").join(got, "id", "left").select("key", (F.coalesce("n", F.lit(0)) == F.col("want")).alias("same"), (F.col("last") == 0).alias("one_token"))
-
-
 def norm_of_han(spark, sf_dir):
     return part_texts(spark, sf_dir).select("id", normalize(F.col("text")).alias("norm"))
 
@@ -264,11 +209,4 @@ LEXICON = {
     "query_dispatch_join": (query_dispatch_join, _dispatch_sql()),
     "query_entries": (query_entries, f"SELECT id, 'ZH' AS label, string_agg(traditional, ',' ORDER BY tok_pos, idx_pos) AS traditional FROM ({_ENTRY_JOIN}) GROUP BY id"),
     "entry_join": (entry_join, _ENTRY_JOIN),
-    "lexicon_round_trip": (lexicon_round_trip, _seed_sql("word_id, traditional, simplified, n_english")),
-    "query_edge_cases": (query_edge_cases, f"SELECT text_id, label, label = 'UN' AS unclassified FROM (SELECT text_id, {label_sql('n')} AS label FROM (SELECT text_id, {normal_sql('text')} AS n FROM ({edge_sql()})))"),
-    "measure_words_explode": (measure_words_explode, _seed_sql("word_id, mt AS traditional, ms AS simplified, mm AS pinyin_marks, mn AS pinyin_numbers") + " WHERE mt IS NOT NULL"),
-    "entries_json": (entries_json, _seed_sql("word_id, traditional, simplified, n_english")),
-    "index_integrity": (index_integrity, f"SELECT kind, count(*) AS n, count(DISTINCT word_id) AS n_ids FROM ({_seed_sql("'simplified' AS kind, word_id")} UNION ALL {_seed_sql("'traditional', word_id")}) GROUP BY kind"),
-    "headword_union": (headword_union, f"SELECT DISTINCT key FROM ({_seed_sql('traditional AS key')} UNION ALL {_seed_sql('simplified')})"),
-    "self_segmentation": (self_segmentation, f"SELECT DISTINCT key, true AS same, true AS one_token FROM ({_seed_sql('traditional AS key')} UNION ALL {_seed_sql('simplified')})"),
 }

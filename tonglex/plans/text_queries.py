@@ -90,10 +90,6 @@ def normalize_pinyin(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", normalize(F.col("props"), pinyin=True).alias("norm"))
 
 
-def normalize_edge_cases(spark, sf_dir):
-    return edge(spark).select("text_id", normalize(F.col("text")).alias("general"), normalize(F.col("text"), pinyin=True).alias("pinyin"))
-
-
 def classify_text(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("text_id"), F.col("p_name").alias("text"))
     return p.unionByName(edge(spark).withColumn("text_id", -F.col("text_id") - 1)).select("text_id", classify(F.col("text")).alias("label"))
@@ -200,7 +196,6 @@ TEXT = {
     "normalize_general": (normalize_general, f"SELECT page_id, {normal_sql('url')} AS norm FROM pages"),
     "normalize_documents": (normalize_documents, f"SELECT doc_id, length({normal_sql('text')})::BIGINT AS n_chars, md5({normal_sql('text')}) AS norm_md5 FROM documents"),
     "normalize_pinyin": (normalize_pinyin, f"SELECT event_id, {normal_sql('props', True)} AS norm FROM events"),
-    "normalize_edge_cases": (normalize_edge_cases, f"SELECT text_id, {normal_sql('text')} AS general, {normal_sql('text', True)} AS pinyin FROM ({edge_sql()})"),
     "classify_text": (
         classify_text,
         f"SELECT text_id, {label_sql('n')} AS label FROM (SELECT text_id, {normal_sql('text')} AS n FROM (SELECT p_partkey::BIGINT AS text_id, p_name AS text FROM part UNION ALL SELECT -text_id - 1, text FROM ({edge_sql()})))",

@@ -45,6 +45,11 @@ def dropped(*tables: DataFrame) -> None:
         delete_folder(df.sparkSession, df._staged)
 
 
+def delete_later(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver's Python ends, as staged tables do."""
+    _WRITTEN.append((spark, path))
+
+
 def _forget() -> None:
     for spark, path in _WRITTEN:
         try:
