@@ -249,6 +249,14 @@ def test_conversion(spark, lexicon):
 
 def test_lexicon_checks_and_round_trip(spark, lexicon, tmp_path):
     lexicon.check()
+    one = lexicon.write(str(tmp_path))
+    small = Lexicon(lexicon.entries.where("word_id < 5"), lexicon.index.where("word_id < 5 and kind = 'traditional'"))
+    assert small.write(str(tmp_path)) != one and Lexicon.read(spark, str(tmp_path)).entries.count() == 4
+    assert Lexicon.read(spark, str(tmp_path), version=one).entries.count() == lexicon.entries.count()
+    lexicon.entries.write.parquet(str(tmp_path / "v-half" / "entries"))  # a writer that failed before its index
+    assert Lexicon.read(spark, str(tmp_path)).entries.count() == 4
+    with pytest.raises(FileNotFoundError):
+        Lexicon.read(spark, str(tmp_path / "none"))
     lexicon.write(str(tmp_path))
     back = Lexicon.read(spark, str(tmp_path))
     assert back.entries.exceptAll(lexicon.entries).isEmpty() and back.index.count() == lexicon.index.count()
@@ -285,3 +293,44 @@ def test_query_with_entries_and_by_joins(spark, lexicon):
     assert [[h["word_id"] for h in r["hits"] or ()] for r in with_them] == [[h["word_id"] for h in r["hits"] or ()] for r in plain]
     large = Lexicon(lexicon.entries, lexicon.index, broadcast_rows=0)
     assert not large.small() and query(t, "id", "t", large).orderBy("id").collect() == plain
+
+
+def test_stream_takes_a_new_lexicon_and_restarts(spark, lexicon, tmp_path):
+    store, source, out, log = (str(tmp_path / d) for d in ("store", "in", "out", "log"))
+    less = Lexicon.of(lexicon.entries.where("traditional <> '西瓜'"))
+    versions = [less.write(store)]
+    run = lambda: streaming.answered(spark.readStream.schema("id long, t string").parquet(source), "id", "t", store, out, log, availableNow=True).awaitTermination()
+    texts(spark, "watermelon", "people").write.parquet(source)
+    run()
+    versions.append(lexicon.write(store))
+    texts(spark, "watermelon", None).write.mode("append").parquet(source)
+    run()
+    found = lambda: sorted((r["id"], len(r["hits"] or ()), versions.index(r["version"]), r["batch"]) for r in spark.read.parquet(out).collect())
+    want = [(0, 0, 0, 0), (0, 1, 1, 1), (1, 0, 1, 1), (1, 1, 0, 0)]
+    assert found() == want
+    # the driver fails after a batch's rows were written and before Spark knew: the batch runs again, by its version of then
+    import os
+
+    os.remove(f"{log}/commits/1")
+    if os.path.exists(f"{log}/commits/.1.crc"):
+        os.remove(f"{log}/commits/.1.crc")
+    versions.append(less.write(store))
+    run()
+    assert found() == want
+    run()
+    assert found() == want
+
+
+@pytest.mark.parametrize("clean", ["watermelon", "people", "ni hao", "nǐ hǎo", "ni3 hao3", "lǜ", "你好", "the lgbt+ community"])
+def test_separators_around_and_between_words_change_nothing(spark, lexicon, clean):
+    around = [("", x) for x in ".?,。？，"] + [('"', '"'), ("“", "”"), ("「", "」"), ("  ", "…!"), ("¿", " ?")]
+    made = [a + clean + b for a, b in around] + [clean.replace(" ", x) for x in (",", "。 ", " - ", "/") if " " in clean]
+    rows = [tuple(r)[1:] for r in query(texts(spark, clean, *made), "id", "t", lexicon).orderBy("id").collect()]
+    assert rows[0][1] and all(r == rows[0] for r in rows)
+
+
+def test_entries_have_ids_of_their_own(spark, lexicon):
+    assert lexicon.entries.count() == lexicon.entries.select("word_id").distinct().count()
+    for kind in ("simplified", "traditional"):
+        hits = query_by_simplified(lexicon.headwords.withColumn("id", F.col("key")), "id", "key", lexicon, kind)
+        assert hits.count() == hits.distinct().count() > 30

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staged import create_text, names_in, read_text
+
 _s = lambda name: T.StructField(name, T.StringType(), False)
 MEASURE_WORD = T.StructType([_s("traditional"), _s("simplified"), _s("pinyin_marks"), _s("pinyin_numbers")])
 ENTRY = T.StructType(
@@ -28,6 +31,18 @@ KINDS = ("traditional", "simplified", "pinyin", "english")
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
+MANIFEST = "current-"  # a numbered file for each version that became current
+
+
+def manifests(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.removeprefix(MANIFEST)) for n in names_in(spark, path) if re.fullmatch(rf"{MANIFEST}\d+", n))
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    found = manifests(spark, path)
+    return read_text(spark, f"{path}/{MANIFEST}{found[-1]:09d}") if found else None
+
+
 class Lexicon:
     def __init__(self, entries: DataFrame, index: DataFrame, broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES):
         self.entries, self.index, self.broadcast_rows, self.broadcast_bytes = entries, index, broadcast_rows, broadcast_bytes
@@ -40,15 +55,27 @@ class Lexicon:
         return self.index.where(F.col("kind").isin("simplified", "traditional")).select("key").distinct()
 
     @staticmethod
-    def read(spark: SparkSession, path: str, check: bool = True) -> Lexicon:
-        out = Lexicon(spark.read.schema(ENTRY).parquet(f"{path}/entries"), spark.read.schema(INDEX).parquet(f"{path}/index"))
+    def read(spark: SparkSession, path: str, check: bool = True, version: str | None = None) -> Lexicon:
+        """The current version of a store, or a named one. Explicit schemas; check() raises on a damaged lexicon."""
+        name = version or current_version(spark, path)
+        if name is None:
+            raise FileNotFoundError(f"no lexicon in {path}")
+        out = Lexicon(spark.read.schema(ENTRY).parquet(f"{path}/{name}/entries"), spark.read.schema(INDEX).parquet(f"{path}/{name}/index"))
         if check:
             out.check()
         return out
 
-    def write(self, path: str) -> None:
-        self.entries.write.mode("overwrite").parquet(f"{path}/entries")
-        self.index.repartition("kind").write.mode("overwrite").parquet(f"{path}/index")
+    def write(self, path: str) -> str:
+        """A new version beside the others, which becomes the current one when both its tables are there; readers of earlier versions
+        are not disturbed. Returns its name."""
+        spark = self.entries.sparkSession
+        name = f"v-{uuid.uuid4().hex}"
+        self.entries.write.parquet(f"{path}/{name}/entries")
+        self.index.repartition("kind").write.parquet(f"{path}/{name}/index")
+        number = max(manifests(spark, path), default=0) + 1
+        while not create_text(spark, f"{path}/{MANIFEST}{number:09d}", name):  # another writer was faster
+            number += 1
+        return name
 
     @staticmethod
     def of(entries: DataFrame, ranked: bool = True) -> Lexicon:
