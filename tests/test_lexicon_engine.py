@@ -334,3 +334,23 @@ def test_entries_have_ids_of_their_own(spark, lexicon):
     for kind in ("simplified", "traditional"):
         hits = query_by_simplified(lexicon.headwords.withColumn("id", F.col("key")), "id", "key", lexicon, kind)
         assert hits.count() == hits.distinct().count() > 30
+
+
+def test_conversion_by_joins_equals_in_place(spark, lexicon):
+    import random
+    from decimal import Decimal
+
+    from tonglex.operators.rewrite import converted
+    from tonglex.sources.lexicon import ENTRY
+
+    rng = random.Random(2)
+    word = lambda abc, n: "".join(rng.choices(abc, k=rng.randint(1, n)))
+    made = [(word("甲乙丙ab", 3), word("甲丁戊ab", 3), "x", "x", ["x"], [], Decimal(i), [], rng.randint(1, 3), i) for i in range(40)]
+    one = Lexicon.of(spark.createDataFrame(made, ENTRY))
+    large = Lexicon(one.entries, one.index, broadcast_rows=0)
+    t = texts(spark, None, "", "zz", *("".join(rng.choices("甲乙丙丁戊ab ", k=rng.randint(0, 60))) for _ in range(60))).unionByName(spark.createDataFrame([(None, "甲乙"), (3, "丁戊")], "id long, t string"))
+    for to in ("simplified", "traditional"):
+        rows = [sorted(map(str, converted(t, "id", "t", x, to).collect())) for x in (one, large)]
+        assert rows[0] == rows[1] and len(rows[0]) == 65
+    with pytest.raises(ValueError, match="script"):
+        converted(t, "id", "t", one, "cursive")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tonglex.functions.text import normalize
 from tonglex.operators.lookup import chinese_index, query, query_by_chinese
+from tonglex.operators.rewrite import converted
 from tonglex.sources.lexicon import ENTRY, Lexicon
 from tonglex.sources.staged import delete_later, shared_folder
 
-from .lexicon_queries import PART_WORDS, _dispatch_sql, _values, part_lexicon
+from .lexicon_queries import PART_WORDS, _convert_sql, _dispatch_sql, _han_sql, _values, part_lexicon, part_texts
 from .text_queries import normal_sql, quoted, table
 
 DIGITS = "〇一二三四五六七八九"
@@ -97,6 +98,43 @@ def query_edge_cases(spark, sf_dir):
     return query(separated(spark, sf_dir), "id", "text", part_lexicon(spark)).select("id", "label", F.coalesce(hits, F.lit("-")).alias("hits"))
 
 
+#: Phrases whose characters do not correspond: simplified, traditional.
+IRREGULAR = (("螺栓大", "巨釘"), ("戒指蓝", "寶藍指環"), ("小玩意新", "新奇小玩意"))
+
+
+def phrase_lexicon(spark: SparkSession) -> Lexicon:
+    from decimal import Decimal
+
+    rows = [(t, s, "x", "x", ["x"], [], Decimal(k), [], 9, k) for k, (s, t) in enumerate(IRREGULAR, 200)]
+    x = Lexicon.of(part_lexicon(spark).entries.unionByName(spark.createDataFrame(rows, ENTRY)))
+    x.broadcast_rows = 0  # as if it were larger than what tasks are sent
+    return x
+
+
+def to_traditional_join(spark, sf_dir):
+    """Conversion by joins, with irregular phrases; same: texts that are traditional already."""
+    both = part_texts(spark, sf_dir).unionByName(part_texts(spark, sf_dir, 2).withColumn("id", F.col("id") + 1_000_000))
+    return converted(both, "id", "text", phrase_lexicon(spark), "traditional").select("id", "converted", "same")
+
+
+def to_simplified_join(spark, sf_dir):
+    return converted(part_texts(spark, sf_dir, 2), "id", "text", phrase_lexicon(spark), "simplified").select("id", "converted", "same")
+
+
+_BOTH = f"(SELECT id, text FROM {_han_sql(1)} UNION ALL SELECT id + 1000000, text FROM {_han_sql(2)})"
+
+
+def _phrases_sql(a: int, b: int) -> str:
+    """Irregular phrases by marks of their own, so that what they become is not converted again."""
+    x = "text"
+    for k, pair in enumerate(IRREGULAR):
+        x = f"replace({x}, '{pair[a - 1]}', '{k}')"
+    x = _convert_sql(a, b, x)
+    for k, pair in enumerate(IRREGULAR):
+        x = f"replace({x}, '{k}', '{pair[b - 1]}')"
+    return x
+
+
 _SEPARATED = f"""(SELECT p_partkey::BIGINT AS id, s || split_part(p_name, ' ', 1) || s || split_part(p_name, ' ', 2) || s || split_part(p_name, ' ', 1) AS text
     FROM (SELECT p_partkey, p_name, [{', '.join(quoted(x) for x in BETWEEN)}][1 + p_partkey % {len(BETWEEN)}] AS s FROM part))"""
 
@@ -122,5 +160,7 @@ PART = {
     "headword_union": (headword_union, _HEADS),
     "self_segmentation": (self_segmentation, f"SELECT key, true AS same, true AS one_token FROM ({_HEADS})"),
     "normalize_edge_cases": (normalize_edge_cases, f"SELECT id, {normal_sql('text')} AS general, {normal_sql('text', True)} AS pinyin FROM {_SEPARATED}"),
+    "to_traditional_join": (to_traditional_join, f"SELECT id, {_phrases_sql(1, 2)} AS converted, {_phrases_sql(1, 2)} = text AS same FROM {_BOTH}"),
+    "to_simplified_join": (to_simplified_join, f"SELECT id, {_phrases_sql(2, 1)} AS converted, {_phrases_sql(2, 1)} = text AS same FROM {_han_sql(2)}"),
     "query_edge_cases": (query_edge_cases, _dispatch_sql(f"SELECT id, text FROM {_SEPARATED}")),
 }
