@@ -21,7 +21,7 @@ from tonglex.operators.lookup import (
     with_entries,
 )
 from tonglex.operators import packed
-from tonglex.operators.prefixes import longest_matches, numbered
+
 from tonglex.operators.segment import Segmenter, regex_tokens, tokenize_join
 from tonglex.sources.lexicon import INDEX, Lexicon, seed
 

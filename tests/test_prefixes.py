@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonglex.functions.spans import Filter, Spans, code_points
 from tonglex.operators.lookup import query, query_by_english
-from tonglex.operators.prefixes import hot_join, longest_matches, numbered
+from tonglex.operators.prefixes import hot_join, longest_matches
 from tonglex.operators.segment import Segmenter, tokenize_join
 from tonglex.sources.lexicon import Lexicon, seed
 
@@ -27,17 +27,20 @@ def test_long_texts_and_repeated_rows(spark):
     want = sorted(str((i, p, x)) for i, t in rows for p, x in enumerate(walk.tokens(t) or ()))
     got = tokenize_join(df, "id", "t", keyed(spark, keys))
     assert sorted(str(tuple(r)) for r in got.collect()) == want
-    # filters of one word each let everything through, chunks of seven places cut every text: the same rows
-    small = numbered(longest_matches(df, "id", F.col("t"), keyed(spark, keys), filter_bytes=1, chunk=7), 7)
-    assert sorted(str((r["doc"], r["tok_pos"], r["key"])) for r in small.collect()) == want
+    # filters of one word each let everything through; chunks of seven places cut every text; no mistakes allowed: the same rows by joins
+    for how in ({"filter_bytes": 1}, {"filter_bytes": 1, "mistakes": 0, "chunk": 7}):
+        other = longest_matches(df, "id", F.col("t"), keyed(spark, keys), **how)
+        assert sorted(str((r["doc"], r["tok_pos"], r["key"])) for r in other.collect()) == want
     assert tokenize_join(df, "id", "t", keyed(spark, [])).isEmpty() and tokenize_join(df.where("false"), "id", "t", keyed(spark, keys)).isEmpty()
 
 
 def test_a_text_of_many_overlapping_hits(spark):
     n = 150_000
     df = spark.createDataFrame([(1, "abc" * (n // 3))], "id long, t string")
-    got = tokenize_join(df, "id", "t", keyed(spark, ["ab", "bc", "ca", "c"]))
-    assert {r["token"]: r["count"] for r in got.groupBy("token").count().collect()} == chain(n)
+    plain = tokenize_join(df, "id", "t", keyed(spark, ["ab", "bc", "ca", "c"]))
+    assert {r["token"]: r["count"] for r in plain.groupBy("token").count().collect()} == chain(n)
+    got = longest_matches(df, "id", F.col("t"), keyed(spark, ["ab", "bc", "ca", "c"]), filter_bytes=1, mistakes=0)  # by joins
+    assert {r["key"]: r["count"] for r in got.groupBy("key").count().collect()} == chain(n)
     assert got.agg(F.max("tok_pos"), F.countDistinct("tok_pos")).first() == (sum(chain(n).values()) - 1, sum(chain(n).values()))
 
 

@@ -2,13 +2,16 @@
 
 Keys are known by fingerprints of their prefixes. Two filters of bounded size go to the tasks: one of all
 prefixes where a longer key may go on (the rungs of a ladder), one of whole keys. A task climbs from every place
-of a text, a rung at a time, while the prefix is in the first filter, and gives out the spans that are in the
-second. So each text is read once and stays where it is, and only places with fingerprints are joined to the keys,
-which decides. Filters that are too small for very many keys only let more spans through.
+of a text, a rung at a time, while the prefix is in the first filter; spans that are in the second may be keys.
 
-Of the hits, those that leftmost-longest matching keeps are found by joins as well (greedy_kept): a hit that no
-earlier one reaches into is always kept, and from it the next kept ones follow along links to the first hit behind
-each; links are doubled (next, next but one, next but three, ...) until no new hit is reached.
+The different fingerprints of such spans, pre-aggregated by the tasks, are joined to the keys. What is none of them
+let through by mistake, a small part as long as the filters are not full: these few go to the tasks, which now know
+every hit for sure and choose in place. Texts and places are never shuffled.
+
+Where the mistakes are too many (filters are of bounded size, keys are not), places with fingerprints are joined to
+the keys, and the choice is made by joins as well (greedy_kept): a hit that no earlier one reaches into is always
+kept, and from it the next kept ones follow along links to the first hit behind each; links grow fourfold a round
+until no new hit is reached. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonglex.functions.automaton import greedy
 from tonglex.functions.spans import Filter, Spans, code_points
 from tonglex.sources.staged import dropped, staged
 
-FILTER_BYTES = 16 << 20  # of each filter
+FILTER_BYTES = 32 << 20  # of each filter
+MISTAKES = 1 << 20  # fingerprints of spans that are no keys, which tasks are sent
 SEGMENT = 1 << 19  # places of one set of running sums
 SLICE_BYTES = 4 << 20
 JOINER = "%20"  # between the words of an English key
@@ -298,11 +303,81 @@ def numbered(kept: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return k.join(before, ["row", "chunk"]).withColumn("tok_pos", F.col("before") + place - 1).drop("chunk", "before")
 
 
-def longest_matches(df: DataFrame, doc: str, text: Column, keys: DataFrame, words: int = 0, filter_bytes: int = FILTER_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """(row, doc, p, n, key) of leftmost-longest matches of keys(key) in every text of df; row tells the rows of df apart, whatever
-    their ids. words: as in probes. Null and empty texts, and empty keys, match nothing."""
+def _candidates(df: DataFrame, text: Column, ladder: Broadcast, words: int) -> DataFrame:
+    """(hi, lo), once for each slice of texts that has spans of that fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ladder.value
+        for batch in _sliced(batches, "_t"):
+            texts = batch.column("_t").fill_null("").to_pylist()
+            found = list(word_probes(texts, known, words) if words else character_probes(texts, known))
+            if found:
+                hi, lo = (np.concatenate([f[k] for f in found]) for k in (3, 4))
+                _, first = np.unique(hi ^ (lo << 1), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hi[first]), pa.array(lo[first])], names=["hi", "lo"])
+
+    return df.select(text.alias("_t")).mapInArrow(run, "hi long, lo long")
+
+
+def _mistakes(df: DataFrame, text: Column, own: DataFrame, ladder: Broadcast, words: int, most: int) -> np.ndarray | None:
+    """Fingerprints, as rows of two, of spans that may be keys and are none; None if there are more than `most`."""
+    wrong = staged(_candidates(df, text, ladder, words).distinct().join(own, ["hi", "lo"], "left_anti"), "mistakes")
+    found = wrong.toArrow() if wrong.count() <= most else None
+    dropped(wrong)
+    if found is None:
+        return None
+    both = np.stack([found.column(c).to_numpy() for c in ("hi", "lo")], axis=1)
+    return both[np.lexsort((both[:, 1], both[:, 0]))]
+
+
+def _is_mistake(wrong: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """wrong: sorted. First values repeat hardly ever, so few steps find the second."""
+    at, out = np.searchsorted(wrong[:, 0], hi), np.zeros(len(hi), dtype=bool)
+    open_ = np.flatnonzero(at < len(wrong))
+    while len(open_):
+        open_ = open_[wrong[at[open_], 0] == hi[open_]]
+        out[open_] |= wrong[at[open_], 1] == lo[open_]
+        at[open_] += 1
+        open_ = open_[(at[open_] < len(wrong)) & ~out[open_]]
+    return out
+
+
+def _in_place(df: DataFrame, doc: str, text: Column, ladder: Broadcast, mistakes: Broadcast, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wrong, before = ladder.value, mistakes.value, TaskContext.get().partitionId() << 40
+        for batch in _sliced(batches, "_t"):
+            texts = batch.column("_t").fill_null("").to_pylist()
+            found = list(word_probes(texts, known, words) if words else character_probes(texts, known))
+            if found:
+                row, p, n, hi, lo = (np.concatenate([f[k] for f in found]) for k in range(5))
+                sure = ~_is_mistake(wrong, hi, lo)
+                row, p, n = row[sure], p[sure], n[sure]
+                order = np.lexsort((-n, p, row))
+                place = (row[order] << 40) | p[order]
+                order, place = (x[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else x for x in (order, place))
+                kept = order[greedy(place, place + n[order])]
+                row, p, n = row[kept], p[kept], n[kept]
+                split = {r: [w for w in texts[r].split(" ") if w] for r in np.unique(row).tolist()} if words else None
+                keys = [JOINER.join(split[r][a : a + k]) if words else texts[r][a : a + k] for r, a, k in zip(row.tolist(), p.tolist(), n.tolist(), strict=True)]
+                number = np.arange(len(row)) - np.searchsorted(row, row)
+                cols = [pa.array(before + row), batch.column("_d").take(pa.array(row)), pa.array(number), pa.array(p, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "tok_pos", "p", "n", "key"])
+            before += batch.num_rows
+
+    long = lambda name: T.StructField(name, T.LongType())
+    d = df.select(F.col(doc).alias("_d"), text.alias("_t"))
+    return d.mapInArrow(run, T.StructType([long("row"), T.StructField("doc", d.schema["_d"].dataType), long("tok_pos"), long("p"), T.StructField("n", T.IntegerType()), T.StructField("key", T.StringType())]))
+
+
+def longest_matches(df: DataFrame, doc: str, text: Column, keys: DataFrame, words: int = 0, filter_bytes: int = FILTER_BYTES, chunk: int = CHUNK, mistakes: int = MISTAKES) -> DataFrame:
+    """(row, doc, tok_pos, p, n, key) of leftmost-longest matches of keys(key) in every text of df; row tells the rows of df apart,
+    whatever their ids; tok_pos numbers a text's matches. words: as in probes. Null and empty texts, and empty keys, match nothing."""
     own = staged(_with_prints(keys.select("key").where("key <> ''").distinct()), "keys")
     ladder, longest = ladder_of(own, bool(words), filter_bytes)
+    wrong = _mistakes(df, text, own, ladder, words, mistakes)
+    if wrong is not None:
+        dropped(own)
+        return staged(_in_place(df, doc, text, ladder, df.sparkSession.sparkContext.broadcast(wrong), words), "matches")
     found = staged(probes(df, doc, text, ladder, words), "probes")
     hits = hot_join(found, "hi", own.withColumnRenamed("lo", "lo_"), ["row", "p"]).where("lo = lo_").select("row", "doc", "p", "n", "key")
-    return greedy_kept(hits, words or longest, chunk, found, own)
+    return numbered(greedy_kept(hits, words or longest, chunk, found, own), chunk).select("row", "doc", "tok_pos", "p", "n", "key")

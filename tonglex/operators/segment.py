@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tonglex.functions.automaton import Automaton
 
 from .packed import SLICE_BYTES, segments
-from .prefixes import longest_matches, numbered
+from .prefixes import longest_matches
 
 REGEX_KEYS = 300
 
@@ -74,4 +74,4 @@ def tokenize(text: Column, keys: list[str]) -> Column:
 
 def tokenize_join(df: DataFrame, doc: str, text: str, headwords: DataFrame) -> DataFrame:
     """(doc, tok_pos, token) by joins, for headwords of any number and texts of any length; each row of df for itself, whatever its id."""
-    return numbered(longest_matches(df, doc, F.col(text), headwords)).select(F.col("doc").alias(doc), "tok_pos", F.col("key").alias("token"))
+    return longest_matches(df, doc, F.col(text), headwords).select(F.col("doc").alias(doc), "tok_pos", F.col("key").alias("token"))
