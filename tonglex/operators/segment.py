@@ -41,11 +41,11 @@ class Segmenter:
     def __call__(self, text: Column) -> Column:
         if self.sent is None:
             self.sent = SparkSession.active().sparkContext.broadcast(self.walk.buffer)
-        return tokens_column(text, self.sent)
+        return tokens_function(self.sent)(text)
 
 
-def tokens_column(text: Column, sent: Broadcast) -> Column:
-    """Tokens of a text in order, by the buffer of an automaton; NULL for NULL."""
+def tokens_function(sent: Broadcast):
+    """The function of a text's tokens in order, by the buffer of an automaton; NULL for NULL."""
 
     @F.arrow_udf("array<string>")
     def tokens(texts: pa.Array) -> pa.Array:
@@ -64,7 +64,7 @@ def tokens_column(text: Column, sent: Broadcast) -> Column:
             at += n
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
 
-    return tokens(text)
+    return tokens
 
 
 def tokenize(text: Column, keys: list[str]) -> Column:

@@ -10,6 +10,7 @@ from tonglex.functions.text import normalize
 from tonglex.operators.lookup import query, query_by_chinese, query_by_pinyin, query_by_simplified, query_by_traditional, with_entries
 from tonglex.operators.segment import Segmenter, tokenize, tokenize_join
 from tonglex.sources.lexicon import ENTRY, Lexicon
+from tonglex.sql import register
 
 from .text_queries import label_sql, normal_sql, quoted, table
 
@@ -163,6 +164,27 @@ def query_dispatch(spark, sf_dir, lexicon=None):
     return query(t, "id", "text", lexicon or part_lexicon(spark)).select("id", "label", F.coalesce(hits, F.lit("-")).alias("hits"))
 
 
+def _sql_names(spark: SparkSession, sf_dir: str, column: int) -> None:
+    """SQL names over the part lexicon, and the texts as the view part_texts."""
+    register(spark, part_lexicon(spark), "part_")
+    part_texts(spark, sf_dir, column).createOrReplaceTempView("part_texts")
+
+
+def sql_token_rows(spark, sf_dir):
+    """Tokens as rows by a lateral view over a SQL name."""
+    _sql_names(spark, sf_dir, 1)
+    return spark.sql("SELECT id, CAST(tok_pos AS BIGINT) AS tok_pos, token FROM part_texts LATERAL VIEW posexplode(part_tokenize(text)) AS tok_pos, token")
+
+
+def sql_hit_rows(spark, sf_dir):
+    """Hits with their entries as rows: lateral views over SQL names, joined to the view of entries."""
+    _sql_names(spark, sf_dir, 1)
+    return spark.sql(
+        """SELECT id, h.tok_pos, h.idx_pos, h.word_id, e.traditional, e.simplified
+        FROM (SELECT id, h FROM (SELECT id, part_query_by_chinese(text) AS hits FROM part_texts) LATERAL VIEW explode(hits) AS h) JOIN part_entries e ON e.word_id = h.word_id"""
+    )
+
+
 def _dispatch_sql(texts: str | None = None) -> str:
     texts = texts or f"""SELECT id, text FROM {_han_sql(1)} UNION ALL SELECT id + 1000000, text FROM {_han_sql(3)}
     UNION ALL SELECT p_partkey::BIGINT + 2000000, p_name || ', boat!' FROM part UNION ALL SELECT r_regionkey::BIGINT + 3000000, '?!。' FROM region"""
@@ -209,4 +231,6 @@ LEXICON = {
     "query_dispatch_join": (query_dispatch_join, _dispatch_sql()),
     "query_entries": (query_entries, f"SELECT id, 'ZH' AS label, string_agg(traditional, ',' ORDER BY tok_pos, idx_pos) AS traditional FROM ({_ENTRY_JOIN}) GROUP BY id"),
     "entry_join": (entry_join, _ENTRY_JOIN),
+    "sql_token_rows": (sql_token_rows, _TOKENS.format(_han_sql(1))),
+    "sql_hit_rows": (sql_hit_rows, _ENTRY_JOIN),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tonglex.functions import syllables, text
 from tonglex.functions.convert import Scripts
 from tonglex.operators.lookup import HITS, packed
-from tonglex.operators.segment import Segmenter
+from tonglex.operators.segment import tokens_function
 from tonglex.sources.lexicon import Lexicon
 
 
@@ -21,15 +21,14 @@ def register(spark: SparkSession, lexicon: Lexicon, prefix: str = "") -> None:
     lexicon.views(prefix)
     scripts = Scripts(lexicon.pairs())
     to_t, to_s = scripts.simplified_to_traditional.convert, scripts.traditional_to_simplified.convert
-    segment = Segmenter([r["key"] for r in lexicon.headwords.collect()]).tokens
     for name, kind, f in (
-        ("tokenize", "array<string>", segment),
         ("simplified_to_traditional", "string", to_t),
         ("traditional_to_simplified", "string", to_s),
         ("is_traditional", "boolean", lambda x: None if x is None else to_t(x) == x),
         ("is_simplified", "boolean", lambda x: None if x is None else to_s(x) == x),
     ):
         spark.udf.register(f"{prefix}{name}", F.pandas_udf(_mapped(f), kind))
+    spark.udf.register(f"{prefix}tokenize", tokens_function(spark.sparkContext.broadcast(packed(lexicon).value.kinds["chinese"].buffer)))
     _register_texts(spark, prefix)
     _register_lookups(spark, lexicon, prefix)
 
