@@ -35,6 +35,7 @@ FILTER_BYTES = 32 << 20  # of each filter
 MISTAKES = 1 << 20  # fingerprints of spans that are no keys, which tasks are sent
 SEGMENT = 1 << 19  # places of one set of running sums
 SLICE_BYTES = 4 << 20
+AT_ONCE = 1 << 21  # spans whose fingerprints a task compares
 JOINER = "%20"  # between the words of an English key
 CHUNK = 1 << 16  # places of a text that are looked at together
 HOT, HOT_KEYS, SALTS = 500, 256, 32
@@ -304,17 +305,25 @@ def numbered(kept: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def _candidates(df: DataFrame, text: Column, ladder: Broadcast, words: int) -> DataFrame:
-    """(hi, lo), once for each slice of texts that has spans of that fingerprint."""
+    """(hi, lo) of spans that may be keys; a task gives each out once for every AT_ONCE spans."""
+
+    def once(found: list[tuple]) -> pa.RecordBatch:
+        hi, lo = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        _, first = np.unique(hi ^ (lo << 1), return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(hi[first]), pa.array(lo[first])], names=["hi", "lo"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ladder.value
+        known, found, size = ladder.value, [], 0
         for batch in _sliced(batches, "_t"):
             texts = batch.column("_t").fill_null("").to_pylist()
-            found = list(word_probes(texts, known, words) if words else character_probes(texts, known))
-            if found:
-                hi, lo = (np.concatenate([f[k] for f in found]) for k in (3, 4))
-                _, first = np.unique(hi ^ (lo << 1), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hi[first]), pa.array(lo[first])], names=["hi", "lo"])
+            for *_, hi, lo in word_probes(texts, known, words) if words else character_probes(texts, known):
+                found.append((hi, lo))
+                size += len(hi)
+            if size >= AT_ONCE:
+                yield once(found)
+                found, size = [], 0
+        if found:
+            yield once(found)
 
     return df.select(text.alias("_t")).mapInArrow(run, "hi long, lo long")
 
