@@ -354,3 +354,27 @@ def test_conversion_by_joins_equals_in_place(spark, lexicon):
         assert rows[0] == rows[1] and len(rows[0]) == 65
     with pytest.raises(ValueError, match="script"):
         converted(t, "id", "t", one, "cursive")
+
+
+def test_dictionary_text(spark, tmp_path):
+    from tonglex.sources import dictionary
+
+    good = ["電腦 电脑 [dian4 nao3] /computer/", "綠 绿 [lu:4] /green/", "西瓜 西瓜 [xi1 gua1] /watermelon/melon of the west/", "好 好 [hao3] /good/", "朵兒 朵儿 [duo3 r5] /flower/", "優 优 [You1] /fine/"]
+    bad = ["no brackets here", "西瓜 西瓜 [xi1 gua1]", "一 [yi1] /one/"]
+    lines = ["# a remark", good[0], bad[0], "", *good[1:4], bad[1], good[4] + "\r", bad[2], good[5]]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.u8").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "d" / "two.u8").write_bytes(b"\xff\xfe [x] /y/\n")
+    (tmp_path / "d" / "_ignored").write_text("x")
+    dictionary.register(spark)
+    for split in (1, 7, 40, 1 << 20):
+        got = spark.read.format("dictionary_text").option("split_bytes", split).load(str(tmp_path / "d")).collect()
+        assert sorted(r["traditional"] for r in got if r["damaged"] is None) == sorted(g.split()[0] for g in good)
+        assert sorted(r["damaged"] for r in got if r["damaged"] and "\ufffd" not in r["damaged"]) == sorted(bad) and len(got) == 10
+    e = dictionary.entries_of(spark.read.format("dictionary_text").load(str(tmp_path / "d")))
+    assert {r["pinyin_marks"] for r in e.collect()} == {"diàn nǎo", "lǜ", "xī guā", "hǎo", "duǒ r", "Yōu"}
+    x = Lexicon.of(e)
+    x.check()
+    assert [len(r["hits"]) for r in query(texts(spark, "watermelon", "电脑", "lu:4", "dian4nao3"), "id", "t", x).orderBy("id").collect()] == [1, 1, 1, 1]
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("dictionary_text").load(str(tmp_path / "none")).count() == 0

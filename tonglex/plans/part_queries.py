@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonglex.functions.text import normalize
 from tonglex.operators.lookup import chinese_index, query, query_by_chinese
 from tonglex.operators.rewrite import converted
+from tonglex.sources import dictionary
 from tonglex.sources.lexicon import ENTRY, Lexicon
 from tonglex.sources.staged import delete_later, shared_folder
 
@@ -98,6 +99,18 @@ def query_edge_cases(spark, sf_dir):
     return query(separated(spark, sf_dir), "id", "text", part_lexicon(spark)).select("id", "label", F.coalesce(hits, F.lit("-")).alias("hits"))
 
 
+def dictionary_lines(spark, sf_dir):
+    """Entries of parts as dictionary text, read back by the data source in small splits; lines without brackets come back as damaged."""
+    e = part_entries(spark, sf_dir)
+    line = F.concat_ws(" ", "traditional", "simplified", F.when(F.col("word_id") % 7 != 0, F.concat(F.lit("[bu4 jian4 "), "word_id", F.lit("]"))).otherwise(F.col("word_id").cast("string")), F.concat(F.lit("/"), F.array_join("english", "/"), F.lit("/")))
+    path = f"{shared_folder(spark)}/dictionary-{uuid.uuid4().hex}"
+    e.select(F.explode(F.array(F.concat(F.lit("# "), "word_id"), line)).alias("value")).write.text(path)
+    delete_later(spark, path)
+    dictionary.register(spark)
+    d = spark.read.format("dictionary_text").option("split_bytes", 4096).load(path)
+    return d.select("traditional", "simplified", "pinyin_numbers", F.size("english").cast("long").alias("n_english"), "damaged")
+
+
 #: Phrases whose characters do not correspond: simplified, traditional.
 IRREGULAR = (("螺栓大", "巨釘"), ("戒指蓝", "寶藍指環"), ("小玩意新", "新奇小玩意"))
 
@@ -160,6 +173,11 @@ PART = {
     "headword_union": (headword_union, _HEADS),
     "self_segmentation": (self_segmentation, f"SELECT key, true AS same, true AS one_token FROM ({_HEADS})"),
     "normalize_edge_cases": (normalize_edge_cases, f"SELECT id, {normal_sql('text')} AS general, {normal_sql('text', True)} AS pinyin FROM {_SEPARATED}"),
+    "dictionary_lines": (
+        dictionary_lines,
+        f"""SELECT CASE WHEN ok THEN traditional END AS traditional, CASE WHEN ok THEN simplified END AS simplified, CASE WHEN ok THEN 'bu4 jian4 ' || word_id END AS pinyin_numbers,
+        CASE WHEN ok THEN 2::BIGINT END AS n_english, CASE WHEN NOT ok THEN concat_ws(' ', traditional, simplified, word_id, '/' || p_name || '/part ' || word_id || '/') END AS damaged FROM (SELECT *, word_id % 7 <> 0 AS ok FROM {_E})""",
+    ),
     "to_traditional_join": (to_traditional_join, f"SELECT id, {_phrases_sql(1, 2)} AS converted, {_phrases_sql(1, 2)} = text AS same FROM {_BOTH}"),
     "to_simplified_join": (to_simplified_join, f"SELECT id, {_phrases_sql(2, 1)} AS converted, {_phrases_sql(2, 1)} = text AS same FROM {_han_sql(2)}"),
     "query_edge_cases": (query_edge_cases, _dispatch_sql(f"SELECT id, text FROM {_SEPARATED}")),
