@@ -21,7 +21,7 @@ from tonglex.sources.lexicon import Lexicon
 from tonglex.sources.staged import staged
 
 from .packed import LONGEST, Keys, Packed, sliced
-from .prefixes import CHUNK, hot_join, longest_matches
+from .prefixes import CHUNK, Prepared, hot_join, longest_matches
 from .segment import tokenize_join
 
 HITS = "array<struct<tok_pos:int,idx_pos:int,word_id:bigint>>"
@@ -36,8 +36,7 @@ def packed(lexicon: Lexicon) -> Broadcast:
     if not lexicon.small():
         raise ValueError(f"the index has over {lexicon.broadcast_rows} rows or {lexicon.broadcast_bytes} bytes of keys")
     if lexicon.sent is None:
-        part = lambda kind: lexicon.index.where(F.col("kind") == kind).select("key", "pos", "word_id")
-        frames = {"english": part("english"), "pinyin": part("pinyin"), "chinese": chinese_index(lexicon)}
+        frames = {"english": lexicon.part("english"), "pinyin": lexicon.part("pinyin"), "chinese": chinese_index(lexicon)}
         lexicon.sent = lexicon.index.sparkSession.sparkContext.broadcast(Packed({k: Keys.of(df.toArrow()) for k, df in frames.items()}))
     return lexicon.sent
 
@@ -78,22 +77,18 @@ def _by_token(tokens: DataFrame, doc: str, index: DataFrame) -> DataFrame:
     return tokens.join(index, tokens["token"] == index["key"]).select(doc, *more, F.col("tok_pos").cast("int").alias("tok_pos"), F.col("pos").alias("idx_pos"), "word_id")
 
 
-def _by_hot_token(tokens: DataFrame, doc: str, index: DataFrame) -> DataFrame:
-    """As _by_token, for an index of any size and tokens that may be in every text."""
+def _by_hot_token(tokens: DataFrame, doc: str, index: DataFrame, keyed: bool = False) -> DataFrame:
+    """As _by_token, for an index of any size and tokens that may be in every text; keyed: the index is laid out by key."""
     own = staged(tokens, "tokens")
     more = [c for c in own.columns if c not in (doc, "tok_pos", "token")]
-    found = hot_join(own, "token", index.select(F.col("key").alias("token"), "pos", "word_id"), [doc, "tok_pos"])
+    found = hot_join(own, "token", index.select(F.col("key").alias("token"), "pos", "word_id"), [doc, "tok_pos"], keyed)
     return found.select(doc, *more, F.col("tok_pos").cast("int").alias("tok_pos"), F.col("pos").alias("idx_pos"), "word_id")
 
 
-def _index(lexicon: Lexicon, kind: str) -> DataFrame:
-    return lexicon.index.where(F.col("kind") == kind).select("key", "pos", "word_id")
-
-
 def query_by_simplified(df: DataFrame, doc: str, text: str, lexicon: Lexicon, kind: str = "simplified") -> DataFrame:
     """The raw text as one exact key: no trimming, folding or segmentation."""
-    tokens, index = df.select(doc, F.lit(0).alias("tok_pos"), F.col(text).alias("token")), _index(lexicon, kind)
-    return _by_token(tokens, doc, F.broadcast(index)) if lexicon.small() else _by_hot_token(tokens, doc, index)
+    tokens, index = df.select(doc, F.lit(0).alias("tok_pos"), F.col(text).alias("token")), lexicon.part(kind)
+    return _by_token(tokens, doc, F.broadcast(index)) if lexicon.small() else _by_hot_token(tokens, doc, index, lexicon.keyed)
 
 
 def query_by_traditional(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
@@ -102,8 +97,10 @@ def query_by_traditional(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -
 
 def chinese_index(lexicon: Lexicon) -> DataFrame:
     """(key, pos, word_id): a key's simplified ids, then those traditional ones that are not among them; inner repeats stay."""
-    s = lexicon.index.where("kind = 'simplified'").select("key", "pos", "word_id")
-    t = lexicon.index.where("kind = 'traditional'").select("key", "pos", "word_id").join(s.select("key", "word_id"), ["key", "word_id"], "left_anti")
+    if lexicon.keyed:
+        return lexicon.part("chinese")
+    s = lexicon.part("simplified")
+    t = lexicon.part("traditional").join(s.select("key", "word_id"), ["key", "word_id"], "left_anti")
     both = s.select("key", F.lit(0).alias("part"), "pos", "word_id").unionByName(t.select("key", F.lit(1).alias("part"), "pos", "word_id"))
     order = Window.partitionBy("key").orderBy("part", "pos")
     return both.select("key", (F.row_number().over(order) - 1).alias("pos"), "word_id")
@@ -113,11 +110,11 @@ def query_by_chinese(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> Da
     """Segment the raw text, then the entries of every token; tokens are not compared with one another."""
     if lexicon.small():
         return _rows_found(df, doc, F.col(text), lexicon, "chinese")
-    return _by_hot_token(tokenize_join(df, doc, text, lexicon.headwords), doc, chinese_index(lexicon))
+    return _by_hot_token(tokenize_join(df, doc, text, lexicon.to_match("chinese")), doc, chinese_index(lexicon), lexicon.keyed)
 
 
 def _pinyin_by_join(df: DataFrame, doc: str, normal: Column, lexicon: Lexicon) -> DataFrame:
-    return _by_hot_token(df.select(doc, F.posexplode(words(normal)).alias("tok_pos", "token")), doc, _index(lexicon, "pinyin"))
+    return _by_hot_token(df.select(doc, F.posexplode(words(normal)).alias("tok_pos", "token")), doc, lexicon.part("pinyin"), lexicon.keyed)
 
 
 def query_by_pinyin(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> DataFrame:
@@ -126,7 +123,7 @@ def query_by_pinyin(df: DataFrame, doc: str, text: str, lexicon: Lexicon) -> Dat
     return _rows_found(df, doc, normal, lexicon, "pinyin") if lexicon.small() else _pinyin_by_join(df, doc, normal, lexicon)
 
 
-def english_tokens_join(df: DataFrame, doc: str, normal: Column, keys: DataFrame) -> DataFrame:
+def english_tokens_join(df: DataFrame, doc: str, normal: Column, keys: DataFrame | Prepared) -> DataFrame:
     """(doc, row, tok_pos, n, token) of leftmost-longest matches by joins, for keys of any number; row tells the rows of df apart."""
     kept = longest_matches(df, doc, F.lower(normal), keys, LONGEST)
     return kept.select(F.col("doc").alias(doc), "row", F.col("p").alias("tok_pos"), "n", F.col("key").alias("token"))
@@ -144,8 +141,8 @@ def adjacent_dedup(hits: DataFrame, doc: str) -> DataFrame:
 
 
 def _english_by_join(df: DataFrame, doc: str, normal: Column, lexicon: Lexicon) -> DataFrame:
-    index = _index(lexicon, "english")
-    hits = _by_hot_token(english_tokens_join(df, doc, normal, index), doc, index)
+    tokens = english_tokens_join(df, doc, normal, lexicon.to_match("english"))
+    hits = _by_hot_token(tokens, doc, lexicon.part("english"), lexicon.keyed)
     return adjacent_dedup(hits, "row").select(doc, "tok_pos", "idx_pos", "word_id")
 
 

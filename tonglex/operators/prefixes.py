@@ -135,6 +135,25 @@ def _with_prints(keys: DataFrame) -> DataFrame:
     return keys.mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
 
 
+@dataclass
+class Prepared:
+    """Keys ready to be matched any number of times: with their fingerprints, what tasks are sent, and the longest."""
+
+    own: DataFrame
+    ladder: Broadcast
+    longest: int
+
+
+def with_fingerprints(keys: DataFrame) -> DataFrame:
+    """(key, hi, lo) of the different keys; none for an empty key."""
+    return _with_prints(keys.select("key").where("key <> ''").distinct())
+
+
+def prepared(own: DataFrame, words: int = 0, filter_bytes: int = FILTER_BYTES) -> Prepared:
+    """own(key, hi, lo), which is read again for every use."""
+    return Prepared(own, *ladder_of(own, bool(words), filter_bytes))
+
+
 # Texts --------------------------------------------------------------------------------------
 
 
@@ -224,13 +243,19 @@ def probes(df: DataFrame, doc: str, text: Column, ladder: Broadcast, words: int
     return d.mapInArrow(run, T.StructType([long("row"), T.StructField("doc", d.schema["_d"].dataType), long("p"), T.StructField("n", T.IntegerType()), long("hi"), long("lo")]))
 
 
-def hot_join(left: DataFrame, on: str, right: DataFrame, spread: list[str]) -> DataFrame:
+def hot_join(left: DataFrame, on: str, right: DataFrame, spread: list[str], keyed: bool = False) -> DataFrame:
     """left joined to right on the column `on`, where few values may hold many rows of left: those of over 1 / HOT of the rows, as
-    an approximate count finds them, are dealt over SALTS tasks by the columns `spread`, and their rows of right copied to each."""
+    an approximate count finds them, are dealt over SALTS tasks by the columns `spread`, and their rows of right copied to each.
+    keyed: right is laid out by `on`; it stays where it is, and only its rows of the heavy values are read again and copied."""
     n, top = left.select(F.count("*").alias("n"), F.expr(f"approx_top_k({on}, {HOT_KEYS}, {40 * HOT_KEYS})").alias("top")).first()
     heavy = [r["item"] for r in top or () if r["count"] * HOT > n and r["item"] is not None]
     if not heavy:
         return left.join(right, on)
+    if keyed:
+        among = F.col(on).isin(heavy)
+        salted = left.where(among).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+        copied = right.where(among).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return left.where(~among).join(right, on).unionByName(salted.join(copied, [on, "_salt"]).drop("_salt"))
     salt = F.when(F.col(on).isin(heavy), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
     copies = F.explode(F.when(F.col(on).isin(heavy), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     return left.withColumn("_salt", salt).join(right.withColumn("_salt", copies), [on, "_salt"]).drop("_salt")
@@ -378,15 +403,17 @@ def _in_place(df: DataFrame, doc: str, text: Column, ladder: Broadcast, mistakes
     return d.mapInArrow(run, T.StructType([long("row"), T.StructField("doc", d.schema["_d"].dataType), long("tok_pos"), long("p"), T.StructField("n", T.IntegerType()), T.StructField("key", T.StringType())]))
 
 
-def longest_matches(df: DataFrame, doc: str, text: Column, keys: DataFrame, words: int = 0, filter_bytes: int = FILTER_BYTES, chunk: int = CHUNK, mistakes: int = MISTAKES) -> DataFrame:
+def longest_matches(df: DataFrame, doc: str, text: Column, keys: DataFrame | Prepared, words: int = 0, filter_bytes: int = FILTER_BYTES, chunk: int = CHUNK, mistakes: int = MISTAKES) -> DataFrame:
     """(row, doc, tok_pos, p, n, key) of leftmost-longest matches of keys(key) in every text of df; row tells the rows of df apart,
     whatever their ids; tok_pos numbers a text's matches. words: as in probes. Null and empty texts, and empty keys, match nothing."""
-    own = staged(_with_prints(keys.select("key").where("key <> ''").distinct()), "keys")
-    ladder, longest = ladder_of(own, bool(words), filter_bytes)
+    ready = keys if isinstance(keys, Prepared) else prepared(staged(with_fingerprints(keys), "keys"), words, filter_bytes)
+    own, ladder = ready.own, ready.ladder
     wrong = _mistakes(df, text, own, ladder, words, mistakes)
     if wrong is not None:
-        dropped(own)
+        if ready is not keys:
+            dropped(own)
         return staged(_in_place(df, doc, text, ladder, df.sparkSession.sparkContext.broadcast(wrong), words), "matches")
     found = staged(probes(df, doc, text, ladder, words), "probes")
     hits = hot_join(found, "hi", own.withColumnRenamed("lo", "lo_"), ["row", "p"]).where("lo = lo_").select("row", "doc", "p", "n", "key")
-    return numbered(greedy_kept(hits, words or longest, chunk, found, own), chunk).select("row", "doc", "tok_pos", "p", "n", "key")
+    used = (found,) if ready is keys else (found, own)
+    return numbered(greedy_kept(hits, words or ready.longest, chunk, *used), chunk).select("row", "doc", "tok_pos", "p", "n", "key")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tonglex.functions.automaton import Automaton
 
 from .packed import SLICE_BYTES, segments
-from .prefixes import longest_matches
+from .prefixes import Prepared, longest_matches
 
 REGEX_KEYS = 300
 
@@ -72,6 +72,6 @@ def tokenize(text: Column, keys: list[str]) -> Column:
     return regex_tokens(text, keys) if len(set(keys)) <= REGEX_KEYS else Segmenter(keys)(text)
 
 
-def tokenize_join(df: DataFrame, doc: str, text: str, headwords: DataFrame) -> DataFrame:
+def tokenize_join(df: DataFrame, doc: str, text: str, headwords: DataFrame | Prepared) -> DataFrame:
     """(doc, tok_pos, token) by joins, for headwords of any number and texts of any length; each row of df for itself, whatever its id."""
     return longest_matches(df, doc, F.col(text), headwords).select(F.col("doc").alias(doc), "tok_pos", F.col("key").alias("token"))

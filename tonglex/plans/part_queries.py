@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonglex.functions.text import normalize
+from tonglex.operators.keyed import KeyedLexicon, lay_out
 from tonglex.operators.lookup import chinese_index, query, query_by_chinese
 from tonglex.operators.rewrite import converted
 from tonglex.sources import dictionary
@@ -82,6 +83,21 @@ def self_segmentation(spark, sf_dir):
     return j.select("key", (F.coalesce("n", F.lit(0)) == F.col("want")).alias("same"), (F.col("last") == 0).alias("one_token"))
 
 
+def keyed_lookup(spark, sf_dir):
+    """Names and numbers of all parts, in Han and in English, looked up with their entries in a lexicon of all parts laid out by key."""
+    path = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}"
+    e = part_entries(spark, sf_dir)
+    Lexicon.of(e).write(path)
+    delete_later(spark, path)
+    lay_out(spark, path)
+    x = KeyedLexicon.open(spark, path)
+    x.broadcast_rows = 0  # as if it were larger than what tasks are sent
+    han = e.select(F.col("word_id").alias("id"), F.concat("simplified", F.lit("、"), "traditional").alias("text"))
+    english = e.select((F.col("word_id") + 1_000_000_000).alias("id"), F.concat(F.lit("See part "), F.col("word_id").cast("string"), F.lit(", please.")).alias("text"))
+    hits = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["tok_pos"], h["idx_pos"], h["word_id"], h["entry"]["traditional"])), ",")
+    return query(han.unionByName(english), "id", "text", x, entries=True).select("id", "label", hits.alias("hits"))
+
+
 def separated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text): words of part names with a separator of BETWEEN inside and around."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.split("p_name", " ").alias("w"))
@@ -172,6 +188,11 @@ PART = {
     "index_integrity": (index_integrity, f"SELECT kind, count(*) AS n, count(DISTINCT word_id) AS n_ids, count(DISTINCT key) AS n_keys FROM ({_INDEX}) GROUP BY kind"),
     "headword_union": (headword_union, _HEADS),
     "self_segmentation": (self_segmentation, f"SELECT key, true AS same, true AS one_token FROM ({_HEADS})"),
+    "keyed_lookup": (
+        keyed_lookup,
+        f"""SELECT word_id AS id, 'ZH' AS label, '0:0:' || word_id || ':' || traditional || ',1:0:' || word_id || ':' || traditional AS hits FROM {_E}
+        UNION ALL SELECT word_id + 1000000000, 'EN', '1:0:' || word_id || ':' || traditional FROM {_E}""",
+    ),
     "normalize_edge_cases": (normalize_edge_cases, f"SELECT id, {normal_sql('text')} AS general, {normal_sql('text', True)} AS pinyin FROM {_SEPARATED}"),
     "dictionary_lines": (
         dictionary_lines,

@@ -44,6 +44,8 @@ def current_version(spark: SparkSession, path: str) -> str | None:
 
 
 class Lexicon:
+    keyed = False  # whether the tables are laid out by key (operators.keyed)
+
     def __init__(self, entries: DataFrame, index: DataFrame, broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES):
         self.entries, self.index, self.broadcast_rows, self.broadcast_bytes = entries, index, broadcast_rows, broadcast_bytes
         self.sent: Broadcast | None = None  # keys and entries that tasks have
@@ -54,6 +56,14 @@ class Lexicon:
     def headwords(self) -> DataFrame:
         return self.index.where(F.col("kind").isin("simplified", "traditional")).select("key").distinct()
 
+    def part(self, kind: str) -> DataFrame:
+        """(key, pos, word_id) of a kind of keys."""
+        return self.index.where(F.col("kind") == kind).select("key", "pos", "word_id")
+
+    def to_match(self, kind: str) -> DataFrame:
+        """The keys that texts are searched for: of English, or headwords."""
+        return self.part("english") if kind == "english" else self.headwords
+
     @staticmethod
     def read(spark: SparkSession, path: str, check: bool = True, version: str | None = None) -> Lexicon:
         """The current version of a store, or a named one. Explicit schemas; check() raises on a damaged lexicon."""
