@@ -185,6 +185,31 @@ def sql_hit_rows(spark, sf_dir):
     )
 
 
+def table_token_rows(spark, sf_dir):
+    """Tokens as rows by a table function."""
+    _sql_names(spark, sf_dir, 1)
+    return spark.sql("SELECT id, CAST(tok_pos AS BIGINT) AS tok_pos, token FROM part_token_rows(TABLE(part_texts), 'id', 'text')")
+
+
+def table_hit_rows(spark, sf_dir):
+    """Hits as rows by a table function, joined to the view of entries."""
+    _sql_names(spark, sf_dir, 1)
+    return spark.sql(
+        """SELECT id, CAST(tok_pos AS BIGINT) AS tok_pos, CAST(idx_pos AS BIGINT) AS idx_pos, word_id, traditional, simplified
+        FROM part_hit_rows(TABLE(part_texts), 'id', 'text') JOIN part_entries USING (word_id)"""
+    )
+
+
+def table_english_rows(spark, sf_dir):
+    """Hits of every document's English words by a table function over a query, counted by entry."""
+    register(spark, part_lexicon(spark), "part_")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("all_documents")
+    return spark.sql(
+        """SELECT word_id, count(*) AS n_hits, count(DISTINCT doc_id) AS n_documents
+        FROM part_hit_rows(TABLE(SELECT doc_id, concat(lower(part_normalize(text)), ' red bolt') AS given FROM all_documents), 'doc_id', 'given', 'english') GROUP BY word_id"""
+    )
+
+
 def _dispatch_sql(texts: str | None = None) -> str:
     texts = texts or f"""SELECT id, text FROM {_han_sql(1)} UNION ALL SELECT id + 1000000, text FROM {_han_sql(3)}
     UNION ALL SELECT p_partkey::BIGINT + 2000000, p_name || ', boat!' FROM part UNION ALL SELECT r_regionkey::BIGINT + 3000000, '?!。' FROM region"""
@@ -200,6 +225,15 @@ l AS (SELECT id, string_agg(p || ':' || pos || ':' || word_id, ',' ORDER BY p, p
 SELECT n.id, label, CASE WHEN label = 'UN' THEN '-' ELSE coalesce(hits, '') END AS hits FROM n LEFT JOIN l ON n.id = l.id"""
 
 
+def _english_rows_sql() -> str:
+    keys = _values([(quoted(w[0]), f"{i}::BIGINT") for i, w in enumerate(PART_WORDS, 1)] + [("'few'", "90::BIGINT"), ("'heat'", "91::BIGINT")], "key, word_id")
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(string_split(lower({normal_sql("text")}) || ' red bolt', ' '), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS p FROM d),
+h AS (SELECT doc_id, word_id, lag(word_id) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN {keys} ON token = key)
+SELECT word_id, count(*) AS n_hits, count(DISTINCT doc_id) AS n_documents FROM h WHERE before IS NULL OR before <> word_id GROUP BY word_id"""
+
+
 def norm_of_han(spark, sf_dir):
     return part_texts(spark, sf_dir).select("id", normalize(F.col("text")).alias("norm"))
 
@@ -233,4 +267,7 @@ LEXICON = {
     "entry_join": (entry_join, _ENTRY_JOIN),
     "sql_token_rows": (sql_token_rows, _TOKENS.format(_han_sql(1))),
     "sql_hit_rows": (sql_hit_rows, _ENTRY_JOIN),
+    "table_token_rows": (table_token_rows, _TOKENS.format(_han_sql(1))),
+    "table_hit_rows": (table_hit_rows, _ENTRY_JOIN),
+    "table_english_rows": (table_english_rows, _english_rows_sql()),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonglex.functions import syllables, text
 from tonglex.functions.convert import Scripts
+from tonglex.operators import table_functions
 from tonglex.operators.lookup import HITS, packed
 from tonglex.operators.segment import tokens_function
 from tonglex.sources.lexicon import Lexicon
@@ -14,7 +15,8 @@ from tonglex.sources.lexicon import Lexicon
 
 def register(spark: SparkSession, lexicon: Lexicon, prefix: str = "") -> None:
     """Views entries, index, headwords; functions normalize, normalize_pinyin, classify, query, query_by_english, query_by_pinyin,
-    query_by_chinese, tokenize, simplified_to_traditional, traditional_to_simplified, is_simplified, is_traditional.
+    query_by_chinese, tokenize, simplified_to_traditional, traditional_to_simplified, is_simplified, is_traditional; table functions
+    token_rows(TABLE(t), 'id', 'text') and hit_rows(TABLE(t), 'id', 'text'[, kind]), with a row for each token or hit.
 
     For a lexicon of checked size; a larger one raises, and takes the DataFrame functions instead.
     """
@@ -28,7 +30,9 @@ def register(spark: SparkSession, lexicon: Lexicon, prefix: str = "") -> None:
         ("is_simplified", "boolean", lambda x: None if x is None else to_s(x) == x),
     ):
         spark.udf.register(f"{prefix}{name}", F.pandas_udf(_mapped(f), kind))
-    spark.udf.register(f"{prefix}tokenize", tokens_function(spark.sparkContext.broadcast(packed(lexicon).value.kinds["chinese"].buffer)))
+    buffer = spark.sparkContext.broadcast(packed(lexicon).value.kinds["chinese"].buffer)
+    spark.udf.register(f"{prefix}tokenize", tokens_function(buffer))
+    table_functions.register(spark, buffer, packed(lexicon), prefix)
     _register_texts(spark, prefix)
     _register_lookups(spark, lexicon, prefix)
 
