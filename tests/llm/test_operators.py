@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import lzma
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -790,10 +791,63 @@ def test_license_scan(documents):
     rows += [(100, None), (101, ""), (None, license_scan.TEMPLATES["MIT"]), (102, prose(20000) + " " + license_scan.TEMPLATES["BSD"])]
     for d, t in rows:
         s = license_scan.shingle_hashes(license_scan.normal_words((t or "").encode()), 5) if t else np.zeros(0)
-        for template in license_scan.Scanner(license_scan.TEMPLATES).templates:
+        for template in license_scan.Scanner(license_scan.TEMPLATES.items()).templates:
             n = 2 * len(template.shingles)
             if any(len(np.intersect1d(s[k : k + n], template.shingles)) >= 0.8 * len(template.shingles) for k in range(max(1, len(s)))):
                 want.add((d, template.name))
     got = {(r["doc_id"], r["template"]) for r in license_scan.scan_licenses(documents(rows)).collect()}
     assert got == want and len(want) > 40
     assert license_scan.scan_licenses(documents([])).count() == 0
+    assert license_scan.scan_licenses(documents(rows), {}).count() == 0
+
+
+def made_templates(n, rng):
+    """Of one shingle up to 900 words, of words of their own."""
+    return [(f"t{k}", " ".join(f"w{rng.randrange(10**6)}" for _ in range((5, 6, 8, 30, 120, 900)[k % 6]))) for k in range(n)]
+
+
+def test_license_texts_from_a_table(spark, documents):
+    rng = random.Random(11)
+    made = made_templates(60, rng)
+    rows, want = [], []
+    for d in range(150):
+        name, text = made[d % 60]
+        words = text.split()
+        if len(words) > 20 and d % 2:
+            at = rng.randrange(len(words))
+            words[at : at + 1] = ["other"]  # a word changed
+        before, after = rng.randint(0, 300), rng.randint(0, 40)
+        rows.append((d, " ".join([*prose(before, rng).split(), *words, *prose(after, rng).split()])))
+        want.append((d, name))
+    rows += rows[:2]  # repeated rows stay
+    table = spark.createDataFrame(made, "name string, text string")
+    for size in (license_scan.BLOCK_BYTES, 2000):  # one block, and many
+        got = license_scan.scan_licenses(documents(rows), table, block_bytes=size).select("doc_id", "template").collect()
+        assert sorted(map(tuple, got)) == sorted(want + want[:2])
+    with pytest.raises(ValueError):
+        license_scan.scan_licenses(documents(rows), spark.createDataFrame([("short", "a b"), ("null", None)], "name string, text string"))
+
+
+def test_one_shingle_templates_are_never_missed():
+    scanner = license_scan.Scanner([("short", "one two three four five")])
+    rng = random.Random(4)
+    for _ in range(3000):
+        words = [f"x{rng.randrange(10**9)}" for _ in range(40)]
+        at = rng.randrange(40)
+        words[at:at] = "One two three, four five".split()
+        assert scanner.matches(" ".join(words).encode()) == [("short", at, at + 5, 1.0)]
+
+
+def test_time_does_not_follow_the_number_of_templates():
+    rng = random.Random(5)
+    text = " ".join(f"v{rng.randrange(10**6)}" for _ in range(200_000)).encode()
+    seconds = []
+    for n in (12, 12_000):
+        scanner = license_scan.Scanner((k, v[:400].rsplit(" ", 1)[0] if len(v) > 400 else v) for k, v in made_templates(n, rng))
+        best = 9e9
+        for _ in range(3):
+            start = time.perf_counter()
+            assert scanner.matches(text) == []
+            best = min(best, time.perf_counter() - start)
+        seconds.append(best)
+    assert seconds[1] < 4 * seconds[0], seconds  # a thousand times as many templates
