@@ -8,7 +8,7 @@ one if more conversations have its hash as a prefix than have it as their whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -48,30 +48,39 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
     return whole.join(prefixes, same & (prefixes["n_prefix"] > whole["n_whole"]), "left_anti").select("conv_id", "n_turns")
 
 
+def _plain(text: str, role: str) -> tuple[Column, Column]:
+    """Text and role in which no marker can be read: a backslash goes between < and |, and in roles between | and >, and one more
+    where there are some already, so that the first of them can be taken away again."""
+    opened = lambda c: F.regexp_replace(c, r"<(\\*\|)", r"<\\$1")
+    return opened(text), F.regexp_replace(opened(role), r"\|(\\*>)", r"|\\$1")
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) -> conv_id, turn, n_turns, rendered: a row per turn of each maximal conversation.
 
     Turns stay rows, so that no conversation has to fit into one; joined in order of turn and rendered they are the
-    formatted chat. Defined results: a null turn counts as -1, a null role or text as empty; exactly repeated rows
+    formatted chat. Markers in texts and roles are escaped, so a turn renders as one turn. Defined results: a null turn counts as -1, a null role or text as empty; exactly repeated rows
     count once; rows without conv_id form one conversation; an empty table gives none; other columns are ignored.
     """
     kept = maximal_conversations(conversations).withColumnRenamed("conv_id", "kept_id")
     t = _rows(conversations)
     t = t.join(kept, t["conv_id"].eqNullSafe(F.col("kept_id"))).select("conv_id", "turn", "n_turns", "role", "text").distinct()
-    return t.select("conv_id", "turn", "n_turns", F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.trim("text"), F.lit("<|end|>\n")).alias("rendered"))
+    text, role = _plain("text", "role")
+    return t.select("conv_id", "turn", "n_turns", F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(text), F.lit("<|end|>\n")).alias("rendered"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 r AS (SELECT conv_id, turn, string_agg(role || chr(1) || text, chr(2) ORDER BY role, text) AS s FROM t GROUP BY conv_id, turn),
 p AS (SELECT conv_id, turn, sha256(string_agg(turn || chr(3) || s, chr(4)) OVER w) AS h, lead(turn) OVER w IS NULL AS last
     FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 k AS (SELECT min(conv_id) AS conv_id, count(*) AS c FROM p WHERE last AND h NOT IN (SELECT h FROM p WHERE NOT last) GROUP BY h),
 n AS (SELECT conv_id, count(*) AS n_turns FROM r GROUP BY conv_id)
-SELECT t.conv_id, t.turn, n.n_turns, '<|' || t.role || '|>' || chr(10) || trim(t.text, ' ') || '<|end|>' || chr(10) AS rendered
+SELECT t.conv_id, t.turn, n.n_turns, '<|' || regexp_replace(regexp_replace(t.role, '<(\\*\|)', '<\\\1', 'g'), '\|(\\*>)', '|\\\1', 'g') || '|>' || chr(10)
+    || trim(regexp_replace(t.text, '<(\\*\|)', '<\\\1', 'g'), ' ') || '<|end|>' || chr(10) AS rendered
 FROM t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id JOIN n ON t.conv_id IS NOT DISTINCT FROM n.conv_id
 """
