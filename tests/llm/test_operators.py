@@ -18,6 +18,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
+from pyspark.sql import functions as F
 
 from tonglex.llm import anchors, chat_format, common, components, decontamination, induced, license_scan, packing, quality_rules, secret_scan, sharding, simhash, similar_texts, substring_dedup, tokens, url_filter
 from tonglex.llm.chat_format import format_chats
@@ -115,6 +116,38 @@ def test_sharding_key_moves_only_to_the_new_shard(documents):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+def slow_walk(rows, n, bounded):
+    """Row by row along all virtual nodes: (doc_id, crc32, shard, slot), sorted. rows: (place, hash, doc_id, crc32)."""
+    nodes = {}
+    for s in reversed(range(n)):
+        for v in range(256):
+            nodes[int(hashlib.sha256(f"{s}:{v}".encode()).hexdigest()[:16], 16) % 65536] = s  # the lower shard last
+    clockwise = sorted(nodes)
+    room = [len(rows) // n + (s < len(rows) % n) if bounded else len(rows) for s in range(n)]
+    used, out = [0] * n, []
+    for place, _, doc, crc in sorted(rows, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[3])):
+        ahead = [p for p in clockwise if p >= place] + clockwise
+        s = next(nodes[p] for p in ahead if used[nodes[p]] < room[nodes[p]])
+        out.append((doc is not None, doc or 0, crc, s, used[s]))
+        used[s] += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("law", ["rows", "key"])
+def test_sharding_walks_the_ring(spark, law):
+    rows = [(i if i % 40 else None, prose(i % 4), -i) for i in range(700)] + [(9000, "word " * 200_000, 1), (9001, None, 2)] + [(5, "same", 3)] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int")  # a clashing column
+    h = ["doc_id"] if law == "key" else ["doc_id", "c", "size"]
+    parts = df.select("doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("c"), (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("long").alias("size"))
+    placed = parts.select(F.pmod(F.xxhash64(*h), F.lit(65536)).alias("p"), F.xxhash64(*h).alias("h"), "doc_id", "c").collect()
+    got = sharding.assign_shards(df, 9, law).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["shard"], r["slot"]) for r in got) == slow_walk([tuple(r) for r in placed], 9, law == "rows")
+    if law == "key":
+        grown = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["grown_shard"]) for r in got)
+        assert grown == sorted(x[:4] for x in slow_walk([tuple(r) for r in placed], 10, False))
+    assert sharding.assign_shards(df.where("false"), 9, law).count() == 0
+
+
 def test_bounded_loads_move_little():
     rng = random.Random(3)
     counts = [rng.randint(0, 3) for _ in range(sharding.PLACES)]
