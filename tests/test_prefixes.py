@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tonglex.functions.spans import Filter, Spans, code_points
+from tonglex.operators import prefixes
 from tonglex.operators.lookup import query, query_by_english
 from tonglex.operators.prefixes import hot_join, longest_matches
 from tonglex.operators.segment import Segmenter, tokenize_join
@@ -34,6 +35,24 @@ def test_long_texts_and_repeated_rows(spark):
     assert tokenize_join(df, "id", "t", keyed(spark, [])).isEmpty() and tokenize_join(df.where("false"), "id", "t", keyed(spark, keys)).isEmpty()
 
 
+def test_many_mistakes_are_told_apart_by_filters(spark, monkeypatch):
+    rng = random.Random(11)
+    keys = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    walk = Segmenter(keys)
+    want = sorted(str((i, p, x)) for i, t in enumerate(texts) for p, x in enumerate(walk.tokens(t)))
+    monkeypatch.setattr(prefixes, "greedy_kept", None)  # places are not joined
+    depth = []
+    verdict = prefixes._verdict
+    monkeypatch.setattr(prefixes, "_verdict", lambda *a: (depth.append(verdict(*a)), depth[-1])[1])
+    for most in (1 << 20, 300, 20, 0):  # 11 bits a key: thousands of mistakes
+        got = longest_matches(df, "id", F.col("t"), keyed(spark, keys), filter_bytes=1 << 12, mistakes=most)
+        assert sorted(str((r["doc"], r["tok_pos"], r["key"])) for r in got.collect()) == want
+    levels = [len(v.filters) for v in depth]
+    assert levels == sorted(levels) and levels[0] == 0 and {n % 2 for n in levels[1:]} == {0, 1}, levels
+
+
 def test_a_text_of_many_overlapping_hits(spark):
     n = 150_000
     df = spark.createDataFrame([(1, "abc" * (n // 3))], "id long, t string")

@@ -48,18 +48,29 @@ class Spans:
             np.cumsum(x * _powers(base, len(x))[0][: len(x)], out=sums[1:])
             self.sums.append(sums)
 
+    def begun(self, which: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What ended() needs of the starts of spans, whose ends may be many."""
+        return self.sums[which][starts], _powers(BASES[which], len(self.sums[which]))[1][starts]
+
+    def ended(self, which: int, begun: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[which][ends] - begun[0]) * begun[1] + (ends - starts).astype(np.uint64)).view(np.int64)
+
     def part(self, which: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """One value of the fingerprints of points[start:end], int64."""
-        s = self.sums[which]
-        return _mixed((s[ends] - s[starts]) * _powers(BASES[which], len(s))[1][starts] + (ends - starts).astype(np.uint64)).view(np.int64)
+        return self.ended(which, self.begun(which, starts), starts, ends)
 
     def prints(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fingerprints of points[start:end], as two int64 arrays."""
         return self.part(0, starts, ends), self.part(1, starts, ends)
 
 
+def turned(lo: np.ndarray, k: int) -> np.ndarray:
+    """Values of fingerprints for the filter k of a row of filters, which are to err independently."""
+    return _mixed(lo.view(np.uint64) + np.uint64(k + 1) * np.uint64(0x632BE59BD9B4E019)).view(np.int64)
+
+
 class Filter:
-    """Bits of a set of 64-bit values: whatever is in the set is found, and little else."""
+    """Bits of a set of 64-bit values: whatever is in the set is found, and little else. The bits of a value are in one word."""
 
     PROBES = 3
 
@@ -78,14 +89,18 @@ class Filter:
     def place(values: np.ndarray, probe: int, words: int) -> tuple[np.ndarray, np.ndarray]:
         """(word, bit in it) of a probe of each value."""
         v = values.view(np.uint64)
-        bit = (v + np.uint64(probe) * (v >> np.uint64(33))) & np.uint64(words * 64 - 1)
-        return (bit >> np.uint64(6)).view(np.int64), np.uint64(1) << (bit & np.uint64(63))
+        word = (v >> np.uint64(6 * Filter.PROBES)) & np.uint64(words - 1)
+        return word.view(np.int64), np.uint64(1) << ((v >> np.uint64(6 * probe)) & np.uint64(63))
+
+    @staticmethod
+    def bits(values: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, all bits in it) of each value."""
+        word, bits = Filter.place(values, 0, words)
+        for probe in range(1, Filter.PROBES):
+            bits |= Filter.place(values, probe, words)[1]
+        return word, bits
 
     def found(self, values: np.ndarray) -> np.ndarray:
         """Places of the values that are in the set, and of few others."""
-        left = None
-        for probe in range(self.PROBES):
-            word, bit = self.place(values if left is None else values[left], probe, len(self.words))
-            on = np.flatnonzero(self.words[word] & bit)
-            left = on if left is None else left[on]
-        return left
+        word, bits = self.bits(values, len(self.words))
+        return np.flatnonzero((self.words[word] & bits) == bits)
