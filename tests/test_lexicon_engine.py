@@ -378,3 +378,33 @@ def test_dictionary_text(spark, tmp_path):
     assert [len(r["hits"]) for r in query(texts(spark, "watermelon", "电脑", "lu:4", "dian4nao3"), "id", "t", x).orderBy("id").collect()] == [1, 1, 1, 1]
     (tmp_path / "none").mkdir()
     assert spark.read.format("dictionary_text").load(str(tmp_path / "none")).count() == 0
+
+
+def test_small_splits_share_tasks_and_read_little(spark, tmp_path):
+    import io
+
+    from tonglex.sources import dictionary
+
+    lines = [f"字{i} 字{i} [zi4 {i}] /{'gloss ' * (i % 9)}{i}/" for i in range(3000)]
+    for k in range(3):
+        (tmp_path / f"{k}.u8").write_text("\n".join(lines[k::3]), encoding="utf-8")
+    reader = dictionary.Reader(str(tmp_path), 32)
+    tasks = reader.partitions()
+    assert 100 < len(tasks) <= dictionary.TASKS  # of thousands of splits
+    dictionary.register(spark)
+    got = spark.read.format("dictionary_text").option("split_bytes", 32).load(str(tmp_path)).collect()
+    assert sorted(r["traditional"] for r in got) == sorted(line.split()[0] for line in lines) and len({(r["file"], r["place"]) for r in got}) == 3000
+    assert len(dictionary.Reader(str(tmp_path), 1 << 20).partitions()) == 3
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.taken += len(data)
+            return data
+
+    file = Counted((tmp_path / "0.u8").read_bytes() * 50)
+    assert len(list(dictionary._lines(file, 4096, 8192))) > 10 and file.taken < 6000
+    long = Counted(b"a\n" + b"b" * 3_000_000 + b"\nc\n")
+    assert [len(x) for _, x in dictionary._lines(long, 1, 10)] == [3_000_000] and [x for _, x in dictionary._lines(long, 10, 4_000_000)] == [b"c"]

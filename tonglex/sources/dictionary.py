@@ -1,7 +1,8 @@
 """Dictionary text as a data source: lines `traditional simplified [pin1 yin1] /gloss/gloss/`, # for remarks.
 
 `spark.read.format("dictionary_text").load(path)` after register(spark). A file or a folder of files is split by
-bytes, so a large one is read by many tasks; the schema is fixed, and a line that does not fit is a row with its
+bytes, so a large one is read by many tasks; small splits beyond TASKS go to a task by several, up to SPLIT_BYTES together,
+so that the number of tasks does not follow from the size of a split. The schema is fixed, and a line that does not fit is a row with its
 text in `damaged` instead of an entry.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .lexicon import ENTRY
 
 SCHEMA = "file string, place long, traditional string, simplified string, pinyin_numbers string, english array<string>, damaged string"
-SPLIT_BYTES, ROWS, STEP = 16 << 20, 4096, 1 << 20
+SPLIT_BYTES, TASKS, ROWS, STEP, TAIL = 16 << 20, 400, 4096, 1 << 20, 512
 _LINE = re.compile(r"(\S+) (\S+) \[([^\]]+)\] /(.+)/\s*")
 _MARKS = {v: v + m for v, m in zip("aeiouü", ("āáǎà", "ēéěè", "īíǐì", "ōóǒò", "ūúǔù", "ǖǘǚǜ"), strict=True)}
 
@@ -37,10 +38,10 @@ def with_mark(syllable: str) -> str:
 
 
 @dataclass
-class Split(InputPartition):
-    file: str
-    start: int
-    end: int
+class Task(InputPartition):
+    """Stretches of files (file, start, end), each read in splits."""
+
+    stretches: list[tuple[str, int, int]]
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -51,9 +52,14 @@ def _lines(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(place, line) of the lines that begin in the range; the first one after a cut belongs to the range before."""
     at = max(start - 1, 0)
     file.seek(at)
-    rest, whole = b"", start == 0
+    rest, whole, left, tail = b"", start == 0, end - at, TAIL
     while True:
-        data = file.read(STEP)
+        if left > 0:
+            data = file.read(min(STEP, left))
+            left -= len(data)
+        else:  # the last line goes on behind the range
+            data = file.read(tail)
+            tail = min(2 * tail, STEP)
         parts = (rest + data).split(b"\n")
         rest = parts.pop()
         for line in parts:
@@ -74,13 +80,26 @@ class Reader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int):
         self.path, self.split_bytes = path, split_bytes
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Task]:
         where, top = _opened(self.path)
         info = where.get_file_info(top)
         files = [info] if info.type == fs.FileType.File else [f for f in where.get_file_info(fs.FileSelector(top)) if f.type == fs.FileType.File and f.base_name[0] not in "._"]
-        return [Split(f.path, a, min(a + self.split_bytes, f.size)) for f in sorted(files, key=lambda f: f.path) for a in range(0, f.size, self.split_bytes)] or [Split("", 0, 0)]
-
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+        together = min(SPLIT_BYTES, sum(f.size for f in files) // TASKS)
+        splits = max(-(-together // self.split_bytes), 1)  # of a task
+        out, free = [], 0
+        for f in sorted(files, key=lambda f: f.path):
+            start = 0
+            while start < f.size:
+                if not free:
+                    out.append(Task([]))
+                    free = splits
+                end = min(start + free * self.split_bytes, f.size)
+                out[-1].stretches.append((f.path, start, end))
+                free -= -(-(end - start) // self.split_bytes)
+                start = end
+        return out or [Task([])]
+
+    def read(self, task: Task) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
         rows: list[tuple] = []
@@ -88,14 +107,14 @@ class Reader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
 
-        if split.file:
-            with _opened(self.path)[0].open_input_file(split.file) as file:
-                for at, raw in _lines(file, split.start, split.end):
+        for name, start, end in task.stretches:
+            with _opened(self.path)[0].open_input_file(name) as file:
+                for at, raw in (x for a in range(start, end, self.split_bytes) for x in _lines(file, a, min(a + self.split_bytes, end))):
                     text = raw.decode("utf-8", "replace").rstrip("\r")
                     if not text.strip() or text.startswith("#"):
                         continue
                     m = _LINE.fullmatch(text) if "�" not in text else None
-                    rows.append((split.file, at, m[1], m[2], m[3], [g for g in m[4].split("/") if g], None) if m else (split.file, at, None, None, None, None, text))
+                    rows.append((name, at, m[1], m[2], m[3], [g for g in m[4].split("/") if g], None) if m else (name, at, None, None, None, None, text))
                     if len(rows) >= ROWS:
                         yield batch()
                         rows.clear()
