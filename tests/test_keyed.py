@@ -92,6 +92,25 @@ def test_no_exchange_on_the_side_of_the_index(spark, df, keyed, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_a_kind_of_keys_is_written_by_many_tasks(spark, tmp_path):
+    few = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}  # of so small a table
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        x = seed(spark)
+        scans = x.index._jdf.queryExecution().executedPlan().toString().count("Scan")
+        assert scans == 1  # entries are read once for all kinds
+        name = x.write(str(tmp_path))
+        back = Lexicon.read(spark, str(tmp_path))
+        for kind in ("english", "traditional"):
+            assert back.part(kind).select(F.input_file_name().alias("f")).distinct().count() > 1
+        assert rows(back.index) == rows(x.index) and back.index.columns == x.index.columns, name
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_layouts_belong_to_versions(spark, df, tmp_path):
     path = str(tmp_path / "versions")
     with pytest.raises(FileNotFoundError):

@@ -70,7 +70,7 @@ class Lexicon:
         name = version or current_version(spark, path)
         if name is None:
             raise FileNotFoundError(f"no lexicon in {path}")
-        out = Lexicon(spark.read.schema(ENTRY).parquet(f"{path}/{name}/entries"), spark.read.schema(INDEX).parquet(f"{path}/{name}/index"))
+        out = Lexicon(spark.read.schema(ENTRY).parquet(f"{path}/{name}/entries"), spark.read.schema(INDEX).parquet(f"{path}/{name}/index").select(*INDEX.names))
         if check:
             out.check()
         return out
@@ -81,7 +81,7 @@ class Lexicon:
         spark = self.entries.sparkSession
         name = f"v-{uuid.uuid4().hex}"
         self.entries.write.parquet(f"{path}/{name}/entries")
-        self.index.repartition("kind").write.parquet(f"{path}/{name}/index")
+        self.index.write.partitionBy("kind").parquet(f"{path}/{name}/index")  # by the tasks that made it: a kind may be of any size
         number = max(manifests(spark, path), default=0) + 1
         while not create_text(spark, f"{path}/{MANIFEST}{number:09d}", name):  # another writer was faster
             number += 1
@@ -100,8 +100,10 @@ class Lexicon:
         gloss = F.filter(gloss, lambda g: (g != "") & (F.size(F.split(g, " ")) <= 4))
         english = F.array_distinct(F.concat(F.transform(gloss, lambda g: F.regexp_replace(g, " +", "%20")), F.filter(F.transform(gloss, lambda g: F.regexp_extract(g, "^to ([^ ]+)$", 1)), lambda g: g != "")))
         keys = {"traditional": F.array("traditional"), "simplified": F.array("simplified"), "pinyin": pin, "english": english}
-        rows = [entries.select(F.lit(k).alias("kind"), F.explode(c).alias("key"), "hsk", "word_id") for k, c in keys.items()]
-        union = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+        # one pass over the entries for all kinds
+        of_kind = lambda kind: lambda key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+        found = F.concat(*(F.coalesce(F.transform(c, of_kind(kind)), F.array().cast("array<struct<kind:string,key:string>>")) for kind, c in keys.items()))
+        union = entries.select(F.explode(found).alias("k"), "hsk", "word_id").select("k.kind", "k.key", "hsk", "word_id")
         order = Window.partitionBy("kind", "key").orderBy(*(["hsk"] if ranked else []), "word_id")
         return Lexicon(entries, union.select("kind", "key", (F.row_number().over(order) - 1).alias("pos"), "word_id"))
 
